@@ -65,6 +65,7 @@ class Graph:
             Window.partitionBy(*home, "_stride").orderBy(SLOT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         self._strides = Window.partitionBy(*home).orderBy("_stride")
+        self._carry_strides = 1
 
     # -- building blocks -------------------------------------------------
 
@@ -232,7 +233,7 @@ class Graph:
         if not self.complete:
             return self._ewm_over_gaps(key, v, alpha, depth)
         q = 1 - alpha
-        fade = math.ceil(depth / -math.log(q))
+        fade = self._fade(depth, q)
         start = self._start(v)
         j = F.pmod(F.col(SLOT), F.lit(STRIDE)).cast("double")
 
@@ -244,9 +245,8 @@ class Graph:
         loc = self.window(f"{key}.local", [v, start], local, 0)
 
         def joined() -> Column:
-            carry = F.lit(0.0)
-            for m in range(math.ceil(fade / STRIDE), 0, -1):
-                carry = self._stride_end(loc, m) + carry * (q**STRIDE)
+            ends = self._stride_ends(F.col(loc.column))
+            carry = F.aggregate(ends, F.lit(0.0), lambda total, end: total * (q**STRIDE) + end)
             present = F.col(v.column).isNotNull()
             return F.when(present, F.col(loc.column) + F.pow(F.lit(q), j + 1) * carry)
 
@@ -254,10 +254,19 @@ class Graph:
         self._seed[node.key] = start
         return node
 
-    def _stride_end(self, x: Node, m: int) -> Column:
-        """Value of x at the last row of the stride m before this one, or 0."""
-        last = F.when(F.pmod(F.col(SLOT), F.lit(STRIDE)) == STRIDE - 1, F.col(x.column))
-        return F.coalesce(F.sum(last).over(self._strides.rangeBetween(-m, -m)), F.lit(0.0))
+    def _fade(self, depth: float, q: float) -> int:
+        rows = math.ceil(depth / -math.log(q))
+        self._carry_strides = max(self._carry_strides, math.ceil(rows / STRIDE))
+        return rows
+
+    def _stride_ends(self, x: Column) -> Column:
+        """Values of x at the last rows of the strides before this one, oldest first.
+
+        The frame only moves when the stride does, so it costs little per row.
+        All recurrences share one frame, wide enough for the slowest.
+        """
+        at_end = F.when(F.pmod(F.col(SLOT), F.lit(STRIDE)) == STRIDE - 1, x)
+        return F.collect_list(at_end).over(self._strides.rangeBetween(-self._carry_strides, -1))
 
     def affine(self, key: str, a: Node, b: Node, slowest: float, depth: float = FADE) -> Node:
         """y = a*y_prev + b with a row-dependent a in (0, 1].
@@ -272,12 +281,12 @@ class Graph:
             return p * F.sum(F.try_divide(F.col(b.column), p)).over(self._in_stride)
 
         loc = self.window(f"{key}.local", [product, b], local, 0)
-        fade = math.ceil(depth / -math.log(slowest))
+        fade = self._fade(depth, slowest)
 
         def joined() -> Column:
-            carry = F.lit(0.0)
-            for m in range(math.ceil(fade / STRIDE), 0, -1):
-                carry = self._stride_end(loc, m) + carry * self._stride_end(product, m)
+            local, factor = F.coalesce(F.col(loc.column), F.lit(0.0)), F.col(product.column)
+            ends = self._stride_ends(F.struct(local.alias("y"), factor.alias("p")))
+            carry = F.aggregate(ends, F.lit(0.0), lambda total, end: total * end["p"] + end["y"])
             here = F.coalesce(F.col(loc.column), F.lit(0.0))
             started = F.max(F.col(b.column).isNotNull()).over(
                 self._ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -22,6 +22,14 @@ RUNTIME_CONF = {
     "spark.sql.codegen.methodSplitThreshold": "1024",
 }
 
+# Settings that must be there when the context starts.
+STATIC_CONF = {
+    # A full feature set compiles a few hundred small classes per executor; the
+    # default cache of 100 would compile them again in every task.
+    "spark.sql.codegen.cache.maxEntries": "4096",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -36,7 +44,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**STATIC_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())
 
