@@ -59,6 +59,7 @@ class Graph:
         self._totals: dict[str, tuple[str, Column]] = {}
         self._deps: dict[str, list[str]] = {}
         self._seed: dict[str, Node] = {}
+        self._quotients: set[str] = set()
         home = series.home
         self._ordered = Window.partitionBy(*home).orderBy("_stride", SLOT)
         self._in_stride = (
@@ -132,7 +133,9 @@ class Graph:
         return self.row(f"finite({x.key})", [x], finite, may_inf=False) if x.may_inf else x
 
     def div(self, a: Node, b: Node) -> Node:
-        return self.row(f"({a.key}/{b.key})", [a, b], fdiv, may_inf=True)
+        node = self.row(f"({a.key}/{b.key})", [a, b], fdiv, may_inf=True)
+        self._quotients.add(node.key)
+        return node
 
     def first_row(self) -> Node:
         """True on the first row of the series (or of a halo, where it is unused)."""
@@ -362,6 +365,10 @@ class Graph:
         reached = self._reach(n.key for n in nodes)
         return [c for c in self.sources if c in reached]
 
+    def can_miss(self, node: Node) -> bool:
+        """Whether a complete series can give a missing value after a present one."""
+        return node.ahead > 0 or any(k in self._quotients for k in self._reach([node.key]))
+
     def _reach(self, keys: Iterable[str]) -> set[str]:
         todo, reached = list(keys), set()
         while todo:

@@ -61,20 +61,25 @@ FAMILIES: dict[str, tuple[list[str], int | None]] = {
 }
 
 
-def _query(names: list[str], digits: int | None) -> Callable[[SparkSession, str], DataFrame]:
+def _query(digits_of: dict[str, int | None]) -> Callable[[SparkSession, str], DataFrame]:
+    names = list(digits_of)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         frame = FeatureSet().transform(
             views.bars(spark, sf_dir), names, every=views.HOUR, complete=True, keep=["symbol", "ts"]
         )
-        shown = [(sci(F.col(n)) if digits is None else grid(F.col(n), digits)).alias(n) for n in names]
+        shown = [
+            (sci(F.col(n)) if digits is None else grid(F.col(n), digits)).alias(n) for n, digits in digits_of.items()
+        ]
         return frame.select("symbol", F.unix_timestamp("ts").alias("t"), *shown)
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = {f"indicator_{q}": _query(names, digits) for q, (names, digits) in FAMILIES.items()}
-    made["indicator_all"] = _query(FeatureSet().names, 4)
+    made = {f"indicator_{q}": _query(dict.fromkeys(names, digits)) for q, (names, digits) in FAMILIES.items()}
+    every = {n: digits for names, digits in FAMILIES.values() for n in names}
+    made["indicator_all"] = _query(every)
     return made
 
 
@@ -416,6 +421,9 @@ l2 AS (SELECT *, list_sum(list_transform(xs, lambda v, i: (i - 10.5) * (v - m)))
         line_base,
         source="l2",
     )
+    parts = [f"({text}) AS q{i}" for i, text in enumerate(sql.values())]
+    joined = parts[0] + "".join(f" JOIN {part} USING (symbol, t)" for part in parts[1:])
+    sql["all"] = f"SELECT * FROM {joined}"
     return {f"indicator_{k}": v for k, v in sql.items()}
 
 

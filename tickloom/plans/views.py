@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.bars import trade_bars
+from tickloom.operators.book import depth_features, snapshot_features, top_of_book, trailing_flow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +60,33 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
         side(-1, 7, 13).alias("bids"),
         side(1, 11, 17).alias("asks"),
     )
+
+
+def book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Book rows with quote and depth features."""
+    return depth_features(top_of_book(book(spark, sf_dir)))
+
+
+def book_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level changes: every level of `book`, a fifth of them deletions."""
+    rows = book(spark, sf_dir)
+
+    def side(name: str) -> DataFrame:
+        level = rows.select("symbol", "ts", "update_id", F.posexplode(f"{name}s").alias("i", "level"))
+        gone = (F.col("update_id") + F.col("i")) % 5 == 0
+        return level.select(
+            "symbol",
+            "ts",
+            "update_id",
+            F.lit(name).alias("side"),
+            F.col("level.price").alias("price"),
+            F.when(gone, F.lit(0.0)).otherwise(F.col("level.qty")).alias("qty"),
+        )
+
+    return side("bid").unionByName(side("ask"))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat book snapshots with the trade flow of the second before."""
+    flat = snapshot_features(book(spark, sf_dir)).drop("bids", "asks")
+    return trailing_flow(flat, trades(spark, sf_dir))
