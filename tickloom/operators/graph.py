@@ -166,7 +166,7 @@ class Graph:
         w = self.rows_before(n)
 
         def make() -> Column:
-            full = F.count(v.column).over(w) >= (need or n)
+            full = F.count(v.column).over(w) >= (n if need is None else need)
             return F.when(full, agg(F.col(v.column)).over(w))
 
         suffix = "" if need is None else f",{need}"

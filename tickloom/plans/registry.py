@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.operators.features import FeatureSet
-from tickloom.plans import indicators, market, views
+from tickloom.plans import indicators, market, risk, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [indicators, market]
+MODULES = [indicators, market, risk]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.bars import trade_bars
-from tickloom.operators.book import depth_features, snapshot_features, top_of_book, trailing_flow
+from tickloom.operators.blocks import BLOCK, SLOT, Series, place, row_slots, running
+from tickloom.operators.book import depth_features, keep_last, snapshot_features, top_of_book, trailing_flow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,3 +91,95 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat book snapshots with the trade flow of the second before."""
     flat = snapshot_features(book(spark, sf_dir)).drop("bids", "asks")
     return trailing_flow(flat, trades(spark, sf_dir))
+
+
+def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten equity curves over the orders, one step per order."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 10).alias("run_id"),
+        F.col("o_orderdate").alias("ts"),
+        key.alias("order_id"),
+        F.col("o_totalprice").alias("price"),
+        (((F.floor(key / 3) * 13) % 5 - 2) / F.lit(2.0)).alias("position"),
+        (((key * 7) % 201 - 100) / F.lit(100.0)).alias("action"),
+        (((key * 11) % 50) / F.lit(10000.0)).alias("trade_cost"),
+        ((key * 3) % 180).alias("holding_period"),
+        ((key * 37) % 2001 - 1000).cast("double").alias("_gain"),
+    )
+    slots = row_slots(rows, ["run_id"], [F.col("ts"), F.col("order_id")], F.date_trunc("month", "ts"))
+    series = Series(("run_id",))
+    summed = running(place(slots, series), series, {"_total": ("sum", F.col("_gain"))})
+    return (
+        summed.withColumns({"step": F.col(SLOT), "equity": F.col("_total") + 100000})
+        .withColumn("balance", F.col("equity"))
+        .drop(SLOT, BLOCK, "_total", "_gain")
+    )
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade signals with the account state of their moment."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    return table(spark, sf_dir, "lineitem").select(
+        _position_id(),
+        F.lit(100000.0).alias("portfolio_value"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        ((F.col("l_orderkey") % 100) / F.lit(100.0)).alias("confidence"),
+        ((part % 30) / F.lit(200.0)).alias("drawdown"),
+        (supp % 17 == 0).alias("drawdown_triggered"),
+        ((part % 101 - 50) * F.lit(150.0)).alias("daily_pnl"),
+        (F.col("l_linenumber") % 4).alias("open_positions"),
+        (F.lit(0.4) + (part % 5) * F.lit(0.1)).alias("win_rate"),
+        (F.lit(0.02) + (supp % 5) * F.lit(0.02)).alias("avg_win"),
+        ((part % 4) * F.lit(0.01)).alias("avg_loss"),
+        ((supp % 4) * F.lit(0.01)).alias("stop_loss"),
+        (part % 11 - 1).alias("vip_level"),
+        (supp % 2 == 0).alias("maker"),
+        ((part % 11) / F.lit(10.0)).alias("urgency"),
+        (F.col("l_quantity") * F.col("l_extendedprice") / F.lit(2.0)).alias("notional"),
+        ((supp % 100) / F.lit(2.0)).alias("holding_hours"),
+    )
+
+
+def _position_id():
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position_id")
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opened positions, one per order line; lines can share an id, the first
+    part key then counts."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        _position_id(),
+        F.col("l_returnflag").alias("account"),
+        F.col("l_quantity").alias("size"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("entry_price"),
+        F.when(F.col("l_returnflag") == "R", "short").otherwise("long").alias("position_type"),
+        F.col("l_shipdate").alias("entry_time"),
+        "l_partkey",
+        "l_suppkey",
+        "l_extendedprice",
+    )
+    order = [F.lit(0) - F.col("l_partkey"), F.lit(0) - F.col("l_suppkey"), F.lit(0) - F.col("l_extendedprice")]
+    return keep_last(rows, ["position_id"], order)
+
+
+def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three closes per position: half of it, then a quarter or all, then all.
+    Every fiftieth position is unknown to the book of opens."""
+    rows = positions(spark, sf_dir)
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    rows = rows.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    size = F.col("size")
+    amount = (
+        F.when(F.col("seq") == 1, F.floor(size / 2).cast("double"))
+        .when((F.col("seq") == 2) & (supp % 3 > 0), size / 4)
+        .when(F.col("seq") == 2, F.lit(None).cast("double"))
+    )
+    hours = F.col("seq") * (part % 72 + 1)
+    return rows.select(
+        F.when(part % 50 == 0, -F.col("position_id")).otherwise(F.col("position_id")).alias("position_id"),
+        F.col("seq").alias("close_seq"),
+        (F.col("entry_price") * (F.lit(1.0) + (part % 21 - 10) / F.lit(100.0))).alias("exit_price"),
+        amount.alias("exit_size"),
+        F.timestamp_seconds(F.unix_timestamp("entry_time") + hours * 3600).alias("exit_time"),
+    )
