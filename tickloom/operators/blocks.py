@@ -90,7 +90,18 @@ def with_halo(df: DataFrame, series: Series, back: int, ahead: int = 0) -> DataF
         spread = df.withColumn(BLOCK, F.explode(targets))
     else:
         spread = df.withColumn(BLOCK, own)
-    return spread.withColumn(OWN, F.col(BLOCK) == own).repartition(*series.home)
+    return gather(spread.withColumn(OWN, F.col(BLOCK) == own), series.home)
+
+
+def gather(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Bring the rows of a block together.
+
+    The partition count is given, so that adaptive execution, which only looks
+    at bytes, does not merge the few bytes of a compute-heavy stage into one
+    task. A block is small, whatever the size of its series.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *columns)
 
 
 def running(df: DataFrame, series: Series, totals: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -164,4 +175,4 @@ def fill_missing(
 
 def place(df: DataFrame, series: Series) -> DataFrame:
     """Give each row its block and bring blocks together, without a halo."""
-    return df.withColumn(BLOCK, series.block_of(F.col(SLOT))).repartition(*series.home)
+    return gather(df.withColumn(BLOCK, series.block_of(F.col(SLOT))), series.home)

@@ -22,6 +22,8 @@ from tickloom.operators.blocks import BLOCK, OWN, SLOT, Series, running, with_ha
 # Recurrences run inside strides of this many slots, short enough for q**-STRIDE
 # to stay a finite double for every smoothing factor down to a span of 2.
 STRIDE = 512
+# Frames of this many rows and more are put together from shorter ones.
+LONG_FRAME = 12
 # Weights below exp(-FADE), about 1e-17, cannot change a double ...
 FADE = 39.2
 # ... unless everything newer is zero and a quotient of two averages is taken.
@@ -60,13 +62,13 @@ class Graph:
         self._deps: dict[str, list[str]] = {}
         self._seed: dict[str, Node] = {}
         self._quotients: set[str] = set()
+        self._frames: dict[tuple[int, int], WindowSpec] = {}
         home = series.home
         self._ordered = Window.partitionBy(*home).orderBy("_stride", SLOT)
         self._in_stride = (
             Window.partitionBy(*home, "_stride").orderBy(SLOT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         self._strides = Window.partitionBy(*home).orderBy("_stride")
-        self._carry_strides = 1
 
     # -- building blocks -------------------------------------------------
 
@@ -122,10 +124,12 @@ class Graph:
 
     def rows_before(self, n: int) -> WindowSpec:
         """Frame of the current row and the n-1 rows before it."""
-        return self._ordered.rowsBetween(-(n - 1), 0)
+        return self.frame(-(n - 1), 0)
 
     def frame(self, first: int, last: int) -> WindowSpec:
-        return self._ordered.rowsBetween(first, last)
+        if (first, last) not in self._frames:
+            self._frames[first, last] = self._ordered.rowsBetween(first, last)
+        return self._frames[first, last]
 
     # -- derived columns ---------------------------------------------------
 
@@ -166,40 +170,84 @@ class Graph:
         w = self.rows_before(n)
 
         def make() -> Column:
-            full = F.count(v.column).over(w) >= (n if need is None else need)
+            if need is None and self.complete and not self.can_miss(v):
+                # Nothing is missing after the first value, so the oldest row tells.
+                full = F.lag(v.column, n - 1).over(self._ordered).isNotNull()
+            else:
+                full = F.count(v.column).over(w) >= (n if need is None else need)
             return F.when(full, agg(F.col(v.column)).over(w))
 
         suffix = "" if need is None else f",{need}"
         return self.window(f"{name}({v.key},{n}{suffix})", [v], make, n - 1)
 
     def mean(self, x: Node, n: int) -> Node:
-        return self.rolling("mean", x, n, F.avg)
+        return self.row(f"mean({self.finite(x).key},{n})", [self.sum(x, n)], lambda t: t / n)
 
     def sum(self, x: Node, n: int) -> Node:
-        return self.rolling("sum", x, n, F.sum)
+        """Spark adds up a sliding frame anew for every row, so a long one is
+        put together from the sums of a shorter one at earlier rows."""
+        part = next((m for m in range(n // 2, 1, -1) if n % m == 0 and n // m <= 5), None)
+        if n < LONG_FRAME or part is None:
+            return self.rolling("sum", x, n, F.sum)
+        short = self.sum(x, part)
+        earlier = [self.lag(short, part * k) for k in range(1, n // part)]
+
+        def add(*parts: Column) -> Column:
+            out = parts[0]
+            for one in parts[1:]:
+                out = out + one
+            return out
+
+        return self.row(f"sum({self.finite(x).key},{n})", [short, *earlier], add)
 
     def max(self, x: Node, n: int) -> Node:
-        return self.rolling("max", x, n, F.max)
+        return self._extreme("max", x, n, F.max, F.greatest)
 
     def min(self, x: Node, n: int) -> Node:
-        return self.rolling("min", x, n, F.min)
+        return self._extreme("min", x, n, F.min, F.least)
+
+    def _extreme(self, name: str, x: Node, n: int, agg: Callable, pick: Callable) -> Node:
+        if n < LONG_FRAME:
+            return self.rolling(name, x, n, agg)
+        half = self._extreme(name, x, (n + 1) // 2, agg, pick)
+        other = self.lag(half, n - (n + 1) // 2)
+        both = F.col(half.column).isNotNull() & F.col(other.column).isNotNull()
+        return self.row(
+            f"{name}({self.finite(x).key},{n})", [half, other], lambda a, b: F.when(both, pick(a, b))
+        )
+
+    def var(self, x: Node, n: int) -> Node:
+        return self.rolling("var", x, n, F.var_samp)
 
     def std(self, x: Node, n: int) -> Node:
-        return self.rolling("std", x, n, F.stddev_samp)
+        return self.row(f"std({self.finite(x).key},{n})", [self.var(x, n)], F.sqrt)
+
+    def score(self, x: Node, n: int) -> Node:
+        """(x - mean) / deviation over n rows; missing on a constant window,
+        where the mean is x but for rounding."""
+        away = self.row(f"away({x.key},{n})", [x, self.mean(x, n)], lambda a, m: a - m)
+        spread = self.std(x, n)
+        ratio = self.div(away, spread)
+        return self.row(f"score({x.key},{n})", [ratio, spread], lambda r, s: F.when(s > 0, r))
+
+    def values(self, x: Node, n: int) -> Node:
+        """The present values of the last n rows, oldest first."""
+        v = self.finite(x)
+        return self.window(
+            f"values({v.key},{n})", [v], lambda: F.collect_list(v.column).over(self.rows_before(n)), n - 1
+        )
 
     def weighted(self, x: Node, n: int) -> Node:
         """Mean with weights 1..n, the newest row weighing most."""
-        v = self.finite(x)
-        w = self.rows_before(n)
+        values = self.values(x, n)
         scale = n * (n + 1) / 2
 
-        def make() -> Column:
-            values = F.collect_list(v.column).over(w)
-            parts = F.transform(values, lambda value, i: value * (i + 1))
+        def make(xs: Column) -> Column:
+            parts = F.transform(xs, lambda value, i: value * (i + 1))
             total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
-            return F.when(F.size(values) == n, total / scale)
+            return F.when(F.size(xs) == n, total / scale)
 
-        return self.window(f"weighted({v.key},{n})", [v], make, n - 1)
+        return self.row(f"weighted({self.finite(x).key},{n})", [values], make)
 
     def span(self, x: Node, n: int, deep: bool = False) -> Node:
         """Exponential mean with alpha = 2/(n+1)."""
@@ -247,29 +295,81 @@ class Graph:
 
         loc = self.window(f"{key}.local", [v, start], local, 0)
 
-        def joined() -> Column:
-            ends = self._stride_ends(F.col(loc.column))
-            carry = F.aggregate(ends, F.lit(0.0), lambda total, end: total * (q**STRIDE) + end)
-            present = F.col(v.column).isNotNull()
-            return F.when(present, F.col(loc.column) + F.pow(F.lit(q), j + 1) * carry)
+        carry = self._carry(loc, fade, q**STRIDE)
+
+        def joined(value: Column, here: Column, before: Column) -> Column:
+            return F.when(value.isNotNull(), here + F.pow(F.lit(q), j + 1) * before)
 
-        node = self.window(key, [loc, v], joined, fade)
+        inner = self.row(f"{key}.joined", [v, loc, carry], joined)
+        node = self._reaching_back(key, inner, fade)
         self._seed[node.key] = start
         return node
 
-    def _fade(self, depth: float, q: float) -> int:
-        rows = math.ceil(depth / -math.log(q))
-        self._carry_strides = max(self._carry_strides, math.ceil(rows / STRIDE))
-        return rows
+    def _reaching_back(self, key: str, x: Node, rows: int) -> Node:
+        """The column x, known to depend on at most `rows` earlier rows."""
+        node = Node(key, x.column, x.back + rows, x.ahead, x.may_inf, x.kind)
+        self._nodes[key], self._stage[key], self._depth[key] = node, self._stage[x.key], self._depth[x.key]
+        self._deps[key] = [x.key]
+        return node
+
+    def _stride_end(self, x: Node) -> Node:
+        """Value of x at the end of the stride before, 0 if there is none.
+
+        The frame only moves when the stride does, so it costs one step per row.
+        """
+        at_end = F.when(F.pmod(F.col(SLOT), F.lit(STRIDE)) == STRIDE - 1, F.col(x.column))
+        return self.window(
+            f"end({x.key})",
+            [x],
+            lambda: F.coalesce(F.sum(at_end).over(self._strides.rangeBetween(-1, -1)), F.lit(0.0)),
+            0,
+        )
 
-    def _stride_ends(self, x: Column) -> Column:
-        """Values of x at the last rows of the strides before this one, oldest first.
+    def _carry(self, local: Node, fade: int, factor: float | Node) -> Node:
+        """What the strides before add at the start of this one.
 
-        The frame only moves when the stride does, so it costs little per row.
-        All recurrences share one frame, wide enough for the slowest.
+        `factor` is the product of the weights over a stride. Starting from the
+        stride before, each step doubles the strides taken in.
         """
-        at_end = F.when(F.pmod(F.col(SLOT), F.lit(STRIDE)) == STRIDE - 1, x)
-        return F.collect_list(at_end).over(self._strides.rangeBetween(-self._carry_strides, -1))
+        total = self._stride_end(local)
+        weight = self._stride_end(factor) if isinstance(factor, Node) else factor
+        taken = 1
+        while taken * STRIDE < fade:
+            older = self.lag(total, taken * STRIDE)
+            name = f"{local.key}.carry{2 * taken}"
+            if isinstance(weight, Node):
+                total = self.row(
+                    name, [total, weight, older], lambda t, w, o: t + w * F.coalesce(o, F.lit(0.0)), may_inf=False
+                )
+                weight = self.row(
+                    f"{name}.weight",
+                    [weight, self.lag(weight, taken * STRIDE)],
+                    lambda w, o: w * F.coalesce(o, F.lit(0.0)),
+                    may_inf=False,
+                )
+            else:
+                total = self.row(
+                    name,
+                    [total, older],
+                    lambda t, o, w=weight: t + F.coalesce(o, F.lit(0.0)) * w,
+                    may_inf=False,
+                )
+                weight = weight * weight
+            taken *= 2
+        # The steps look back over rows that `fade` already counts.
+        return self._bounded(total, local.back)
+
+    def _bounded(self, x: Node, rows: int) -> Node:
+        key = f"{x.key}.bounded"
+        if key not in self._nodes:
+            node = Node(key, x.column, rows, x.ahead, x.may_inf, x.kind)
+            self._nodes[key], self._stage[key], self._depth[key] = node, self._stage[x.key], self._depth[x.key]
+            self._deps[key] = [x.key]
+        return self._nodes[key]
+
+    @staticmethod
+    def _fade(depth: float, q: float) -> int:
+        return math.ceil(depth / -math.log(q))
 
     def affine(self, key: str, a: Node, b: Node, slowest: float, depth: float = FADE) -> Node:
         """y = a*y_prev + b with a row-dependent a in (0, 1].
@@ -286,17 +386,19 @@ class Graph:
         loc = self.window(f"{key}.local", [product, b], local, 0)
         fade = self._fade(depth, slowest)
 
-        def joined() -> Column:
-            local, factor = F.coalesce(F.col(loc.column), F.lit(0.0)), F.col(product.column)
-            ends = self._stride_ends(F.struct(local.alias("y"), factor.alias("p")))
-            carry = F.aggregate(ends, F.lit(0.0), lambda total, end: total * end["p"] + end["y"])
-            here = F.coalesce(F.col(loc.column), F.lit(0.0))
-            started = F.max(F.col(b.column).isNotNull()).over(
-                self._ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )
-            return F.when(started, here + F.col(product.column) * carry)
+        carry = self._carry(loc, fade, product)
+        started = self.window(
+            f"{key}.started",
+            [b],
+            lambda: F.max(F.col(b.column).isNotNull()).over(self.frame(Window.unboundedPreceding, 0)),
+            0,
+        )
+
+        def joined(here: Column, factor: Column, before: Column, begun: Column) -> Column:
+            return F.when(begun, F.coalesce(here, F.lit(0.0)) + factor * before)
 
-        return self.window(key, [loc, product, b], joined, fade)
+        inner = self.row(f"{key}.joined", [loc, product, carry, started], joined)
+        return self._reaching_back(key, inner, fade)
 
     def _ewm_over_gaps(self, key: str, v: Node, alpha: float, depth: float) -> Node:
         q = 1 - alpha
@@ -342,7 +444,8 @@ class Graph:
             if stage >= 1000:
                 late.append(keys)
             else:
-                frame = frame.withColumns({self._nodes[k].column: self._make[k] for k in keys})
+                made = {self._nodes[k].column: self._make[k] for k in keys if k in self._make}
+                frame = frame.withColumns(made) if made else frame
         frame = frame.filter(OWN)
         for keys in late:
             totals = {self._nodes[k].column: self._totals[k] for k in keys if k in self._totals}

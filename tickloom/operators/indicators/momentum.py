@@ -67,15 +67,17 @@ def macd_hist(g: Graph, fast: int = 12, slow: int = 26, signal: int = 9, price_c
 def commodity_channel(g: Graph, x: Node, window: int) -> Node:
     v = g.finite(x)
     mean = g.mean(v, window)
-    values = g.window(
-        f"values({v.key},{window})", [v], lambda: F.collect_list(v.column).over(g.rows_before(window)), window - 1
-    )
+    values = g.values(v, window)
     spread = g.row(
         f"mad({v.key},{window})",
         [values, mean],
         lambda xs, m: F.aggregate(xs, F.lit(0.0), lambda total, one: total + F.abs(one - m)) / window,
     )
-    return g.div(minus(g, v, mean), scaled(g, spread, 0.015))
+    ratio = g.div(minus(g, v, mean), scaled(g, spread, 0.015))
+    # On a constant window the mean is the value but for rounding.
+    return g.row(
+        f"cci({v.key},{window})", [ratio, values], lambda r, xs: F.when(F.array_max(xs) > F.array_min(xs), r)
+    )
 
 
 @indicator("CCI")

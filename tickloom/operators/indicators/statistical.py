@@ -7,7 +7,6 @@ import math
 from pyspark.sql import functions as F
 
 from tickloom.functions import fdiv
-from tickloom.operators.blocks import BLOCK, SLOT
 from tickloom.operators.graph import Graph, Node
 from tickloom.operators.indicators.common import scaled
 from tickloom.operators.registry import indicator
@@ -20,7 +19,7 @@ def std_dev(g: Graph, window: int = 20, price_col: str = "close") -> Node:
 
 @indicator("Variance")
 def variance(g: Graph, window: int = 20, price_col: str = "close") -> Node:
-    return g.rolling("var", g.source(price_col), window, F.var_samp)
+    return g.var(g.source(price_col), window)
 
 
 @indicator("SEM")
@@ -30,16 +29,37 @@ def sem(g: Graph, window: int = 20, price_col: str = "close") -> Node:
     )
 
 
+def central_moments(g: Graph, x: Node, n: int) -> Node:
+    """Sums of the 2nd to 4th power of the distance from the window mean."""
+    v = g.finite(x)
+    mean = g.mean(v, n)
+    values = g.values(v, n)
+
+    def make(xs, m):
+        zero = F.struct(F.lit(0.0).alias("s2"), F.lit(0.0).alias("s3"), F.lit(0.0).alias("s4"))
+
+        def add(total, one):
+            d2 = (one - m) * (one - m)
+            return F.struct(
+                (total["s2"] + d2).alias("s2"),
+                (total["s3"] + d2 * (one - m)).alias("s3"),
+                (total["s4"] + d2 * d2).alias("s4"),
+            )
+
+        return F.when(m.isNotNull(), F.aggregate(xs, zero, add))
+
+    return g.row(f"moments({v.key},{n})", [values, mean], make)
+
+
 @indicator("Skew")
 def skew(g: Graph, window: int = 20, price_col: str = "close") -> Node:
     """Bias-corrected skewness; 0 on a constant window."""
     n, x = window, g.source(price_col)
-    raw = g.rolling("skew", x, n, F.skewness)
-    factor = math.sqrt(n * (n - 1)) / (n - 2)
+    factor = math.sqrt(n * (n - 1)) / (n - 2) * math.sqrt(n)
     return g.row(
         f"skew1({x.key},{n})",
-        [raw, g.std(x, n)],
-        lambda s, d: F.when(d == 0, 0.0).otherwise(s * factor),
+        [central_moments(g, x, n), g.std(x, n)],
+        lambda m, d: F.when(d == 0, 0.0).otherwise(factor * F.try_divide(m["s3"], F.pow(m["s2"], F.lit(1.5)))),
     )
 
 
@@ -47,12 +67,13 @@ def skew(g: Graph, window: int = 20, price_col: str = "close") -> Node:
 def kurtosis(g: Graph, window: int = 20, price_col: str = "close") -> Node:
     """Bias-corrected excess kurtosis; -3 on a constant window."""
     n, x = window, g.source(price_col)
-    raw = g.rolling("kurt", x, n, F.kurtosis)
     factor = (n - 1) / ((n - 2) * (n - 3))
     return g.row(
         f"kurt2({x.key},{n})",
-        [raw, g.std(x, n)],
-        lambda k, d: F.when(d == 0, -3.0).otherwise(factor * ((n + 1) * k + 6)),
+        [central_moments(g, x, n), g.std(x, n)],
+        lambda m, d: F.when(d == 0, -3.0).otherwise(
+            factor * ((n + 1) * (n * F.try_divide(m["s4"], m["s2"] * m["s2"]) - 3) + 6)
+        ),
     )
 
 
@@ -91,16 +112,14 @@ def beta(g: Graph, window: int = 20, price_col: str = "close", market_col: str =
 
 
 def slope(g: Graph, x: Node, window: int) -> Node:
-    """Least-squares slope against 0..n-1."""
-    v = g.finite(x)
-    place = (F.col(SLOT) - F.col(BLOCK) * F.lit(g.series.rows)).cast("double")
-
-    def make():
-        w = g.rows_before(window)
-        full = F.count(v.column).over(w) == window
-        return F.when(full, F.regr_slope(F.col(v.column), place).over(w))
-
-    return g.window(f"slope({v.key},{window})", [v], make, window - 1)
+    """Least-squares slope against 0..n-1, from the weighted and the plain sum."""
+    n = window
+    middle, total = (n + 1) / 2, n * (n * n - 1) / 12
+    return g.row(
+        f"slope({x.key},{n})",
+        [g.weighted(x, n), g.sum(x, n)],
+        lambda w, s: (w * (n * (n + 1) / 2) - s * middle) / total,
+    )
 
 
 def _line(g: Graph, window: int, price_col: str, at: float) -> Node:

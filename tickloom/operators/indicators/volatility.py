@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators.graph import Graph, Node
-from tickloom.operators.indicators.common import band_position, minus, scaled, true_range
+from tickloom.operators.indicators.common import minus, scaled, true_range
 from tickloom.operators.registry import indicator
 
 
@@ -48,8 +48,8 @@ def bollinger_width(g: Graph, window: int = 20, std: float = 2, price_col: str =
 
 @indicator("BollingerPercent")
 def bollinger_percent(g: Graph, window: int = 20, std: float = 2, price_col: str = "close") -> Node:
-    top = bollinger_upper(g, window, std, price_col)
-    return band_position(g, g.source(price_col), top, bollinger_lower(g, window, std, price_col))
+    score = g.score(g.source(price_col), window)
+    return g.row(f"percent({score.key},{std!r})", [score], lambda z: (z + std) / (2 * std))
 
 
 @indicator("KeltnerMiddle")

@@ -107,7 +107,7 @@ class _Matrix:
         mean, std = g.mean(spread, 10), g.std(spread, 10)
         out["spread_bps"] = scaled(g, g.source("spread_pct"), 100.0)
         out["spread_rolling_mean_10s"], out["spread_rolling_std_10s"] = mean, std
-        out["spread_zscore"] = g.div(minus(g, spread, mean), std)
+        out["spread_zscore"] = g.score(spread, 10)
         if self.has("bid_0_price", "bid_0_qty", "ask_0_price", "ask_0_qty"):
             bid, ask = g.source("bid_0_qty"), g.source("ask_0_qty")
             crossed = g.row(
@@ -203,7 +203,7 @@ class _Matrix:
             gap = g.source("spread")
         out["spread_volatility_10s"] = g.std(gap, 10)
         calm = out["volatility_30s"]
-        out["volatility_zscore"] = g.div(minus(g, calm, g.mean(calm, 300)), g.std(calm, 300))
+        out["volatility_zscore"] = g.score(calm, 300)
         return out
 
     def wilder(self, x: Node, n: int) -> Node:
@@ -276,11 +276,9 @@ class _Matrix:
             out[f"{prefix}_position"] = band_position(g, mid, top, bottom)
 
         mean, std = g.mean(mid, 20), g.std(mid, 20)
-        channel(
-            "bb",
-            g.row("bb_top", [mean, std], lambda m, s: m + s * 2),
-            g.row("bb_bottom", [mean, std], lambda m, s: m - s * 2),
-        )
+        out["bb_upper"] = g.row("bb_top", [mean, std], lambda m, s: m + s * 2)
+        out["bb_lower"] = g.row("bb_bottom", [mean, std], lambda m, s: m - s * 2)
+        out["bb_position"] = g.row("bb_place", [g.score(mid, 20)], lambda z: (z + 2) / 4)
         out["bb_middle"], out["bb_width"] = mean, minus(g, out["bb_upper"], out["bb_lower"])
         reach = g.row("|move|", [g.diff(mid)], F.abs)
         middle, spread = g.span(mid, 20), g.span(reach, 20)

@@ -200,7 +200,8 @@ k AS MATERIALIZED (SELECT *, power(coalesce(abs(close - far) / nullif({roll("sum
         source = f"c{n}"
     for n in (14, 20):
         mad = f"list_sum(list_transform(l{n}, lambda v: abs(v - m{n}))) / {n}.0"
-        cci[f"CCI_{n}"] = f"CASE WHEN m{n} IS NOT NULL THEN {fdiv(f'tp - m{n}', f'0.015::DOUBLE * ({mad})')} END"
+        varies = f"m{n} IS NOT NULL AND list_max(l{n}) > list_min(l{n})"
+        cci[f"CCI_{n}"] = f"CASE WHEN {varies} THEN {fdiv(f'tp - m{n}', f'0.015::DOUBLE * ({mad})')} END"
     sql["cci"] = _plain("cci", cci, *steps, source=source)
     williams = {"WILLIAMS_R": f"-100 * ({fdiv(f'({top}) - close', f'({top}) - ({low})')})"}
     for n in (10, 20):
@@ -235,7 +236,7 @@ k AS MATERIALIZED (SELECT *, power(coalesce(abs(close - far) / nullif({roll("sum
             "BB_MIDDLE": "m",
             "BB_LOWER": "m - 2 * s",
             "BB_WIDTH": "(m + 2 * s) - (m - 2 * s)",
-            "BB_PERCENT": fdiv("close - (m - 2 * s)", "(m + 2 * s) - (m - 2 * s)"),
+            "BB_PERCENT": "CASE WHEN s > 0 THEN ((close - m) / s + 2) / 4 END",
         },
         band,
         source="d",

@@ -468,7 +468,7 @@ def _ms() -> dict[str, str]:
         "spread_bps": "spread_pct * 100",
         "spread_rolling_mean_10s": spread_mean,
         "spread_rolling_std_10s": spread_std,
-        "spread_zscore": fdiv(f"spread - ({spread_mean})", spread_std),
+        "spread_zscore": f"(spread - ({spread_mean})) / nullif({spread_std}, 0)",
         "micro_price": micro,
         "micro_price_diff": f"{micro} - mid_price",
         "price_position_10s": fdiv(f"mid_price - ({low})", f"({top}) - ({low})"),
@@ -509,7 +509,7 @@ def _ms() -> dict[str, str]:
         "squared_returns": "sq",
         "vol_momentum": roll("avg", "sq", 10),
         "spread_volatility_10s": std("gap", 10),
-        "volatility_zscore": fdiv(f"v30 - ({roll('avg', 'v30', 300)})", std("v30", 300)),
+        "volatility_zscore": f"(v30 - ({roll('avg', 'v30', 300)})) / nullif({std('v30', 300)}, 0)",
     }
     sql["volatility"] = _matrix_sql("volatility", out, r1, r2, source="r2")
 
@@ -529,7 +529,7 @@ def _ms() -> dict[str, str]:
         "stoch_k": "k3",
         "stoch_d": roll("avg", "k3", 3),
         "williams_r": "(pos - 1) * 100",
-        "cci_20": f"CASE WHEN m20 IS NOT NULL THEN {fdiv('mid_price - m20', '0.015::DOUBLE * mad')} END",
+        "cci_20": f"CASE WHEN m20 IS NOT NULL AND list_max(l20) > list_min(l20) THEN {fdiv('mid_price - m20', '0.015::DOUBLE * mad')} END",
         "mfi_14": f"100 * ({fdiv(up, f'({up}) + ({down})')})",
         "momentum_10s": f"mid_price - {lag('mid_price', 10)}",
     }
@@ -570,7 +570,7 @@ def _ms() -> dict[str, str]:
     out = {
         "bb_upper": "m20 + 2 * s20",
         "bb_lower": "m20 - 2 * s20",
-        "bb_position": fdiv("mid_price - (m20 - 2 * s20)", "(m20 + 2 * s20) - (m20 - 2 * s20)"),
+        "bb_position": "((mid_price - m20) / nullif(s20, 0) + 2) / 4",
         "bb_middle": "m20",
         "bb_width": "(m20 + 2 * s20) - (m20 - 2 * s20)",
         "kc_upper": "m + 2 * coalesce(a, 0)",
