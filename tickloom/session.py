@@ -16,10 +16,6 @@ RUNTIME_CONF = {
     # Window partitions are time blocks of bounded size, so their rows can be
     # held in plain memory for longer before the spillable sorter takes over.
     "spark.sql.windowExec.buffer.in.memory.threshold": "65536",
-    # A stage of the feature graph has hundreds of small expressions. One
-    # generated method per stage would be refused by the JIT, so let the
-    # generator split earlier.
-    "spark.sql.codegen.methodSplitThreshold": "1024",
 }
 
 # Settings that must be there when the context starts.
