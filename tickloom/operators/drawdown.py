@@ -150,9 +150,6 @@ def drawdown_guard(
     """
     order = list(order or [time])
     measured = trailing_extremes(df, lookback_days, keys=keys, time=time, order=order, equity=equity)
-    measured = days_since_peak(
-        measured, lookback_days, keys=keys, time=time, order=order, equity=equity, peak="peak_equity"
-    )
     top = F.col("peak_equity")
     fall = F.when(top > 0, F.try_divide(top - F.col(equity), top)).otherwise(F.lit(0.0))
     measured = measured.withColumn("current_drawdown", fall)
@@ -161,9 +158,12 @@ def drawdown_guard(
     machine = guard(limit, recovery_days * DAY, "current_drawdown", "_clock", "_active")
     flagged = ordered_pass(clocked, Series(tuple(keys), block_rows), [machine], warm_up)
     active = F.col("_active") > 0
-    return flagged.withColumns(
+    status = flagged.withColumns(
         {
             "is_triggered": active,
             "position_scale": position_scale(F.col("current_drawdown"), active, limit, scale_positions),
         }
     ).drop("_active", "_clock", SLOT)
+    return days_since_peak(
+        status, lookback_days, keys=keys, time=time, order=order, equity=equity, peak="peak_equity"
+    )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.blocks import BLOCK, OWN, SLOT, Series, place, with_halo
-from tickloom.session import ensure_checkpoint_dir
+from tickloom.session import materialize
 
 WARM_UP = 2048
 
@@ -58,6 +58,8 @@ STATE = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 def ordered_pass(df: DataFrame, series: Series, machines: Sequence[Machine], warm_up: int = WARM_UP) -> DataFrame:
     """Add the outputs of the machines to `df`, which carries `_slot`."""
+    # The rows are read several times, so what leads to them is run once.
+    df = materialize(df)
     home = series.home
     machines = list(machines)
     inputs = list(dict.fromkeys(c for m in machines for c in m.inputs))
@@ -99,7 +101,6 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
     blocks = df.select(*series.keys, series.block_of(F.col(SLOT)).alias(BLOCK)).distinct()
     if blocks.groupBy(*series.keys).count().filter("count > 1").isEmpty():
         return None
-    ensure_checkpoint_dir(df.sparkSession)
     fields = [f for f in place(df, series).schema.fields if f.name in home]
     schema = T.StructType([*fields, T.StructField("enter", STATE), T.StructField("leave", STATE)])
 
@@ -125,12 +126,12 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
         head = frame.iloc[[0]][home].reset_index(drop=True)
         return head.assign(enter=pd.Series([known]), leave=pd.Series([leave]))
 
-    states = with_halo(df, series, warm_up).groupBy(*home).applyInPandas(guess, schema).checkpoint()
+    states = materialize(with_halo(df, series, warm_up).groupBy(*home).applyInPandas(guess, schema))
     previous = Window.partitionBy(*series.keys).orderBy(BLOCK)
     while True:
         linked = states.withColumn("right", F.lag("leave").over(previous))
         wrong = linked.filter(F.col("right").isNotNull() & ~F.col("enter").eqNullSafe(F.col("right")))
-        wrong = wrong.select(*home, F.col("right").alias("enter")).checkpoint()
+        wrong = materialize(wrong.select(*home, F.col("right").alias("enter")))
         if wrong.isEmpty():
             return states.select(*home, "enter")
         again = (
@@ -140,7 +141,7 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
             .cogroup(wrong.groupBy(*home))
             .applyInPandas(rerun, schema)
         )
-        states = states.join(wrong.select(*home), home, "left_anti").unionByName(again).checkpoint()
+        states = materialize(states.join(wrong.select(*home), home, "left_anti").unionByName(again))
 
 
 # -- machines ------------------------------------------------------------

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a running session can still take over. Shuffle partition counts and
 # memory stay with the cluster; AQE coalesces what is too many.
@@ -45,14 +46,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return prepare(builder.getOrCreate())
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back.
+
+    Later jobs start from the files: they do not repeat what led to them, and a
+    lost executor loses nothing.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/tickloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir.
 
     Only a session that names none, as in tests on one machine, gets a
     temporary folder.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickloom-ckpt-"))
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tickloom-ckpt-"))
+    return context.getCheckpointDir()
