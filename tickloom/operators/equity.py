@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions import clip, fdiv
+from tickloom.functions import clip
 from tickloom.operators.blocks import BLOCK, DEFAULT_ROWS, SLOT, Series, place, running
 from tickloom.operators.graph import Graph, Node
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions import fdiv, finite
-from tickloom.operators.blocks import BLOCK, OWN, SLOT, Series, running, with_halo
+from tickloom.operators.blocks import OWN, SLOT, Series, running, with_halo
 
 # Recurrences run inside strides of this many slots, short enough for q**-STRIDE
 # to stay a finite double for every smoothing factor down to a span of 2.
