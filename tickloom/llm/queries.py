@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import oracles
+from tickloom.llm import language_id, oracles
 from tickloom.llm import quality_rules as rules
-from tickloom.llm import sharding
+from tickloom.llm import sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,13 +23,22 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), SHARD_TREE)
 
 
+def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.drop("failed_rule")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hash_tree_shards, op10_rule_cascade)}
+    found = (op1_hash_tree_shards, op6_kneser_ney_toxicity, op8_hyperdimensional_language, op10_rule_cascade)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
