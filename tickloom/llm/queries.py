@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language_id, oracles
+from tickloom.llm import language_id, oracles, quality_model
 from tickloom.llm import quality_rules as rules
 from tickloom.llm import sharding, toxicity
 
@@ -23,6 +23,10 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), SHARD_TREE)
 
 
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +41,7 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_hash_tree_shards, op6_kneser_ney_toxicity, op8_hyperdimensional_language, op10_rule_cascade)
+    found = (op1_hash_tree_shards, op4_attention_quality, op6_kneser_ney_toxicity, op8_hyperdimensional_language, op10_rule_cascade)
     return {f.__name__: f for f in found}
 
 

@@ -105,6 +105,14 @@ def blocks(texts: pa.Array, lower: bool = True, limit: int = BLOCK_BYTES) -> Ite
         first = last
 
 
+def runs_of_upper(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each word has two capitals A-Z or more and no small a-z."""
+    data = block.raw
+    sums = np.concatenate([[0], np.cumsum((data >= 0x41) & (data <= 0x5A))])
+    small = np.concatenate([[0], np.cumsum((data >= 0x61) & (data <= 0x7A))])
+    return (sums[ends] - sums[starts] >= 2) & (small[ends] == small[starts])
+
+
 def owners(offsets: np.ndarray) -> np.ndarray:
     """For each item the number of the text it belongs to."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
