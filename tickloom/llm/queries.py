@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language_id, oracles, quality_model
+from tickloom.llm import language_id, language_model, oracles, quality_model
 from tickloom.llm import quality_rules as rules
 from tickloom.llm import sharding, toxicity
 
@@ -31,6 +31,10 @@ def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_hash_tree_shards, op4_attention_quality, op6_kneser_ney_toxicity, op8_hyperdimensional_language, op10_rule_cascade)
+    found = (op1_hash_tree_shards, op4_attention_quality, op6_kneser_ney_toxicity, op7_log_bilinear_scores, op8_hyperdimensional_language, op10_rule_cascade)
     return {f.__name__: f for f in found}
 
 
