@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language_id, language_model, oracles, quality_model
+from tickloom.llm import decontamination, language_id, language_model, oracles, quality_model
 from tickloom.llm import quality_rules as rules
 from tickloom.llm import sharding, toxicity
 
@@ -27,6 +27,10 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,15 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_hash_tree_shards, op4_attention_quality, op6_kneser_ney_toxicity, op7_log_bilinear_scores, op8_hyperdimensional_language, op10_rule_cascade)
+    found = (
+        op1_hash_tree_shards,
+        op4_attention_quality,
+        op5_benchmark_leaks,
+        op6_kneser_ney_toxicity,
+        op7_log_bilinear_scores,
+        op8_hyperdimensional_language,
+        op10_rule_cascade,
+    )
     return {f.__name__: f for f in found}
 
 
