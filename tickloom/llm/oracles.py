@@ -89,4 +89,63 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM judged
 """
 
+def mix_sql(targets: dict[str, dict[str, float]], rate: float, sweeps: int, seed: str = "mix") -> str:
+    wanted = ", ".join(f"('{m}', '{v}', {t})" for m, values in targets.items() for v, t in values.items())
+    listed = {m: ", ".join(f"'{v}'" for v in values) for m, values in targets.items()}
+    return rf"""
+WITH RECURSIVE
+figures AS (
+  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
+    length(regexp_replace(coalesce(text, ''), '[^|]', '', 'g')) AS bars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS symbols,
+    length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS upper,
+    length(regexp_replace(coalesce(text, ''), '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g')) AS letters
+  FROM documents),
+marked AS (
+  SELECT doc_id, CAST(n AS BIGINT) AS tokens,
+    CASE WHEN source IN ({listed["source"]}) THEN source ELSE 'other' END AS source_group,
+    CASE WHEN lang IN ({listed["lang"]}) THEN lang ELSE 'other' END AS lang_group,
+    CASE WHEN 4 * bars > n THEN 'table' WHEN 2 * upper > letters THEN 'shout' WHEN 10 * symbols > 3 * n THEN 'symbols'
+      WHEN n < 100 THEN 'note' WHEN n < 1000 THEN 'article' ELSE 'book' END AS topic
+  FROM figures),
+wanted(margin, value, share) AS (VALUES {wanted}),
+cells AS (SELECT source_group, lang_group, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM marked GROUP BY ALL),
+total AS (SELECT sum(tokens) AS tokens FROM cells),
+margins AS (
+  SELECT margin, value, sum(tokens) AS tokens FROM (
+    SELECT 'source' AS margin, source_group AS value, tokens FROM cells
+    UNION ALL SELECT 'lang', lang_group, tokens FROM cells
+    UNION ALL SELECT 'topic', topic, tokens FROM cells) GROUP BY ALL),
+goals AS (
+  SELECT m.margin, m.value, CASE WHEN m.value = 'other' THEN m.tokens WHEN m.tokens > 0 THEN
+      w.share / sum(CASE WHEN m.tokens > 0 THEN w.share END) OVER (PARTITION BY m.margin)
+      * ((SELECT tokens FROM total) - coalesce(sum(CASE WHEN m.value = 'other' THEN m.tokens END) OVER (PARTITION BY m.margin), 0))
+      ELSE 0 END AS goal
+  FROM margins m LEFT JOIN wanted w ON w.margin = m.margin AND w.value = m.value),
+raked AS (
+  SELECT 0 AS k, c.*, CAST(1 AS DOUBLE) AS w, s.goal AS gs, l.goal AS gl, t.goal AS gt FROM cells c
+  JOIN goals s ON s.margin = 'source' AND s.value = source_group
+  JOIN goals l ON l.margin = 'lang' AND l.value = lang_group
+  JOIN goals t ON t.margin = 'topic' AND t.value = topic
+  UNION ALL
+  SELECT k + 1, source_group, lang_group, topic, tokens,
+    coalesce(w * CASE k % 3 WHEN 0 THEN gs WHEN 1 THEN gl ELSE gt END / nullif(CASE k % 3
+      WHEN 0 THEN sum(tokens * w) OVER (PARTITION BY source_group)
+      WHEN 1 THEN sum(tokens * w) OVER (PARTITION BY lang_group)
+      ELSE sum(tokens * w) OVER (PARTITION BY topic) END, 0), 0), gs, gl, gt
+  FROM raked WHERE k < {3 * sweeps}),
+ranked AS (
+  SELECT *, coalesce(sum(tokens) OVER (ORDER BY w DESC, source_group, lang_group, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(tokens * w) OVER (ORDER BY w DESC, source_group, lang_group, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM raked WHERE k = {3 * sweeps}),
+scale AS (
+  SELECT arg_min(({rate} * (SELECT tokens FROM total) - filled) / rest, filled) AS c FROM ranked
+  WHERE rest > 0 AND ({rate} * (SELECT tokens FROM total) - filled) / rest * w <= 1),
+solved AS (SELECT source_group, lang_group, topic, w, least(1, coalesce((SELECT c FROM scale) * w, 1)) AS p FROM ranked)
+SELECT doc_id, source_group, lang_group, topic, m.tokens, round(w, 6) AS weight, round(p, 6) AS probability,
+  (CAST('0x' || substr(md5('{seed}/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 < p AS sampled
+FROM marked m JOIN solved USING (source_group, lang_group, topic)
+"""
+
+
 SQL = {"op1_hash_tree_shards": OP1, "op10_rule_cascade": OP10}

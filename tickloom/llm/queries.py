@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, language_id, language_model, oracles, quality_model
+from tickloom.llm import decontamination, language_id, language_model, mixing, oracles, quality_model
 from tickloom.llm import quality_rules as rules
 from tickloom.llm import sharding, toxicity
 
@@ -14,6 +15,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SHARD_TREE = sharding.HashTree.regular(regions=3, racks=2, shards=4)
 
+MIX_TARGETS: mixing.Targets = {
+    "source": {f"src{k}": 0.05 for k in range(20)},
+    "lang": {"en": 0.55, "fr": 0.18, "de": 0.15, "es": 0.12},
+    "topic": {"table": 0.02, "shout": 0.01, "symbols": 0.01, "note": 0.06, "article": 0.6, "book": 0.3},
+}
+MIX_RATE = 0.8
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +31,20 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), SHARD_TREE)
 
 
+def op3_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_RATE)
+    return mixed.select(
+        "doc_id",
+        F.col("_source").alias("source_group"),
+        F.col("_lang").alias("lang_group"),
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("tokens"),
+        F.round("_weight", 6).alias("weight"),
+        F.round("_probability", 6).alias("probability"),
+        F.col("_sampled").alias("sampled"),
+    )
+
+
 def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +73,7 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_hash_tree_shards,
+        op3_raked_mix,
         op4_attention_quality,
         op5_benchmark_leaks,
         op6_kneser_ney_toxicity,
@@ -62,4 +85,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.SQL | {"op3_raked_mix": oracles.mix_sql(MIX_TARGETS, MIX_RATE, mixing.SWEEPS)}
