@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, language_id, language_model, mixing, oracles, quality_model
+from tickloom.llm import decontamination, jaccard_join, language_id, language_model, mixing, oracles, quality_model
 from tickloom.llm import quality_rules as rules
 from tickloom.llm import sharding, toxicity
 
@@ -31,6 +31,10 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), SHARD_TREE)
 
 
+def op2_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op3_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_RATE)
     return mixed.select(
@@ -73,6 +77,7 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_hash_tree_shards,
+        op2_set_relation_join,
         op3_raked_mix,
         op4_attention_quality,
         op5_benchmark_leaks,
