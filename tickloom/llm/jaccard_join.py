@@ -99,10 +99,10 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _describe(docs: DataFrame, order, id_column: str, text_column: str, keep: list[str], size: int, percent: int) -> DataFrame:
-    """id, kept columns, n, fingerprint, prefix in the common order and signature of every row."""
-    kept = [id_column, *keep]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+def _describe(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
+    """All columns but the text, n, fingerprint, prefix in the common order and signature of every row."""
+    kept = [c for c in docs.columns if c != "_text"]
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
@@ -131,8 +131,7 @@ def _describe(docs: DataFrame, order, id_column: str, text_column: str, keep: li
                     [*kept, "n", "f1", "f2", "prefix", "signature"],
                 )
 
-    rows = docs.select(docs[text_column].alias("_text"), *(docs[c] for c in kept))
-    return rows.mapInArrow(run, f"{fields}, n long, f1 long, f2 long, prefix array<long>, signature binary")
+    return docs.select("_text", *kept).mapInArrow(run, f"{fields}, n long, f1 long, f2 long, prefix array<long>, signature binary")
 
 
 def _list_pairs(percent: int):
@@ -272,7 +271,7 @@ def _verify(percent: int):
     return run
 
 
-def _whole_sets(docs: DataFrame, nodes: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """f1, f2, tokens of the wanted classes, from one more pass over the texts.
 
     The buckets of the wanted rows are a first sieve of fixed size; what passes
@@ -302,15 +301,15 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, id_column: str, text_column:
                         ["f1", "f2", "tokens"],
                     )
 
-    rows = docs.select(docs[text_column].alias("_text"), F.xxhash64(docs[id_column]).alias("_key"))
+    rows = docs.select("_text", F.xxhash64("_id").alias("_key"))
     passed = rows.mapInArrow(run, "f1 long, f2 long, tokens array<long>")
     return passed.join(nodes.select("node", "f1", "f2"), ["f1", "f2"]).dropDuplicates(["node"]).select("node", "tokens")
 
 
-def _links(described: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text_column: str, size: int, percent: int) -> DataFrame:
+def _links(described: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """u, v: linked classes."""
     reps = described.join(classes.select(F.col("node").alias("_row"), "node"), "_row")
-    reps = materialize(reps.select("node", "n", "f1", "f2", F.col(id_column).alias("member"), "prefix", "signature"))
+    reps = materialize(reps.select("node", "n", "f1", "f2", F.col("_id").alias("member"), "prefix", "signature"))
     postings = reps.select("node", F.posexplode("prefix").alias("position", "token"))
     live = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = postings.join(live, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("position", "token", "df"))).alias("live"))
@@ -350,7 +349,7 @@ def _links(described: DataFrame, classes: DataFrame, docs: DataFrame, id_column:
     left, right = place("first_a", "a", "parts_a"), place("first_b", "b", "parts_b")
     units = materialize(units.select(F.xxhash64(F.least(left, right), F.greatest(left, right)).alias("unit"), "a", "b"))
     needed = sides.select("node").distinct()
-    sets = _whole_sets(docs, reps.select("node", "f1", "f2", "member").join(needed, "node"), id_column, text_column, size)
+    sets = _whole_sets(docs, reps.select("node", "f1", "f2", "member").join(needed, "node"), size)
     members = units.select("unit", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
     rows = members.select("unit", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tokens").unionByName(
         units.select("unit", "a", "b", F.lit(None).cast("array<long>").alias("tokens"))
@@ -382,24 +381,25 @@ def jaccard_classes(
             own = words.shingle_sets(block, size)
             yield np.concatenate(own)
 
+    # Names of our own, so that no name of the table is in the way.
+    kept = {c: f"_keep{k}" for k, c in enumerate(keep)}
+    rows = docs.select(
+        docs[text_column].alias("_text"), docs[id_column].alias("_id"), *(docs[c].alias(own) for c, own in kept.items())
+    )
     order = docs.sparkSession.sparkContext.broadcast(
-        _bucket_counts(docs.select(text_column), shingles, ORDER_BITS).astype(np.uint32)
+        _bucket_counts(rows.select("_text"), shingles, ORDER_BITS).astype(np.uint32)
     )
-    described = _describe(docs, order, id_column, text_column, [c for c in keep if c != id_column], size, percent)
-    described = materialize(described.withColumn("_row", F.monotonically_increasing_id()))
+    described = materialize(_describe(rows, order, size, percent).withColumn("_row", F.monotonically_increasing_id()))
     classes = materialize(
         described.where("n > 0")
         .groupBy("f1", "f2", "n")
-        .agg(
-            F.min("_row").alias("node"),
-            F.count(F.lit(1)).alias("rows"),
-            F.min(id_column).alias("least"),
-        )
+        .agg(F.min("_row").alias("node"), F.count(F.lit(1)).alias("rows"), F.min("_id").alias("least"))
     )
-    links = _links(described, classes, docs, id_column, text_column, size, percent)
+    links = _links(described, classes, rows, size, percent)
     rooted = components(links)
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = both.join(classes.select(F.col("node").alias("v"), "rows"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("rows").alias("more"))
+    linked = both.join(classes.select(F.col("node").alias("v"), "rows"), "v")
+    more = linked.groupBy(F.col("u").alias("node")).agg(F.sum("rows").alias("more"))
     labelled = rooted.join(classes.select("node", "least"), "node")
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
     grouped = rooted.join(least, "root").select("node", "component")
@@ -411,9 +411,9 @@ def jaccard_classes(
         F.coalesce("component", "least").alias("component_id"),
     )
     return described.drop("prefix", "signature", "_row").join(info, ["f1", "f2", "n"], "left").select(
-        id_column,
-        *(c for c in keep if c != id_column),
+        F.col("_id").alias(id_column),
+        *(F.col(own).alias(c) for c, own in kept.items()),
         F.col("n").alias("n_shingles"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", id_column).alias("component_id"),
+        F.coalesce("component_id", "_id").alias("component_id"),
     )

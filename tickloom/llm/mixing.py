@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tickloom.llm import words
 from tickloom.llm.quality_rules import Texts
@@ -43,20 +42,22 @@ def topics(block: words.Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_topic(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """All columns of ``docs`` and _tokens, _topic."""
+    """row (a struct of all columns of ``docs``), tokens and topic."""
     at = docs.columns.index(text_column)
-    schema = StructType([*docs.schema.fields, StructField("_tokens", LongType()), StructField("_topic", StringType())])
     names = pa.array(TOPICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [topics(block) for block in words.blocks(batch.column(at), lower=False)]
+            row = batch.column(0)
+            parts = [topics(block) for block in words.blocks(row.field(at), lower=False)]
             n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
             kind = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            columns = [*batch.columns, pa.array(n.astype(np.int64)), names.take(pa.array(kind))]
-            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+            yield pa.RecordBatch.from_arrays(
+                [row, pa.array(n.astype(np.int64)), names.take(pa.array(kind))], ["row", "tokens", "topic"]
+            )
 
-    return docs.mapInArrow(run, schema)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return rows.mapInArrow(run, f"row {docs.schema.simpleString()}, tokens long, topic string")
 
 
 def group(column: str, targets: dict[str, float]) -> Column:
@@ -111,33 +112,30 @@ def mix(
     lang_column: str = "lang",
     seed: str = "mix",
 ) -> DataFrame:
-    """All columns of ``docs`` and _source, _lang, _topic, _tokens, _weight, _probability, _sampled.
+    """row (a struct of all columns of ``docs``), source, lang, topic, tokens, weight, probability and sampled.
 
     ``rate`` is the share of all tokens to keep in expectation. A row is sampled
     if the hash of its id is below its probability, so equal ids share the draw.
     NULL and empty texts have no tokens, but the probability of their cell; an
-    empty table gives an empty result. Columns that begin like the added ones are
-    replaced.
+    empty table gives an empty result.
     """
-    added = ["_source", "_lang", "_topic", "_tokens", "_weight", "_probability", "_sampled"]
-    marked = with_topic(docs.drop(*added), text_column)
-    marked = marked.withColumn("_source", group(source_column, targets["source"])).withColumn(
-        "_lang", group(lang_column, targets["lang"])
+    marked = with_topic(docs, text_column)
+    marked = marked.withColumn("source", group(f"row.`{source_column}`", targets["source"])).withColumn(
+        "lang", group(f"row.`{lang_column}`", targets["lang"])
     )
-    key = ["_source", "_lang", "_topic"]
+    key = ["source", "lang", "topic"]
     # At most as many rows as the targets have combinations.
-    rows = marked.groupBy(*key).agg(F.sum("_tokens").alias("tokens")).orderBy(*key).toArrow().to_pylist()
+    rows = marked.groupBy(*key).agg(F.sum("tokens").alias("tokens")).orderBy(*key).toArrow().to_pylist()
     cells = [(tuple(r[k] for k in key), float(r["tokens"])) for r in rows]
-    weight = rake(cells, [targets["source"], targets["lang"], targets["topic"]])
+    weight = rake(cells, [targets[k] for k in key])
     tokens = np.array([n for _, n in cells])
     probability = calibrate(tokens, weight, rate * tokens.sum())
     solved = docs.sparkSession.createDataFrame(
         [(*k, float(w), float(p)) for (k, _), w, p in zip(cells, weight, probability, strict=True)],
-        "_source string, _lang string, _topic string, _weight double, _probability double",
+        "source string, lang string, topic string, weight double, probability double",
     )
-    ident = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
+    ident = F.coalesce(F.col(f"row.`{id_column}`").cast("string"), F.lit("null"))
     digest = F.md5(F.concat(F.lit(seed + "/"), ident))
     draw = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    return marked.join(F.broadcast(solved), key).withColumn("_sampled", draw < F.col("_probability")).select(
-        *(c for c in docs.columns if c not in added), *added
-    )
+    sampled = marked.join(F.broadcast(solved), key).withColumn("sampled", draw < F.col("probability"))
+    return sampled.select("row", *key, "tokens", "weight", "probability", "sampled")

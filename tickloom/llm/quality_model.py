@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tickloom.llm import words
 from tickloom.llm.learning import fold, labelled_sample, sigmoid
@@ -196,9 +197,9 @@ def score_quality(
     held_out: int = 0,
     rows_per_class: int = 2500,
     threshold: float = 0.3,
-    keep: tuple[str, ...] = (),
+    carry: bool = False,
 ) -> DataFrame:
-    """id, the columns named in ``keep``, held_out, score and predicted of every row.
+    """id, held_out, score and predicted of every row, with ``carry`` also the whole row as a struct ``row``.
 
     The model is fitted on at most ``rows_per_class`` labelled rows of each class
     outside the held-out fold. NULL and empty texts are one passage without words;
@@ -208,20 +209,28 @@ def score_quality(
     sample = labelled_sample(docs, labels, target, id_column, text_column, modulus, held_out, rows_per_class)
     model = fit_quality(sample.texts, sample.labels, sample.prior_shift)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [id_column, *(c for c in keep if c != id_column)]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    id_type = docs.schema[id_column].dataType.simpleString()
+    row_type = f"row {docs.schema.simpleString()}, " if carry else ""
+    extra = ["row"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            parts = [own.scores(block) for block in words.blocks(batch.column(1), lower=False)]
+            texts = batch.column(2)
+            parts = [own.scores(block) for block in words.blocks(texts.field(at) if carry else texts, lower=False)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                [*kept, "held_out", "score", "predicted"],
+                [
+                    *([texts] if carry else []),
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(score),
+                    pa.array((score >= threshold).astype(np.int32)),
+                ],
+                [*extra, id_column, "held_out", "score", "predicted"],
             )
 
-    rows = docs.select(
-        (fold(id_column, modulus) == held_out).alias("_held_out"), docs[text_column].alias("_text"), *(docs[c] for c in kept)
-    )
-    return rows.mapInArrow(run, f"{fields}, held_out boolean, score double, predicted int")
+    at = docs.columns.index(text_column)
+    text = F.struct(*(docs[c] for c in docs.columns)) if carry else docs[text_column]
+    rows = docs.select(docs[id_column], (fold(id_column, modulus) == held_out).alias("_held_out"), text.alias("_text"))
+    return rows.mapInArrow(run, f"{row_type}`{id_column}` {id_type}, held_out boolean, score double, predicted int")

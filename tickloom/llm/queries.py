@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, jaccard_join, language_id, language_model, mixing, oracles, quality_model
 from tickloom.llm import quality_rules as rules
-from tickloom.llm import sharding, toxicity
+from tickloom.llm import secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,16 +36,16 @@ def op2_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_RATE)
-    return mixed.select(
-        "doc_id",
-        F.col("_source").alias("source_group"),
-        F.col("_lang").alias("lang_group"),
-        F.col("_topic").alias("topic"),
-        F.col("_tokens").alias("tokens"),
-        F.round("_weight", 6).alias("weight"),
-        F.round("_probability", 6).alias("probability"),
-        F.col("_sampled").alias("sampled"),
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs, MIX_TARGETS, MIX_RATE).select(
+        "row.doc_id",
+        F.col("source").alias("source_group"),
+        F.col("lang").alias("lang_group"),
+        "topic",
+        "tokens",
+        F.round("weight", 6).alias("weight"),
+        F.round("probability", 6).alias("probability"),
+        "sampled",
     )
 
 
@@ -69,6 +69,10 @@ def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.drop("failed_rule")
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         op6_kneser_ney_toxicity,
         op7_log_bilinear_scores,
         op8_hyperdimensional_language,
+        op9_forest_secret_scan,
         op10_rule_cascade,
     )
     return {f.__name__: f for f in found}
