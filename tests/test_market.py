@@ -1,11 +1,12 @@
 import json
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars, book, quality
 from tickloom.sources import raw, sinks
+from tickloom.sources.daily import process_days
 from tickloom.streaming import market as live
 
 T0 = datetime(2024, 1, 1)
@@ -33,7 +34,7 @@ def test_bars_are_dense(spark, block_rows):
 
 @pytest.mark.parametrize("block_rows", [4096, 4])
 def test_side_edges(spark, block_rows):
-    made = bars.trade_bars(trades(spark, ROWS), 60, edge_mode="reference", block_rows=block_rows)
+    made = bars.trade_bars(trades(spark, ROWS), 60, edge_mode="carry", block_rows=block_rows)
     made = made.orderBy("ts").collect()
     # The last buy is in the first bar, so its values repeat to the end.
     assert {r["buy_volume"] for r in made} == {2}
@@ -69,14 +70,39 @@ def test_trade_lines(spark, tmp_path):
     assert [(r["price"], r["quantity"]) for r in rows] == [(30000.0, 1.0)]
 
 
-def test_day_range_is_pruned(spark, tmp_path):
-    for day in (1, 2, 3):
-        folder = tmp_path / f"year=2024/month=1/day={day}/kind=orderbook"
+def day_files(root, days):
+    """Raw files of these days of January 2024: two book lines and three trades, a bad one with them."""
+    for day in days:
+        folder = root / f"2024/01/{day:02d}"
         folder.mkdir(parents=True)
-        (folder / "f.json").write_text(line())
-    df = raw.read_raw(spark, str(tmp_path), "orderbook", "2024-01-02", "2024-01-03", raw.BOOK_SCHEMA)
+        start = int(datetime(2024, 1, day, tzinfo=timezone.utc).timestamp() * 1000)
+        (folder / f"a_orderbook_202401{day:02d}_000000.jsonl").write_text(line().replace("1704067200123", str(start + 5)))
+        trades = [
+            {"timestamp": start + 1000 * k, "event_time": 1, "trade_id": k, "symbol": "A", "price": str(100 + k), "quantity": "1", "is_buyer_maker": True}
+            for k in range(3)
+        ]
+        (folder / f"a_trades_202401{day:02d}_000000.jsonl").write_text("\n".join(map(json.dumps, [*trades, {"price": "x"}])))
+
+
+def test_only_folders_of_the_range_are_read(spark, tmp_path):
+    day_files(tmp_path, (1, 2, 3, 5))
+    df = raw.read_raw(spark, str(tmp_path), "orderbook", "2024-01-02", "2024-01-04", raw.BOOK_SCHEMA)
     assert df.count() == 2
-    assert "PartitionFilters: [" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(f.split("2024/01/")[1] for f in df.inputFiles()) == ["02/a_orderbook_20240102_000000.jsonl", "03/a_orderbook_20240103_000000.jsonl"]
+    assert raw.read_raw(spark, str(tmp_path), "orderbook", "2025-01-02", "2025-01-04", raw.BOOK_SCHEMA).count() == 0
+
+
+def test_daily_job(spark, tmp_path):
+    day_files(tmp_path / "raw", (1, 2, 4))
+    (tmp_path / "raw/2024/01/04/a_trades_20240104_000000.jsonl").write_text("not json")
+    out = str(tmp_path / "out")
+    report = {r.date: (r.rows, r.status) for r in process_days(spark, str(tmp_path / "raw"), out, "2024-01-01", "2024-01-04").collect()}
+    assert report == {"2024-01-01": (1, "done"), "2024-01-02": (1, "done"), "2024-01-03": (0, "missing"), "2024-01-04": (0, "missing")}
+    rows = spark.read.parquet(out).orderBy("date").collect()
+    assert [(r.open, r.close, r.volume, r.best_bid) for r in rows] == [(100.0, 102.0, 3.0, 30000.0)] * 2
+    (tmp_path / "file").write_text("")
+    failed = process_days(spark, str(tmp_path / "raw"), str(tmp_path / "file"), "2024-01-01", "2024-01-01").first()
+    assert failed.status == "failed" and failed.error
 
 
 DELTAS = "symbol string, ts timestamp, update_id long, side string, price double, qty double"
@@ -104,7 +130,19 @@ def books(rows):
 
 
 def test_reconstruction(spark):
-    assert books(book.reconstruct(deltas(spark), 1).collect()) == BOOKS
+    for block_rows in (1, 2, 100):
+        listed = book.reconstruct(deltas(spark), 1, block_rows=block_rows)
+        assert books(listed.collect()) == BOOKS
+        assert books(book.dense_book(listed).collect()) == BOOKS
+
+
+def test_one_sided_points_are_left_out(spark):
+    rows = [(0.5, "bid", 10, 1), (1.5, "ask", 11, 1), (3.5, "ask", 11, 0), (6.5, "ask", 12, 2)]
+    made = spark.createDataFrame([("A", T0 + timedelta(seconds=s), i, side, float(p), float(q)) for i, (s, side, p, q) in enumerate(rows)], DELTAS)
+    for block_rows in (1, 100):
+        listed = book.reconstruct(made, 1, block_rows=block_rows)
+        assert books(listed.collect()) == {2: {"bid": [(10, 1)], "ask": [(11, 1)]}, 7: {"bid": [(10, 1)], "ask": [(12, 2)]}}
+        assert sorted(books(book.dense_book(listed).collect())) == [2, 3, 7]
 
 
 def test_live_book_equals_batch(spark, tmp_path):

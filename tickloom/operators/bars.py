@@ -78,9 +78,9 @@ def trade_bars(
 
     Empty bins repeat the last open, high, low, close and vwap and have zero
     volume and counts. edge_mode "zero" gives bins without buys (or sells) a
-    zero; "reference" repeats the last value after that side's final trade.
+    zero; "carry" repeats the last value after that side's final trade.
     """
-    if edge_mode not in ("zero", "reference"):
+    if edge_mode not in ("zero", "carry"):
         raise ValueError(f"unknown edge_mode: {edge_mode}")
     series = Series(tuple(keys), block_rows)
     binned = (
@@ -98,7 +98,7 @@ def trade_bars(
             for c in zero_when_filled
         }
     )
-    if edge_mode == "reference":
+    if edge_mode == "carry":
         dense = _repeat_side_edges(dense, series)
     floats = ("volume", "buy_volume", "sell_volume")
     return dense.select(

@@ -41,8 +41,9 @@ class Series:
 
 
 def time_slot(ts: Column, seconds: int) -> Column:
-    """Position on the grid of `seconds`-wide bins since the epoch."""
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+    """Position on the grid of `seconds`-wide bins since the epoch; a row without a time is an error."""
+    bin_number = F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.coalesce(bin_number, F.raise_error(F.lit("a row has no time")).cast("long"))
 
 
 def slot_time(slot: Column, seconds: int) -> Column:
@@ -71,7 +72,7 @@ def row_slots(
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
         cut.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_chunk"])
+        .transform(lambda numbered: join_on(numbered, offsets, [*keys, "_chunk"]))
         .withColumn(SLOT, F.col("_offset") + F.col("_rn") - 1)
         .drop("_chunk", "_rn", "_offset")
     )
@@ -94,14 +95,15 @@ def with_halo(df: DataFrame, series: Series, back: int, ahead: int = 0) -> DataF
 
 
 def gather(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Bring the rows of a block together.
+    """Bring the rows of a block together; adaptive execution sizes the tasks."""
+    return df.repartition(*columns)
 
-    The partition count is given, so that adaptive execution, which only looks
-    at bytes, does not merge the few bytes of a compute-heavy stage into one
-    task. A block is small, whatever the size of its series.
-    """
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(count, *columns)
+
+def join_on(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where NULL equals NULL, so that no row of a NULL key is lost."""
+    named = right.select(*(F.col(c).alias(f"_right_{c}") if c in columns else F.col(c) for c in right.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in columns]
+    return left.join(named, same, how).drop(*(f"_right_{c}" for c in columns))
 
 
 def running(df: DataFrame, series: Series, totals: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -153,7 +155,7 @@ def running(df: DataFrame, series: Series, totals: dict[str, tuple[str, Column]]
         }[kind]
     table = valued.groupBy(*series.home).agg(*per_block).select(*series.home, *carry)
     scratch = [f"{p}{name}" for name in totals for p in ("_v_", "_l_", "_c_")]
-    return valued.withColumns(local).join(table, series.home).withColumns(merged).drop(*scratch)
+    return join_on(valued.withColumns(local), table, series.home).withColumns(merged).drop(*scratch)
 
 
 def fill_missing(

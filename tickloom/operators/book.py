@@ -3,13 +3,17 @@ the trade flow just before a snapshot."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions import fdiv
-from tickloom.operators.blocks import BLOCK, OWN, SLOT, Series, with_halo
+from tickloom.operators.blocks import BLOCK, OWN, SLOT, Series, gather, join_on
+from tickloom.session import materialize
 
 LEVELS = 20
 
@@ -113,39 +117,145 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return picked.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
+BOOK_ROWS = 8192
+
+
 def reconstruct(
     deltas: DataFrame,
     every: int = 1,
     levels: int = LEVELS,
     *,
     keys: Sequence[str] = ("symbol",),
+    block_rows: int = BOOK_ROWS,
 ) -> DataFrame:
-    """Best levels at the end of each grid point since a side's first delta.
+    """The best levels of both sides after every grid point that has a delta.
 
     `deltas` has (ts, update_id, side, price, qty), side being bid or ask and
-    qty 0 removing the level. A level lives from its delta to the next delta at
-    the same price; it is listed at every grid point in between. Levels far
-    from the top are cut early by the per-partition limit that Spark derives
-    from the rank filter.
+    qty 0 removing the level. A listing holds until `valid_until`, the point
+    before the next delta (its own point for the last one); `dense_book` repeats
+    it in between. Points where a side has no level are left out.
+
+    A series is cut into blocks of about `block_rows` level changes. Each block
+    gets the levels that are open where it begins and is walked in order, so
+    what is handled grows with the changes, not with seconds times levels.
     """
     period = every * 1_000_000
     level = [*keys, "side", "price"]
     point = F.ceil(F.unix_micros("ts") / F.lit(period)).cast("long")
-    last = keep_last(deltas.withColumn("_from", point), [*level, "_from"], ["ts", "update_id"])
-    end = deltas.groupBy(*keys).agg(F.max(point).alias("_end"))
-    lives = Window.partitionBy(*level).orderBy("_from")
-    until = last.withColumn("_to", F.lead("_from").over(lives) - 1).filter("qty > 0")
-    open_ended = until.filter("_to IS NULL").drop("_to")
-    ended = until.filter("_to IS NOT NULL")
-    spans = ended.unionByName(open_ended.join(end, list(keys)).withColumnRenamed("_end", "_to"))
-    listed = spans.withColumn("_point", F.explode(F.sequence("_from", "_to")))
-    rank_key = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
-    best = Window.partitionBy(*keys, "_point", "side").orderBy(rank_key)
-    return (
-        listed.withColumn("level", F.row_number().over(best) - 1)
-        .filter(F.col("level") < levels)
-        .select(*keys, F.timestamp_micros(F.col("_point") * period).alias("ts"), "side", "level", "price", "qty")
+    last = materialize(keep_last(deltas.withColumn("_point", point), [*level, "_point"], ["ts", "update_id"]))
+
+    # Blocks from counts: changes per chunk of time are summed first, then those inside the chunk.
+    counts = last.groupBy(*keys, "_point").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_chunk", F.floor(F.col("_point") / 4096))
+    ahead = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = counts.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_sum"))
+    chunks = chunks.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_point").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    homes = join_on(counts.withColumn("_earlier", earlier), chunks, [*keys, "_chunk"]).select(
+        *keys, "_point", F.floor((F.col("_before") + F.col("_earlier")) / block_rows).alias(BLOCK)
+    )
+    in_order = Window.partitionBy(*keys).orderBy(BLOCK)
+    table = homes.groupBy(*keys, BLOCK).agg(F.min("_point").alias("_first"))
+    table = materialize(
+        table.select(*keys, BLOCK, F.lead("_first").over(in_order).alias("_next"), F.lead(BLOCK).over(in_order).alias("_after"))
+    )
+    placed = join_on(last, homes, [*keys, "_point"])
+
+    # A level that is open at the end of a block is sent to the blocks up to its next change.
+    left = placed.groupBy(*level, BLOCK).agg(F.max_by("qty", "_point").alias("qty"))
+    changes = Window.partitionBy(*level).orderBy(BLOCK)
+    ends = table.groupBy(*keys).agg(F.max(BLOCK).alias("_end"))
+    left = join_on(left.withColumn("_until", F.lead(BLOCK).over(changes)).where("qty > 0"), ends, keys)
+    left = left.withColumn("_until", F.coalesce("_until", "_end")).where(F.col("_until") > F.col(BLOCK))
+    open_levels = left.withColumn(BLOCK, F.explode(F.sequence(F.col(BLOCK) + 1, F.col("_until"))))
+
+    columns = [*keys, BLOCK, "_point", "side", "price", "qty", "_next"]
+    rows = placed.unionByName(open_levels.withColumn("_point", F.lit(None).cast("long")), allowMissingColumns=True)
+    rows = join_on(rows, table.drop("_after"), [*keys, BLOCK], "inner").select(*columns)
+    schema = T.StructType(
+        [
+            *(rows.schema[c] for c in keys),
+            T.StructField("_point", T.LongType()),
+            T.StructField("_until", T.LongType()),
+            T.StructField("side", T.StringType()),
+            T.StructField("level", T.IntegerType()),
+            T.StructField("price", T.DoubleType()),
+            T.StructField("qty", T.DoubleType()),
+        ]
+    )
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        entering = frame["_point"].isna()
+        book = OpenBook()
+        for side, price, qty in frame.loc[entering, ["side", "price", "qty"]].itertuples(index=False):
+            book.change(side, price, qty)
+        own = frame[~entering].sort_values("_point")
+        following = frame["_next"].iloc[0]
+        points = own["_point"].astype("int64").tolist()
+        listed: list[tuple] = []
+        rows = zip(points, own["side"].tolist(), own["price"].tolist(), own["qty"].tolist(), strict=True)
+        upcoming = [*points[1:], None if pd.isna(following) else int(following)]
+        for (now, side, price, qty), then in zip(rows, upcoming, strict=True):
+            book.change(side, price, qty)
+            if then != now and book.two_sided:
+                until = now if then is None else then - 1
+                listed += [(now, until, *entry) for entry in book.best(levels)]
+        made = pd.DataFrame(listed, columns=["_point", "_until", "side", "level", "price", "qty"])
+        for place, c in enumerate(keys):
+            made.insert(place, c, frame[c].iloc[0])
+        return made
+
+    made = gather(rows, [*keys, BLOCK]).groupBy(*keys, BLOCK).applyInPandas(walk, schema)
+    return made.select(
+        *keys,
+        F.timestamp_micros(F.col("_point") * period).alias("ts"),
+        "side",
+        "level",
+        "price",
+        "qty",
+        F.timestamp_micros(F.col("_until") * period).alias("valid_until"),
+    )
+
+
+class OpenBook:
+    """Open levels of both sides, sorted from the best."""
+
+    def __init__(self) -> None:
+        self.quantity: dict[str, dict[float, float]] = {"bid": {}, "ask": {}}
+        self.order: dict[str, list[float]] = {"bid": [], "ask": []}
+
+    def change(self, side: str, price: float, qty: float) -> None:
+        held, order = self.quantity[side], self.order[side]
+        rank = -price if side == "bid" else price
+        if qty == 0:
+            if held.pop(price, None) is not None:
+                del order[bisect_left(order, rank)]
+            return
+        if price not in held:
+            insort(order, rank)
+        held[price] = qty
+
+    @property
+    def two_sided(self) -> bool:
+        return bool(self.order["bid"]) and bool(self.order["ask"])
+
+    def best(self, levels: int) -> list[tuple[str, int, float, float]]:
+        out = []
+        for side, sign in (("bid", -1), ("ask", 1)):
+            held = self.quantity[side]
+            out += [(side, n, sign * r, held[sign * r]) for n, r in enumerate(self.order[side][:levels])]
+        return out
+
+
+def dense_book(listed: DataFrame, every: int = 1) -> DataFrame:
+    """The listings of `reconstruct`, repeated at every grid point they hold."""
+    step = F.expr(f"interval {every} seconds")
+    days = F.sequence("ts", "valid_until", F.expr(f"interval {every * 3600} seconds"))
+    parted = listed.withColumn("_from", F.explode(days)).withColumn(
+        "_to", F.least("valid_until", F.col("_from") + F.expr(f"interval {every * 3599} seconds"))
     )
+    return parted.withColumn("ts", F.explode(F.sequence("_from", "_to", step))).drop("_from", "_to", "valid_until")
 
 
 def trailing_flow(
@@ -162,7 +272,8 @@ def trailing_flow(
     milliseconds. Both tables are put on one time line cut into blocks; trades
     just before a block are copied into it.
     """
-    series = Series(tuple(keys), block_seconds * 1000)
+    # A block is at least as long as the window, so a trade goes to two at most.
+    series = Series(tuple(keys), max(block_seconds * 1000, window_ms))
     columns = [c for c in snapshots.columns if c not in keys]
     left = snapshots.select(
         *keys, F.unix_millis("ts").alias(SLOT), F.struct(*columns).alias("_snap"), *(F.lit(None).cast("double").alias(c) for c in ("_buy", "_sell", "_value"))
@@ -176,7 +287,11 @@ def trailing_flow(
         F.when(maker, F.col("quantity")).otherwise(0.0).alias("_sell"),
         (F.col("price") * F.col("quantity")).alias("_value"),
     )
-    line = with_halo(left.unionByName(right), series, window_ms)
+    # Snapshots stay in their block; only trades are looked back at.
+    own = left.withColumn(BLOCK, series.block_of(F.col(SLOT))).withColumn(OWN, F.lit(True))
+    blocks = F.sequence(series.block_of(F.col(SLOT)), series.block_of(F.col(SLOT) + window_ms))
+    copied = right.withColumn(BLOCK, F.explode(blocks)).withColumn(OWN, F.lit(False))
+    line = gather(own.unionByName(copied), series.home)
     recent = Window.partitionBy(*series.home).orderBy(SLOT).rangeBetween(-window_ms, 0)
     buy, sell, value = (F.coalesce(F.sum(c).over(recent), F.lit(0.0)) for c in ("_buy", "_sell", "_value"))
     summed = line.withColumns({"_b": buy, "_s": sell, "_w": value}).filter(F.col(OWN) & F.col("_snap").isNotNull())

@@ -69,6 +69,7 @@ class FeatureSet:
         block_rows: int = DEFAULT_ROWS,
         warm_up: int = WARM_UP,
         keep: Sequence[str] | None = None,
+        order: Sequence[str] = (),
     ) -> DataFrame:
         """Append the indicator columns to `df`.
 
@@ -78,6 +79,7 @@ class FeatureSet:
         complete: the bar columns hold no missing value, as those of
             `bars.trade_bars` do.
         keep: input columns to return; all by default.
+        order: columns that tell rows of equal time apart, where `every` is None.
         """
         specs = self._choose(names)
         series = Series(tuple(keys), block_rows)
@@ -85,7 +87,7 @@ class FeatureSet:
         if every is not None:
             rows = df.withColumn(SLOT, time_slot(F.col(time), every))
         else:
-            rows = row_slots(df, keys, [F.col(time)], F.date_trunc("hour", F.col(time)))
+            rows = row_slots(df, keys, [F.col(time), *map(F.col, order)], F.date_trunc("hour", F.col(time)))
         graph = Graph(series, [c for c in df.columns if c not in keys and c != time], complete)
         outputs: dict[str, Node | Ordered | None] = {}
         for s in specs:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import fdiv
-from tickloom.operators.blocks import BLOCK, SLOT, Series, row_slots, running
+from tickloom.operators.blocks import BLOCK, SLOT, Series, join_on, row_slots, running
 
 FIVE_MINUTES = 300
 
@@ -75,9 +75,13 @@ def chronological_split(
     *,
     keys: Sequence[str] = ("symbol",),
     time: str = "ts",
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Label rows train, validation or test by their place in time order."""
-    placed = row_slots(df, keys, [F.col(time)], F.date_trunc("hour", F.col(time)))
+    """Label rows train, validation or test by their place in time order.
+
+    order: columns that tell rows of equal time apart.
+    """
+    placed = row_slots(df, keys, [F.col(time), *map(F.col, order)], F.date_trunc("hour", F.col(time)))
     joined = _with_series_size(placed, Series(tuple(keys)))
     first = F.floor(F.col("_n") * train)
     second = first + F.floor(F.col("_n") * validation)
@@ -94,7 +98,7 @@ def _with_series_size(placed: DataFrame, series: Series) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(*series.home, F.sum("_rows").over(whole).alias("_n"))
     )
-    return cut.join(sizes, series.home)
+    return join_on(cut, sizes, series.home)
 
 
 def top_variance(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
@@ -108,6 +112,22 @@ def top_variance(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     )
 
 
+def top_correlation(df: DataFrame, features: Sequence[str], target: str, n: int) -> DataFrame:
+    """feature, rows and correlation of the n features most correlated with the target, ties by name.
+
+    Rows where the feature or the target is missing are left out of its pair.
+    """
+    parts = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features]
+    pairs = df.select(F.col(target).alias("y"), F.explode(F.array(*parts)).alias("p")).select("y", "p.*").dropna()
+    return (
+        pairs.groupBy("feature")
+        .agg(F.count(F.lit(1)).alias("rows"), F.corr("x", "y").alias("correlation"))
+        .where("correlation is not null and not isnan(correlation)")
+        .orderBy(F.desc(F.abs("correlation")), "feature")
+        .limit(n)
+    )
+
+
 def forward_return(
     df: DataFrame,
     price: str = "mid_price",
@@ -124,25 +144,25 @@ def forward_return(
     return seen.withColumn("target", target).drop("_next", SLOT, BLOCK)
 
 
-def model_importance(
-    df: DataFrame, features: Sequence[str], target: str, n: int, *, min_rows: int = 1000, seed: int = 42
-) -> DataFrame:
-    """The n features a boosted-tree model relies on most.
+def model_importance(df: DataFrame, features: Sequence[str], target: str, n: int, *, seed: int = 42) -> DataFrame:
+    """The n features a boosted-tree model relies on most, ties by name.
 
-    Rows with missing values are left out. With fewer than `min_rows` rows the
-    first n features are returned as they are.
+    Rows with missing values are left out; without a complete row there is no
+    model and the result is empty.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    clean = df.select(*features, target).na.drop("any").persist()
     spark = df.sparkSession
-    if clean.count() < min_rows:
-        ranked = [(f, None) for f in list(features)[:n]]
-        return spark.createDataFrame(ranked, "feature string, importance double")
-    rows = VectorAssembler(inputCols=list(features), outputCol="_features").transform(clean)
     # Every boosting round reads the rows again.
-    model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=10, maxDepth=4, seed=seed).fit(rows)
-    clean.unpersist()
-    pairs = sorted(zip(features, map(float, model.featureImportances.toArray()), strict=True), key=lambda p: -p[1])
-    return spark.createDataFrame(pairs[:n], "feature string, importance double")
+    clean = df.select(*features, target).na.drop("any").persist()
+    try:
+        if clean.isEmpty():
+            return spark.createDataFrame([], "feature string, importance double")
+        rows = VectorAssembler(inputCols=list(features), outputCol="_features").transform(clean)
+        model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=10, maxDepth=4, seed=seed).fit(rows)
+    finally:
+        clean.unpersist()
+    pairs = zip(features, map(float, model.featureImportances.toArray()), strict=True)
+    ranked = sorted(pairs, key=lambda p: (-p[1], p[0]))
+    return spark.createDataFrame(ranked[:n], "feature string, importance double")

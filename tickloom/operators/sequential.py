@@ -1,26 +1,30 @@
 """State machines over ordered series, parallel inside one series.
 
 A machine reads rows in order and carries a small state. Each block first
-guesses its entering state by running over the rows before it, then the guesses
-are compared with the leaving states of the blocks before. Blocks that guessed
-wrong run again from the right state until none is left, so the result is that
-of one pass in order. The compared table has one row per block.
+guesses its entering state by running over the rows before it. Then the blocks
+of a series are walked in order, in a table with one row per block and entering
+state tried. Where a block has not been tried with the state it is entered with,
+its leaving state is predicted and the walk goes on, so one round tries all
+blocks that need it. The walk is repeated until every step of it has been tried:
+the result is that of one pass in order.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.blocks import BLOCK, OWN, SLOT, Series, place, with_halo
+from tickloom.operators.blocks import BLOCK, OWN, SLOT, Series, gather, join_on, place, with_halo
 from tickloom.session import materialize
 
 WARM_UP = 2048
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -28,12 +32,15 @@ class Machine:
     """`run(state, columns)` handles consecutive rows.
 
     `state` is None before the first row of a series. It returns one list per
-    output column and the state after the last row, as floats.
+    output column and the state after the last row, as floats. `holds` says what
+    to expect of a block not tried yet: that the state stays as it is, or else
+    that the block leaves as it did when entered with the guessed state.
     """
 
     inputs: tuple[str, ...]
     outputs: tuple[str, ...]
     run: Callable[[list[float] | None, list[list[float]]], tuple[list[list[float]], list[float]]]
+    holds: bool = False
 
 
 def _step_all(machines: Sequence[Machine], states, frame: pd.DataFrame):
@@ -71,15 +78,6 @@ def ordered_pass(df: DataFrame, series: Series, machines: Sequence[Machine], war
     enter = _entering_states(df.select(*series.keys, SLOT, *inputs), series, machines, warm_up)
     rows = place(df, series)
 
-    if enter is None:
-
-        def fresh(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(SLOT, ignore_index=True)
-            made, _ = _step_all(machines, [None] * len(machines), frame)
-            return frame.assign(**made)[order]
-
-        return rows.groupBy(*home).applyInPandas(fresh, result_schema).drop(BLOCK)
-
     def resumed(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
             return pd.DataFrame(columns=order)
@@ -95,53 +93,90 @@ def ordered_pass(df: DataFrame, series: Series, machines: Sequence[Machine], war
     )
 
 
-def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> DataFrame | None:
-    """(key, block, enter), or None where no series has a second block."""
+def _walk(machines: Sequence[Machine], tried: pd.DataFrame) -> list[tuple[int, list[list[float]], bool]]:
+    """Entering state of every block of a series, and whether the block has been tried with it.
+
+    `tried` has block, enter, leave and round; the guess of a block is its row of
+    round 0.
+    """
+
+    def exact(state) -> tuple:
+        return tuple(tuple(repr(float(v)) for v in part) for part in state)
+
+    known: dict[int, dict[tuple, list]] = {}
+    guessed: dict[int, list] = {}
+    for block, enter, leave, number in tried.itertuples(index=False):
+        enter, leave = ([list(map(float, part)) for part in state] for state in (enter, leave))
+        known.setdefault(block, {})[exact(enter)] = leave
+        if number == 0:
+            guessed[block] = leave
+    out, state = [], []
+    for block in sorted(known):
+        done = exact(state) in known[block]
+        out.append((block, state, done))
+        if done:
+            state = known[block][exact(state)]
+        else:
+            state = [s if m.holds else g for m, s, g in zip(machines, state, guessed[block], strict=True)]
+    return out
+
+
+def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> DataFrame:
+    """(key, block, enter)."""
     home = series.home
-    blocks = df.select(*series.keys, series.block_of(F.col(SLOT)).alias(BLOCK)).distinct()
-    if blocks.groupBy(*series.keys).count().filter("count > 1").isEmpty():
-        return None
     fields = [f for f in place(df, series).schema.fields if f.name in home]
-    schema = T.StructType([*fields, T.StructField("enter", STATE), T.StructField("leave", STATE)])
+    tail = [T.StructField("enter", STATE), T.StructField("leave", STATE), T.StructField("round", T.LongType())]
+    schema = T.StructType([*fields, *tail])
+
+    def made(own: pd.DataFrame, enter: list, leave: list, number: int) -> pd.DataFrame:
+        head = own.iloc[[0]][home].reset_index(drop=True)
+        return head.assign(enter=pd.Series([enter]), leave=pd.Series([leave]), round=number)
+
+    nothing = pd.DataFrame(columns=[f.name for f in schema.fields])
 
     def guess(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(SLOT, ignore_index=True)
         halo, own = frame[~frame[OWN]], frame[frame[OWN]]
         if own.empty:
-            return pd.DataFrame(columns=[*home, "enter", "leave"])
+            return nothing
         states = [None] * len(machines)
         if not halo.empty:
             _, states = _step_all(machines, states, halo)
         _, leave = _step_all(machines, states, own)
-        head = own.iloc[[0]][home].reset_index(drop=True)
-        known = states if not halo.empty else []
-        return head.assign(enter=pd.Series([known]), leave=pd.Series([leave]))
+        return made(own, states if not halo.empty else [], leave, 0)
 
-    def rerun(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if frame.empty or state.empty:
-            return pd.DataFrame(columns=[*home, "enter", "leave"])
-        frame = frame.sort_values(SLOT, ignore_index=True)
-        known = _unpack(state["enter"].iloc[0], machines)
-        _, leave = _step_all(machines, known, frame)
-        head = frame.iloc[[0]][home].reset_index(drop=True)
-        return head.assign(enter=pd.Series([known]), leave=pd.Series([leave]))
+    def again(number: int):
+        def run(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+            if frame.empty or state.empty:
+                return nothing
+            frame = frame.sort_values(SLOT, ignore_index=True)
+            enter = _unpack(state["enter"].iloc[0], machines)
+            _, leave = _step_all(machines, enter, frame)
+            return made(frame, enter if state["enter"].iloc[0] is not None and len(state["enter"].iloc[0]) else [], leave, number)
+
+        return run
+
+    walked = T.StructType([*fields, T.StructField("enter", STATE), T.StructField("done", T.BooleanType())])
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        steps = _walk(machines, frame[[BLOCK, "enter", "leave", "round"]])
+        out = pd.DataFrame([frame[list(series.keys)].iloc[0].tolist()] * len(steps), columns=list(series.keys))
+        block, enter, done = zip(*steps, strict=True)
+        return out.assign(**{BLOCK: block, "enter": list(enter), "done": done})[[f.name for f in walked.fields]]
 
-    states = materialize(with_halo(df, series, warm_up).groupBy(*home).applyInPandas(guess, schema))
-    previous = Window.partitionBy(*series.keys).orderBy(BLOCK)
+    tried = materialize(with_halo(df, series, warm_up).groupBy(*home).applyInPandas(guess, schema))
+    number = 0
     while True:
-        linked = states.withColumn("right", F.lag("leave").over(previous))
-        wrong = linked.filter(F.col("right").isNotNull() & ~F.col("enter").eqNullSafe(F.col("right")))
-        wrong = materialize(wrong.select(*home, F.col("right").alias("enter")))
-        if wrong.isEmpty():
-            return states.select(*home, "enter")
-        again = (
-            place(df, series)
-            .join(wrong.select(*home), home, "left_semi")
-            .groupBy(*home)
-            .cogroup(wrong.groupBy(*home))
-            .applyInPandas(rerun, schema)
-        )
-        states = materialize(states.join(wrong.select(*home), home, "left_anti").unionByName(again))
+        number += 1
+        steps = materialize(tried.groupBy(*series.keys).applyInPandas(walk, walked))
+        open_steps = steps.where("not done")
+        if open_steps.isEmpty():
+            return steps.select(*home, "enter")
+        log.info("ordered pass: round %d", number)
+        rows = df.withColumn(BLOCK, series.block_of(F.col(SLOT)))
+        rows = join_on(rows, open_steps.select(*home), home, "left_semi")
+        more = gather(rows, home).groupBy(*home).cogroup(open_steps.groupBy(*home)).applyInPandas(again(number), schema)
+        tried = tried.unionByName(materialize(more))
 
 
 # -- machines ------------------------------------------------------------
@@ -248,7 +283,7 @@ def guard(limit: float, recovery_seconds: float, drawdown: str, clock: str, outp
             flags.append(active)
         return [flags], [active, since]
 
-    return Machine((drawdown, clock), (output,), run)
+    return Machine((drawdown, clock), (output,), run, holds=True)
 
 
 def missing_to_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -357,6 +357,8 @@ CATEGORIES = (
     "bands",
     "volume_psychology",
 )
+# Outputs that read the row after theirs.
+LOOKS_AHEAD = ("effective_spread",)
 
 
 def feature_matrix(

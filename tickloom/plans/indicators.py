@@ -61,12 +61,21 @@ FAMILIES: dict[str, tuple[list[str], int | None]] = {
 }
 
 
-def _query(digits_of: dict[str, int | None]) -> Callable[[SparkSession, str], DataFrame]:
+# Families of each kind (frames, exponential means, running totals, state
+# machines) that are also computed over many short blocks, against the same SQL.
+BLOCKED = (
+    "sma", "ema", "tema_dema", "kama", "rsi", "macd", "adx", "bollinger", "on_balance", "volume_index",
+    "price_volume", "parabolic_sar", "supertrend", "zigzag", "linear_regression",
+)
+SHORT_BLOCKS = {"block_rows": 128, "warm_up": 24}
+
+
+def _query(digits_of: dict[str, int | None], **blocks: int) -> Callable[[SparkSession, str], DataFrame]:
     names = list(digits_of)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         frame = FeatureSet().transform(
-            views.bars(spark, sf_dir), names, every=views.HOUR, complete=True, keep=["symbol", "ts"]
+            views.bars(spark, sf_dir), names, every=views.HOUR, complete=True, keep=["symbol", "ts"], **blocks
         )
         shown = [
             (sci(F.col(n)) if digits is None else grid(F.col(n), digits)).alias(n) for n, digits in digits_of.items()
@@ -80,6 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = {f"indicator_{q}": _query(dict.fromkeys(names, digits)) for q, (names, digits) in FAMILIES.items()}
     every = {n: digits for names, digits in FAMILIES.values() for n in names}
     made["indicator_all"] = _query(every)
+    for family in BLOCKED:
+        names, digits = FAMILIES[family]
+        made[f"indicator_{family}_blocks"] = _query(dict.fromkeys(names, digits), **SHORT_BLOCKS)
     return made
 
 

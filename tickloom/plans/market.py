@@ -40,7 +40,7 @@ def trade_bars_five_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_bars_side_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = b.trade_bars(views.trades(spark, sf_dir), FIVE_MINUTES, edge_mode="reference")
+    made = b.trade_bars(views.trades(spark, sf_dir), FIVE_MINUTES, edge_mode="carry")
     return _show(made, ["symbol", "buy_count", "sell_count"], ["buy_volume", "sell_volume"])
 
 
@@ -128,11 +128,35 @@ def depth_notional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "update_id", *(grid(F.col(c), 5).alias(c) for c in NOTIONAL))
 
 
+def _listed_book(every: int, **blocks: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = k.reconstruct(views.book_deltas(spark, sf_dir), every=every, **blocks)
+        return made.select(
+            "symbol",
+            F.unix_timestamp("ts").alias("t"),
+            F.unix_timestamp("valid_until").alias("until"),
+            "side",
+            F.col("level").cast("long").alias("level"),
+            *(grid(F.col(c)).alias(c) for c in ("price", "qty")),
+        )
+
+    return run
+
+
 def book_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = k.reconstruct(views.book_deltas(spark, sf_dir), every=86400)
+    """Every second."""
+    return _listed_book(1)(spark, sf_dir)
+
+
+def book_reconstruction_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed_book(86400, block_rows=512)(spark, sf_dir)
+
+
+def book_reconstruction_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated at every hour."""
+    made = k.dense_book(k.reconstruct(views.book_deltas(spark, sf_dir), every=3600, levels=2), 3600)
     return made.select(
-        "symbol", F.unix_timestamp("ts").alias("t"), "side", F.col("level").cast("long").alias("level"),
-        grid(F.col("price")).alias("price"), grid(F.col("qty")).alias("qty"),
+        "symbol", F.unix_timestamp("ts").alias("t"), "side", F.col("level").cast("long").alias("level"), grid(F.col("price")).alias("price"), grid(F.col("qty")).alias("qty")
     )
 
 
@@ -217,10 +241,20 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = matrix_frame(spark, sf_dir, ["price_liquidity", "trend"])
     target = quality.forward_return(views.snapshots(spark, sf_dir), order=("ts", "update_id"))
     joined = made.join(target.select("symbol", "update_id", "target"), ["symbol", "update_id"])
-    features = [c for c in made.columns if c not in ("symbol", "ts", "update_id")]
+    # What looks at the next row would give the target away.
+    features = [c for c in made.columns if c not in ("symbol", "ts", "update_id", *snapshots.LOOKS_AHEAD)]
     return quality.model_importance(joined, features, "target", 10)
 
 
+CORRELATED = ["spread", "imbalance_5", "mid_price", "buy_volume_1s", "sell_volume_1s", "vwap_1s", "bid_0_qty", "ask_0_qty"]
+
+
+def target_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.forward_return(views.snapshots(spark, sf_dir), order=("ts", "update_id"))
+    top = quality.top_correlation(rows, CORRELATED, "target", 5)
+    return top.select("feature", "rows", grid(F.col("correlation"), 6).alias("correlation"))
+
+
 def forward_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality.forward_return(views.snapshots(spark, sf_dir), order=("ts", "update_id"))
     return made.select("symbol", "update_id", grid(F.col("target"), 5).alias("target"))
@@ -326,9 +360,9 @@ def day_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- feature matrix ----------------------------------------------------------
 
 
-def matrix_frame(spark: SparkSession, sf_dir: str, categories) -> DataFrame:
+def matrix_frame(spark: SparkSession, sf_dir: str, categories, **blocks: int) -> DataFrame:
     return snapshots.feature_matrix(
-        views.snapshots(spark, sf_dir), categories, order=("ts", "update_id"), complete=True
+        views.snapshots(spark, sf_dir), categories, order=("ts", "update_id"), complete=True, **blocks
     )
 
 
@@ -343,9 +377,9 @@ MATRIX_DIGITS = {
 }
 
 
-def _matrix_query(category: str):
+def _matrix_query(category: str, **blocks: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = matrix_frame(spark, sf_dir, [category])
+        made = matrix_frame(spark, sf_dir, [category], **blocks)
         columns = [c for c in made.columns if c not in ("symbol", "ts", "update_id")]
         digits = MATRIX_DIGITS[category]
         return made.select("symbol", "update_id", *(grid(F.col(c), digits).alias(c) for c in columns))
@@ -368,6 +402,8 @@ def queries() -> dict:
         book_ladder,
         depth_notional,
         book_reconstruction,
+        book_reconstruction_daily,
+        book_reconstruction_dense,
         trailing_flow,
         trailing_flow_hour,
         time_parts,
@@ -377,6 +413,7 @@ def queries() -> dict:
         chronological_split,
         variance_selection,
         model_selection,
+        target_correlation,
         forward_return,
         parse_book_lines,
         parse_trade_lines,
@@ -387,6 +424,7 @@ def queries() -> dict:
     ]
     made = {f"market_{f.__name__}": f for f in plain}
     made.update({f"matrix_{c}": _matrix_query(c) for c in snapshots.CATEGORIES})
+    made.update({f"matrix_{c}_blocks": _matrix_query(c, block_rows=256) for c in ("trend", "momentum", "bands", "volume_psychology")})
     return made
 
 
@@ -689,15 +727,25 @@ def oracle_sql() -> dict[str, str]:
         for side, sign in (("bid", -1), ("ask", 1))
         for i in range(k.LEVELS)
     )
-    day = 86400
-    sql["book_reconstruction"] = f"""WITH d AS MATERIALIZED ({deltas}),
-x AS (SELECT *, (epoch_us(ts) + {day * 1000000 - 1}) // {day * 1000000} AS p FROM d),
-l AS (SELECT symbol, side, price, p, last(qty ORDER BY ts, update_id) AS qty FROM x GROUP BY 1, 2, 3, 4),
-e AS (SELECT symbol, max(p) AS pe FROM x GROUP BY 1),
-sp AS (SELECT l.*, coalesce(lead(p) OVER (PARTITION BY l.symbol, side, price ORDER BY p) - 1, pe) AS q FROM l JOIN e USING (symbol)),
-li AS (SELECT symbol, side, price, qty, unnest(range(p, q + 1)) AS pt FROM sp WHERE qty > 0),
-rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, side, pt ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) - 1 AS level FROM li)
-SELECT symbol, pt * {day} AS t, side, level, {_grid_list(['price', 'qty'])} FROM rk WHERE level < {k.LEVELS}"""
+    def listed(every: int, levels: int) -> str:
+        size = every * 1_000_000
+        rank = "CASE WHEN side = 'bid' THEN -price ELSE price END"
+        return f"""d AS MATERIALIZED ({deltas}),
+x AS (SELECT *, (epoch_us(ts) + {size - 1}) // {size} AS p FROM d),
+l AS MATERIALIZED (SELECT symbol, side, price, p, last(qty ORDER BY ts, update_id) AS qty FROM x GROUP BY 1, 2, 3, 4),
+sp AS (SELECT *, coalesce(lead(p) OVER (PARTITION BY symbol, side, price ORDER BY p), 1e15::BIGINT) AS q FROM l),
+pts AS (SELECT symbol, p AS pt, coalesce(lead(p) OVER (PARTITION BY symbol ORDER BY p) - 1, p) AS until FROM (SELECT DISTINCT symbol, p FROM l)),
+best AS MATERIALIZED (SELECT pts.symbol, pt, until, side, min({{'r': {rank}, 'price': price, 'qty': qty}}, {levels}) AS top
+  FROM pts JOIN sp ON sp.symbol = pts.symbol AND pt >= p AND pt < q WHERE qty > 0 GROUP BY 1, 2, 3, 4),
+paired AS (SELECT *, count(*) OVER (PARTITION BY symbol, pt) AS sides FROM best),
+li AS (SELECT symbol, pt, until, side, unnest(range(len(top))) AS level, unnest(top) AS e FROM paired WHERE sides = 2)"""
+
+    shown = f"side, level, {sql_grid('e.price', 6)} AS price, {sql_grid('e.qty', 6)} AS qty"
+    for name, every in (("book_reconstruction", 1), ("book_reconstruction_daily", 86400)):
+        sql[name] = f"WITH {listed(every, k.LEVELS)} SELECT symbol, pt * {every} AS t, until * {every} AS until, {shown} FROM li"
+    sql["book_reconstruction_dense"] = (
+        f"WITH {listed(3600, 2)} SELECT symbol, s * 3600 AS t, {shown} FROM (SELECT *, unnest(range(pt, until + 1)) AS s FROM li)"
+    )
     flow_cols = ["mid_price", "buy_volume_1s", "sell_volume_1s", "vwap_1s"]
     sql["trailing_flow"] = f"WITH {SNAPSHOTS} SELECT symbol, update_id, {_grid_list(flow_cols)} FROM s"
     hourly = SNAPSHOTS.replace(FLOW.format(ms=1000), FLOW.format(ms=3_600_000))
@@ -727,6 +775,15 @@ SELECT symbol, t, CASE WHEN rn < floor(n * 0.8) THEN 'train' WHEN rn < floor(n *
     columns = ["open", "high", "low", "close", "volume", "vwap", "buy_volume", "sell_volume"]
     parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, var_samp(coalesce({c}, 0)) AS variance FROM b" for c in columns)
     sql["variance_selection"] = f"WITH {bars()}, v AS ({parts}) SELECT feature, {sql_grid('variance', 4)} AS variance FROM v ORDER BY v.variance DESC, feature LIMIT 5"
+    per_column = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(*) AS rows, corr({c}, target) AS correlation FROM y WHERE {c} IS NOT NULL" for c in CORRELATED
+    )
+    ahead = "coalesce(lead(mid_price) OVER (PARTITION BY symbol ORDER BY rn) / mid_price - 1, 0)"
+    sql["target_correlation"] = (
+        f"WITH {SNAPSHOTS}, y AS (SELECT *, {ahead} AS target FROM s), z AS ({per_column}) "
+        f"SELECT feature, rows, {sql_grid('correlation', 6)} AS correlation FROM z WHERE correlation IS NOT NULL "
+        "ORDER BY abs(z.correlation) DESC, feature LIMIT 5"
+    )
     sql["forward_return"] = f"WITH {SNAPSHOTS} SELECT symbol, update_id, {sql_grid('coalesce(lead(mid_price) OVER (PARTITION BY symbol ORDER BY rn) / mid_price - 1, 0)', 5)} AS target FROM s"
     good = "update_id % 37 <> 5 AND update_id % 29 <> 2 AND update_id % 31 <> 3"
     sql["parse_book_lines"] = f"WITH {BOOK} SELECT symbol, update_id, epoch_us(ts) // 1000 AS ms, {_grid_list(['mid_price', 'spread', 'bid_volume_5', 'ask_volume_10', 'order_imbalance'])} FROM book WHERE {good}"

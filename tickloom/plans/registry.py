@@ -25,4 +25,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for module in MODULES for name, text in module.oracle_sql().items()}
+    texts = {name: text for module in MODULES for name, text in module.oracle_sql().items()}
+    # Short blocks change how a query is computed, not what.
+    short = {name: texts[whole] for name in queries() if (whole := name.removesuffix("_blocks")) != name and whole in texts}
+    return texts | short

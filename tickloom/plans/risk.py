@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,9 +96,9 @@ def annual_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- drawdown ----------------------------------------------------------------
 
 
-def drawdown_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drawdown_guard(spark: SparkSession, sf_dir: str, **blocks: int) -> DataFrame:
     made = drawdown.drawdown_guard(
-        views.equity(spark, sf_dir), keys=["run_id"], order=["ts", "step"], limit=LIMIT
+        views.equity(spark, sf_dir), keys=["run_id"], order=["ts", "step"], limit=LIMIT, **blocks
     )
     return made.select(
         "run_id",
@@ -176,16 +178,16 @@ def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- equity curves -----------------------------------------------------------
 
 
-def equity_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = equity.equity_steps(views.equity(spark, sf_dir))
+def equity_steps(spark: SparkSession, sf_dir: str, **blocks: int) -> DataFrame:
+    made = equity.equity_steps(views.equity(spark, sf_dir), **blocks)
     return made.select("run_id", "step", *_grids(["equity", "step_return", "peak_equity", "drawdown"]))
 
 
 SCORE = ["sharpe_ratio", "drawdown", "volatility_penalty", "holding_penalty", "trade_cost_penalty", "score"]
 
 
-def risk_balanced_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = equity.risk_balanced_score(views.equity(spark, sf_dir))
+def risk_balanced_score(spark: SparkSession, sf_dir: str, **blocks: int) -> DataFrame:
+    made = equity.risk_balanced_score(views.equity(spark, sf_dir), **blocks)
     return made.select("run_id", "step", *_grids(SCORE))
 
 
@@ -196,8 +198,8 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equity.run_metrics(views.equity(spark, sf_dir)).select("run_id", *_grids(METRICS))
 
 
-def detected_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = equity.detect_trades(views.equity(spark, sf_dir))
+def detected_trades(spark: SparkSession, sf_dir: str, **blocks: int) -> DataFrame:
+    made = equity.detect_trades(views.equity(spark, sf_dir), **blocks)
     return made.select("run_id", "step", *_grids(["position_change", "trade_return"]))
 
 
@@ -235,8 +237,8 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("run_id", "n_trades", *_grids(SUMMARY, 4))
 
 
-def expanding_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = equity.expanding_normalize(views.equity(spark, sf_dir), ["equity", "price"])
+def expanding_normalization(spark: SparkSession, sf_dir: str, **blocks: int) -> DataFrame:
+    made = equity.expanding_normalize(views.equity(spark, sf_dir), ["equity", "price"], **blocks)
     return made.select("run_id", "step", *_grids(["equity_norm", "price_norm"], 5))
 
 
@@ -277,6 +279,14 @@ def queries() -> dict:
     ]
     made = {f"risk_{f.__name__}": f for f in risk}
     made.update({f"equity_{f.__name__}": f for f in curves})
+    short = {
+        "equity_equity_steps": equity_steps,
+        "equity_risk_balanced_score": risk_balanced_score,
+        "equity_detected_trades": detected_trades,
+        "equity_expanding_normalization": expanding_normalization,
+    }
+    made.update({f"{name}_blocks": partial(f, block_rows=128) for name, f in short.items()})
+    made["risk_drawdown_guard_blocks"] = partial(drawdown_guard, block_rows=128, warm_up=16)
     return made
 
 

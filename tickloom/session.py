@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Window partitions are time blocks of bounded size, so their rows can be
-    # held in plain memory for longer before the spillable sorter takes over.
-    "spark.sql.windowExec.buffer.in.memory.threshold": "65536",
+    # Blocks are small in bytes and heavy in work: merge them only while every
+    # core still has a task.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 # Settings that must be there when the context starts.
@@ -60,11 +62,13 @@ def materialize(df: DataFrame) -> DataFrame:
 def _shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
 
-    Only a session that names none, as in tests on one machine, gets a
-    temporary folder.
+    A session on one machine that names none, as in tests, gets a temporary
+    folder; on a cluster executors would not see each other's files there.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tickloom-ckpt-"))
     return context.getCheckpointDir()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,10 +124,9 @@ def trade_rows(parsed: DataFrame) -> DataFrame:
 
 def rejects(parsed: DataFrame, kept: DataFrame) -> DataFrame:
     """Counts of lines read, kept and dropped."""
-    read = parsed.agg(F.count(F.lit(1)).alias("lines"))
-    rows = kept.agg(F.count(F.lit(1)).alias("kept"))
-    # Two one-row tables.
-    return read.join(rows).withColumn("dropped", F.col("lines") - F.col("kept"))
+    marked = parsed.select(F.lit(0).alias("own")).unionByName(kept.select(F.lit(1).alias("own")))
+    counted = marked.agg(F.count_if(F.col("own") == 0).alias("lines"), F.count_if(F.col("own") == 1).alias("kept"))
+    return counted.withColumn("dropped", F.col("lines") - F.col("kept"))
 
 
 # File names end in _YYYYmmdd_HHMMSS and hold the kind of data.
@@ -147,21 +148,29 @@ def path_columns(path: Column) -> dict[str, Column]:
     return {"year": part(1), "month": part(2), "day": part(3), "kind": kind}
 
 
-def read_raw(spark: SparkSession, root: str, kind: str, first: str, last: str, schema: T.StructType) -> DataFrame:
-    """JSON lines of one kind below root/year=/month=/day=/kind= for an
-    inclusive range of dates; other folders are never listed as input."""
+def day_folders(spark: SparkSession, root: str, first: str, last: str, layout: str = "%Y/%m/%d") -> dict[str, str]:
+    """date -> folder for the dates of an inclusive range that have one; no other folder is looked at."""
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    day, end, found = date.fromisoformat(first), date.fromisoformat(last), {}
+    while day <= end:
+        folder = f"{root.rstrip('/')}/{day.strftime(layout)}"
+        if files.exists(jvm.org.apache.hadoop.fs.Path(folder)):
+            found[day.isoformat()] = folder
+        day += timedelta(days=1)
+    return found
+
+
+def read_raw(
+    spark: SparkSession, root: str, kind: str, first: str, last: str, schema: T.StructType, layout: str = "%Y/%m/%d"
+) -> DataFrame:
+    """JSON lines of one kind (a part of the file name) below root/YYYY/MM/DD for an inclusive range of dates.
+
+    Only the folders of these dates are listed; a range without files gives no rows.
+    """
     wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    day = F.make_date("year", "month", "day")
-    return (
-        spark.read.schema(
-            T.StructType(
-                [
-                    *wide.fields,
-                    *(T.StructField(c, T.IntegerType()) for c in ("year", "month", "day")),
-                    T.StructField("kind", T.StringType()),
-                ]
-            )
-        )
-        .json(root)
-        .filter((F.col("kind") == kind) & day.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    )
+    folders = list(day_folders(spark, root, first, last, layout).values())
+    if not folders:
+        return spark.createDataFrame([], wide)
+    reader = spark.read.schema(wide).option("pathGlobFilter", f"*{kind}*").option("recursiveFileLookup", True)
+    return reader.json(folders)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.bars import SIDE_COLUMNS, _trade_aggregates
-from tickloom.operators.book import LEVELS
+from tickloom.operators.book import LEVELS, OpenBook
 from tickloom.sources import raw
 
 
@@ -96,17 +96,28 @@ def trade_flow(trades: DataFrame, width: str = "1 second", slide: str = "500 mil
 
 
 def first_per_time(rows: DataFrame, late: str = "1 minute") -> DataFrame:
-    """One row per symbol and time. A stream keeps the first; the batch operator
-    `book.keep_last` keeps the last."""
+    """One row per symbol and time, the first that comes, at once."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "ts"])
 
 
+def last_per_time(rows: DataFrame, order: str, late: str = "1 minute") -> DataFrame:
+    """One row per symbol and time, the last in the given order as in `book.keep_last`.
+
+    A row is given once the watermark has passed its time.
+    """
+    rest = [c for c in rows.columns if c not in ("symbol", "ts")]
+    picked = rows.withWatermark("ts", late).groupBy("symbol", "ts").agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    return picked.select("symbol", "ts", *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+
+# Listed rows are handed on in frames of about this size.
+CHUNK_ROWS = 50_000
 SNAPSHOT_SCHEMA = "symbol string, ts timestamp, side string, level int, price double, qty double"
 _BOOK_STATE = "side array<string>, price array<double>, qty array<double>, at array<long>, id array<long>, clock long"
 
 
 def live_book(deltas: DataFrame, late: str = "10 seconds", levels: int = LEVELS) -> DataFrame:
-    """The best levels of each side at every full second of event time.
+    """The best levels of each side at every full second of event time at which both sides have one.
 
     `deltas` has (symbol, ts, update_id, side, price, qty). The state of a
     symbol is its open levels and the changes that the watermark has not passed
@@ -126,20 +137,25 @@ def live_book(deltas: DataFrame, late: str = "10 seconds", levels: int = LEVELS)
         if clock is None and known:
             clock = -(-known[0][3] // 1_000_000)
         open_levels: dict[tuple[str, float], tuple] = {}
+        book = OpenBook()
         rows, i = [], 0
+        names = ["symbol", "ts", "side", "level", "price", "qty"]
         while clock is not None and clock <= done and known:
             # Without a change in between, seconds repeat the same book.
             while i < len(known) and known[i][3] <= clock * 1_000_000:
                 side, price, qty, _, _ = change = known[i]
+                book.change(side, price, qty)
                 if qty == 0:
                     open_levels.pop((side, price), None)
                 else:
                     open_levels[side, price] = change
                 i += 1
-            for side, sign in (("bid", -1), ("ask", 1)):
-                best = sorted((c for (s, _), c in open_levels.items() if s == side), key=lambda c: sign * c[1])
+            if book.two_sided:
                 moment = pd.Timestamp(clock, unit="s")
-                rows += [(key[0], moment, side, n, c[1], c[2]) for n, c in enumerate(best[:levels])]
+                rows += [(key[0], moment, *entry) for entry in book.best(levels)]
+            if len(rows) >= CHUNK_ROWS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
             clock += 1
         left = [*open_levels.values(), *known[i:]]
         if left:
@@ -148,7 +164,7 @@ def live_book(deltas: DataFrame, late: str = "10 seconds", levels: int = LEVELS)
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 1000)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "side", "level", "price", "qty"])
+        yield pd.DataFrame(rows, columns=names)
 
     return (
         deltas.withWatermark("ts", late)
