@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import BLOCK, SLOT, Series, place, row_slots, running
+from tickloom.operators.blocks import BLOCK, SLOT, Series, join_on, place, row_slots, running
 from tickloom.operators.drawdown import position_scale
 from tickloom.operators.sizing import annual_cost, entry_cost, kelly_size, round_trip_cost
 
@@ -76,6 +76,89 @@ def max_loss(notional: Column) -> Column:
     return notional * 0.02 + round_trip_cost(notional, 24.0)["total_cost"]
 
 
+def account_state(
+    signals: DataFrame,
+    opens: DataFrame,
+    closed: DataFrame,
+    guard: DataFrame | None = None,
+    *,
+    account: str = "account",
+    id: str = "position_id",
+    time: str = "ts",
+    tie: Sequence[str] = (),
+    start_value: float = 100000.0,
+) -> DataFrame:
+    """The signals with the state of their account at their time.
+
+    opens: (id, account, size, entry_price, entry_time); closed: the result of
+    `close_positions`; guard: that of `drawdown_guard`, keyed by account and `time`.
+    Adds open_positions, open_exposure, daily_pnl, portfolio_value and, with a
+    guard, drawdown and drawdown_triggered, so `screen_trades` can follow.
+
+    Events of all kinds are put on one line per account; a signal comes after
+    closes and guard rows of its time and before opens of its time. The state is
+    a set of running totals over blocks of that line.
+    """
+    known = opens.select(id, account, "entry_price", (F.col("size") * F.col("entry_price")).alias("_whole"))
+    done = closed.where("known").join(known, id)
+    # What a close takes off is its part of the entry value; the last one of a position ends it.
+    gone = F.nullif(F.col("exit_size"), F.lit(0.0)) * F.col("entry_price")
+    ended = F.col("remaining_size") == 0
+    line = [
+        done.select(
+            account, F.col("exit_time").alias(time), F.lit(0).alias("_kind"), F.col("net_pnl").alias("_pnl"),
+            F.when(ended, -1).otherwise(0).cast("long").alias("_count"),
+            F.coalesce(-gone, F.lit(0.0)).alias("_cash"), F.lit(None).cast("double").alias("_rest"),
+        ),
+        opens.select(
+            account, F.col("entry_time").alias(time), F.lit(2).alias("_kind"), F.lit(0.0).alias("_pnl"),
+            F.lit(1).cast("long").alias("_count"), (F.col("size") * F.col("entry_price")).alias("_cash"),
+        ),
+        signals.select(account, time, F.lit(1).alias("_kind"), F.struct(*signals.columns).alias("_signal"), *tie),
+    ]
+    # A close of all that is left takes off the rest of the position.
+    sold = F.sum(F.coalesce(gone, F.lit(0.0)))
+    rests = done.groupBy(id).agg(
+        F.max_by("exit_time", F.struct(ended, "exit_time", "close_seq")).alias("_at"), sold.alias("_sold"), F.max(ended).alias("_ended"),
+        F.first(account).alias(account), F.first("_whole").alias("_whole"),
+    ).where("_ended")
+    line.append(
+        rests.select(
+            account, F.col("_at").alias(time), F.lit(0).alias("_kind"), F.lit(0.0).alias("_pnl"), F.lit(0).cast("long").alias("_count"),
+            (F.col("_sold") - F.col("_whole")).alias("_cash"),
+        )
+    )
+    if guard is not None:
+        line.append(guard.select(account, time, F.lit(0).alias("_kind"), F.struct("current_drawdown", "is_triggered").alias("_guard")))
+    events = line[0].drop("_rest")
+    for more in line[1:]:
+        events = events.unionByName(more, allowMissingColumns=True)
+    # Rows of equal time and kind differ in nothing that a signal can see.
+    places = [F.col(time), F.col("_kind"), *map(F.col, tie)]
+    slots = row_slots(events, [account], places, F.date_trunc("hour", F.col(time)))
+    series = Series((account,))
+    totals = {"_open": ("sum", F.col("_count")), "_exposure": ("sum", F.col("_cash")), "_gain": ("sum", F.col("_pnl"))}
+    if guard is not None:
+        totals["_status"] = ("last", F.col("_guard"))
+    summed = running(place(slots, series), series, totals).withColumn("_day", F.to_date(time))
+    days = events.groupBy(account, F.to_date(time).alias("_day")).agg(F.sum("_pnl").alias("_sum"))
+    earlier = Window.partitionBy(account).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(account, "_day", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_base"))
+    state = join_on(summed.where("_kind = 1"), days, [account, "_day"])
+    gain = F.coalesce(F.col("_gain"), F.lit(0.0))
+    added = {
+        "open_positions": F.coalesce(F.col("_open"), F.lit(0)),
+        "open_exposure": F.coalesce(F.col("_exposure"), F.lit(0.0)),
+        "daily_pnl": gain - F.col("_base"),
+        "portfolio_value": gain + start_value,
+    }
+    if guard is not None:
+        added["drawdown"] = F.coalesce(F.col("_status.current_drawdown"), F.lit(0.0))
+        added["drawdown_triggered"] = F.coalesce(F.col("_status.is_triggered"), F.lit(False))
+    kept = [F.col(f"_signal.{c}").alias(c) for c in signals.columns if c not in added]
+    return state.select(*kept, *(value.alias(c) for c, value in added.items()))
+
+
 def screen_trades(
     signals: DataFrame,
     *,

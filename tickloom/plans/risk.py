@@ -156,6 +156,14 @@ def trade_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of the account just before each position was opened."""
+    opens = views.positions(spark, sf_dir)
+    signals = opens.select("account", "position_id", F.col("entry_time").alias("ts"))
+    made = positions.account_state(signals, opens, _closed(spark, sf_dir))
+    return made.select("account", "position_id", "open_positions", *_grids(["open_exposure", "daily_pnl", "portfolio_value"], 2))
+
+
 def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = positions.portfolio_metrics(views.positions(spark, sf_dir), F.lit(1e7), F.lit(-2500.0))
     return made.select(
@@ -263,6 +271,7 @@ def queries() -> dict:
         daily_pnl,
         running_daily_pnl,
         trade_screening,
+        account_state,
         portfolio_metrics,
         risk_report,
     ]
@@ -443,6 +452,16 @@ b AS (SELECT *, confidence * mult AS adj FROM a), c AS (SELECT *, {_kelly('adj')
 f AS (SELECT *, CASE WHEN drawdown_triggered THEN 'Drawdown guard triggered' WHEN abs(daily_pnl / portfolio_value) > 0.05::DOUBLE THEN 'Daily loss limit exceeded'
   WHEN open_positions >= 3 THEN 'Maximum positions reached' WHEN n < portfolio_value * 0.01::DOUBLE THEN 'Position size below minimum' END AS reason FROM d)
 SELECT position_id, reason IS NULL AS approved, reason, {_named({'entry_total': f'CASE WHEN reason IS NULL THEN {entry_total} END', 'position_size': 'CASE WHEN reason IS NULL THEN size ELSE 0 END', 'notional_value': 'CASE WHEN reason IS NULL THEN n END', 'risk_multiplier': 'CASE WHEN reason IS NULL THEN mult END', 'adjusted_confidence': 'CASE WHEN reason IS NULL THEN adj END', 'max_loss': f"CASE WHEN reason IS NULL THEN {_max_loss('n')} END"}, 5)} FROM f"""
+    sql["risk_account_state"] = f"""WITH {closed},
+ce AS (SELECT po.account, cs.exit_s AS s, cs.position_id, CASE WHEN known THEN gross - cost ELSE 0 END AS pnl, known,
+    CASE WHEN greatest(cs.size - earlier - amount, 0) = 0 THEN 1 ELSE 0 END AS ended, least(amount, cs.size - earlier) * cs.entry_price AS cash
+  FROM cs JOIN po USING (position_id) WHERE known),
+en AS (SELECT account, position_id, epoch_us(entry_time) // 1000000 AS s, size * entry_price AS cash FROM po),
+ev AS (SELECT account, s, 0 AS kind, NULL AS position_id, pnl, -ended AS n, -cash AS cash FROM ce
+  UNION ALL SELECT account, s, 1, position_id, 0, 0, 0 FROM en UNION ALL SELECT account, s, 2, NULL, 0, 1, cash FROM en),
+st AS (SELECT *, sum(n) OVER w AS op, sum(cash) OVER w AS ex, sum(pnl) OVER w AS gain, sum(pnl) OVER (PARTITION BY account, s // 86400 ORDER BY s, kind) AS day
+  FROM ev WINDOW w AS (PARTITION BY account ORDER BY s, kind))
+SELECT account, position_id, CAST(op AS BIGINT) AS open_positions, {_named({'open_exposure': 'ex', 'daily_pnl': 'day', 'portfolio_value': 'gain + 100000'}, 2)} FROM st WHERE kind = 1"""
     sql["risk_portfolio_metrics"] = f"WITH {POSITIONS}, g AS (SELECT account, count(*) AS open_positions, sum(size * entry_price) AS ex FROM po GROUP BY 1) SELECT account, open_positions, {_named({'open_exposure': 'ex', 'exposure_pct': 'ex / 1e7 * 100', 'daily_return': '-2500.0 / 1e7 * 100'}, 3)} FROM g"
     sql["risk_risk_report"] = f"WITH {POSITIONS}, g AS (SELECT account, count(*) AS open_positions, avg(size * entry_price) AS p FROM po GROUP BY 1) SELECT account, open_positions, false AS drawdown_triggered, 3 AS max_positions, {_named({'daily_pnl': '-2500.0', 'max_drawdown': '0.1::DOUBLE', 'max_daily_loss': '0.05::DOUBLE'})}, {_named(_annual('p', '10', '24', '0.5::DOUBLE', '0'), 3)} FROM g"
 
