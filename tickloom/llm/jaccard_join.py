@@ -7,12 +7,14 @@ Equal sets form one class, and classes are joined:
    that only one prefix holds are left out.
 2. The list of a shingle is sorted by set size, and each entry knows its
    position. Stretches of the list whose sizes or positions rule a link out are
-   skipped, and so are pairs of sets with the same first shared shingle in every
-   list but that one. A 512-bit parity signature, whose distance never exceeds
-   the number of differing shingles, skips most of the rest.
-3. Surviving pairs are checked on whole sets, in units of a few hundred. In a
-   unit the overlaps of a set follow from those of a similar set done before:
-   only the shingles in which the two differ are looked up.
+   skipped; so is a pair in all lists but the first one that both sets have
+   among their earliest shared shingles. Parity signatures, whose
+   distance never exceeds the number of differing shingles, skip most of the rest.
+3. Sets that still have a partner are tied into clusters, and those of a cluster
+   meet in a unit, or in a unit for every two parts of a large cluster. There the
+   overlaps of a set follow from those of a similar set done before: only the
+   shingles in which the two differ are looked up. Lists and units report ties and
+   counts, so what they send grows with their sets, not with their pairs.
 
 Every step is a bound, so no link is lost.
 """
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import words
@@ -37,6 +39,7 @@ SIGNATURE_BITS = 512
 LIST_ROWS = 1024
 UNIT_SETS = 256
 PAIRS_AT_ONCE = 1 << 20
+EARLY = 4
 _PART = 1 << 14
 
 
@@ -89,6 +92,12 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int]:
     return first, second
 
 
+def _parity(own: np.ndarray, bits: int) -> bytes:
+    """Bit b is set if an odd number of hashes fall into bucket b."""
+    odd = np.bincount((own >> np.uint64(20)) & np.uint64(bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -109,14 +118,15 @@ def _describe(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
         for batch in batches:
             for block in words.blocks(batch.column(0)):
                 sets = words.shingle_sets(block, size)
-                prefixes, signatures, marks = [], [], []
+                prefixes, signatures, fines, marks = [], [], [], []
                 for own in sets:
                     n = len(own)
                     need = n - -(-percent * n // 100) + 1 if n else 0
                     by_rank = np.argsort(rank[_bucket(own, ORDER_BITS)], kind="stable")  # ties by hash
                     prefixes.append(own[by_rank[:need]])
-                    odd = np.bincount((own >> np.uint64(40)) & np.uint64(SIGNATURE_BITS - 1), minlength=SIGNATURE_BITS) & 1
-                    signatures.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                    signatures.append(_parity(own, SIGNATURE_BITS))
+                    # A large set fills the short signature, so it has one in proportion to its size too.
+                    fines.append(_parity(own, 1 << (n // 2 - 1).bit_length()) if n > 2 * SIGNATURE_BITS else b"")
                     marks.append(_fingerprint(own))
                 cut = slice(block.first, block.first + len(block))
                 yield pa.RecordBatch.from_arrays(
@@ -127,26 +137,61 @@ def _describe(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
                         _signed([m[1] for m in marks]),
                         _lists(prefixes),
                         pa.array(signatures, pa.binary()),
+                        pa.array(fines, pa.binary()),
                     ],
-                    [*kept, "n", "f1", "f2", "prefix", "signature"],
+                    [*kept, "n", "f1", "f2", "prefix", "signature", "fine"],
                 )
 
-    return docs.select("_text", *kept).mapInArrow(run, f"{fields}, n long, f1 long, f2 long, prefix array<long>, signature binary")
+    return docs.select("_text", *kept).mapInArrow(run, f"{fields}, n long, f1 long, f2 long, prefix array<long>, signature binary, fine binary")
+
+
+def _tied(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``size`` items the least item that the pairs (a, b) tie it to."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _alike(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the signatures allow that at most ``most`` shingles are in one set only."""
+    good = np.bitwise_count(rows["signature"][a] ^ rows["signature"][b]).sum(-1, dtype=np.int64) <= most
+    fine = rows["fine"]
+    for k in np.flatnonzero(good & (rows["n"][a] > 2 * SIGNATURE_BITS) & (rows["n"][b] > 2 * SIGNATURE_BITS)):
+        x, y = (np.frombuffer(fine[i[k]], np.uint8) for i in (a, b))
+        while len(x) != len(y):  # the halves of a signature give the one of half its length
+            x, y = (x, y) if len(x) > len(y) else (y, x)
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        good[k] = int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= most[k]
+    return good
 
 
-def _list_pairs(percent: int):
-    """Pairs of sets that a shingle list cannot rule out, from rows sorted by list and set size."""
+def _numbers(batch: pa.RecordBatch, names) -> dict[str, np.ndarray]:
+    out = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+    flat = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64)
+    fine = np.array(batch.column("fine").to_pylist(), dtype=object)
+    return out | {"signature": flat.reshape(batch.num_rows, -1), "fine": fine}
 
-    def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+
+def _list_ties(percent: int):
+    """Ties (u, v) between sets whose lists cannot rule a link out, from lists sorted by set size."""
+
+    def ties_of(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         key = np.stack([rows[k] for k in ("token", "low", "high")], 1)
         begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-        ends = np.repeat(np.append(begins[1:], len(key)), np.diff(np.append(begins, len(key))))
+        bounds = np.append(begins, len(key))
         n, position = rows["n"], rows["position"]
+        early = np.stack([rows[f"e{k}"] for k in range(1, EARLY + 1)], 1)
         # Sizes rise inside a list: past this place the other set is too large.
         stop = np.empty(len(key), np.int64)
-        for begin, end in zip(begins, np.append(begins[1:], len(key)), strict=True):
+        for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
             stop[begin:end] = begin + np.searchsorted(n[begin:end], n[begin:end] * 100 // percent, "right")
-        stop = np.minimum(stop, ends)
         count = np.maximum(stop - np.arange(len(key)) - 1, 0)
         total = np.cumsum(count)
         at = 0
@@ -157,41 +202,38 @@ def _list_pairs(percent: int):
             a = np.repeat(np.arange(at, upto), own)
             b = a + 1 + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
             at = upto
-            same_first = rows["first"][a] == rows["first"][b]
-            good = ~same_first | (rows["token"][a] == rows["first"][a])
-            good &= (rows["low"][a] == rows["high"][a]) | (rows["chunk"][a] != rows["chunk"][b])
-            a, b = a[good], b[good]
+            good = (rows["low"][a] == rows["high"][a]) | (rows["chunk"][a] != rows["chunk"][b])
             need = -(-percent * (n[a] + n[b]) // (100 + percent))
-            reach = np.minimum(position[a], position[b]) + np.minimum(n[a] - position[a], n[b] - position[b])
-            good = reach >= need
+            good &= np.minimum(position[a], position[b]) + np.minimum(n[a] - position[a], n[b] - position[b]) >= need
             a, b, need = a[good], b[good], need[good]
-            differ = np.bitwise_count(rows["signature"][a] ^ rows["signature"][b]).sum(1)
-            good = differ <= n[a] + n[b] - 2 * need
+            good = _alike(rows, a, b, n[a] + n[b] - 2 * need)
+            a, b = a[good], b[good]
+            # The earliest shingle that both have first decides in which list they are looked at.
+            shared = ((early[a][:, :, None] == early[b][:, None, :]) & (early[a] != 0)[:, :, None]).any(2)
+            first = early[a, shared.argmax(1)]
+            good = ~shared.any(1) | (first == rows["token"][a])
             a, b = a[good], b[good]
             if len(a):
-                swap = rows["node"][a] > rows["node"][b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[c][x]) for x in (a, b) for c in ("node", "first")], ["a", "first_a", "b", "first_b"]
-                )
+                node, at_node = np.unique(rows["node"][np.concatenate([a, b])], return_inverse=True)
+                least = _tied(len(node), at_node[: len(a)], at_node[len(a) :])
+                own = np.flatnonzero(least != np.arange(len(node)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[least[own]])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("token", "low", "high", "chunk", "node", "n", "position", "first")
+        names = ["token", "low", "high", "chunk", "node", "n", "position", *(f"e{k}" for k in range(1, EARLY + 1))]
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
-            now = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
-            flat = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64)
-            now["signature"] = flat.reshape(batch.num_rows, -1)
+            now = _numbers(batch, names)
             if held is not None:
                 now = {c: np.concatenate([held[c], now[c]]) for c in now}
             key = np.stack([now[k] for k in ("token", "low", "high")], 1)
             last = np.flatnonzero((key != key[-1]).any(1))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield from pairs_of({c: v[:cut] for c, v in now.items()})
+                yield from ties_of({c: v[:cut] for c, v in now.items()})
             held = {c: v[cut:] for c, v in now.items()}
         if held is not None and len(held["n"]):
-            yield from pairs_of(held)
+            yield from ties_of(held)
 
     return run
 
@@ -234,48 +276,81 @@ class Overlaps:
 
 
 def _verify(percent: int):
-    """Links (u, v) among the pairs of each unit, from rows sorted by unit, sets before pairs."""
-
-    def links(sets: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        partners: dict[int, list[int]] = {}
-        for a, b in pairs:
-            partners.setdefault(a, []).append(b)
-        overlaps = Overlaps(sets)
-        for a in sorted(partners, key=lambda x: (-len(partners[x]), x)):
-            for z, common in overlaps.of(a, partners[a]).items():
-                if 100 * common >= percent * (len(sets[a]) + len(sets[z]) - common):
-                    yield a, z
+    """Links inside units, from rows sorted by unit and set size. A unit has the pairs of its two parts.
+
+    Sends (u, v, NULL) for the links of a spanning forest and (u, NULL, more) for
+    the rows that are linked to a set in this unit.
+    """
+
+    def links(rows: dict[str, np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch | None:
+        # Rows of equal id and text give their set each; one is enough.
+        one = np.sort(np.unique(rows["node"], return_index=True)[1])
+        rows, tokens = {c: x[one] for c, x in rows.items()}, [tokens[k] for k in one]
+        n, part, size = rows["n"], rows["part"], len(tokens)
+        overlaps = Overlaps(dict(enumerate(tokens)))
+        more = np.zeros(size, np.int64)
+        root = list(range(size))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        forest = []
+        stop = np.searchsorted(n, n * 100 // percent, "right")
+        for a in range(size):
+            b = np.arange(a + 1, stop[a])
+            need = -(-percent * (n[a] + n[b]) // (100 + percent))
+            b = b[_alike(rows, np.full(len(b), a), b, n[a] + n[b] - 2 * need)]
+            low, high = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
+            b = b[(low == rows["low"][0]) & (high == rows["high"][0])]
+            for z, common in overlaps.of(a, b.tolist()).items() if len(b) else ():
+                if 100 * common >= percent * int(n[a] + n[z] - common):
+                    more[a] += rows["rows"][z]
+                    more[z] += rows["rows"][a]
+                    if find(a) != find(z):
+                        root[find(z)] = find(a)
+                        forest.append((a, z))
+        node, own = rows["node"], np.flatnonzero(more)
+        if not len(own):
+            return None
+        u = np.concatenate([node[own], node[[a for a, _ in forest]]])
+        v = pa.array([None] * len(own) + node[[z for _, z in forest]].tolist(), pa.int64())
+        counts = pa.array(more[own].tolist() + [None] * len(forest), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(u), v, counts], ["u", "v", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, sets, pairs = None, {}, []
+        held: list[tuple[dict[str, np.ndarray], list[np.ndarray]]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = list(links(sets, pairs))
-            if found:
-                u, v = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            rows = {c: np.concatenate([h[0][c] for h in held]) for c in held[0][0]}
+            found = links(rows, [t for _, own in held for t in own])
+            if found is not None:
+                yield found
 
         for batch in batches:
-            units, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "a", "b"))
-            tokens = batch.column("tokens")
-            for k in range(batch.num_rows):
-                if units[k] != unit:
+            now = _numbers(batch, ("cluster", "low", "high", "part", "node", "n", "rows"))
+            unit = np.stack([now[c] for c in ("cluster", "low", "high")], 1)
+            lists = batch.column("tokens")
+            tokens = [np.sort(lists[k].values.to_numpy().view(np.uint64)) for k in range(batch.num_rows)]
+            edges = np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1
+            for lo, hi in zip(np.append(0, edges), np.append(edges, batch.num_rows), strict=True):
+                if held and any(held[0][0][c][0] != now[c][lo] for c in ("cluster", "low", "high")):
                     yield from out()
-                    unit, sets, pairs = units[k], {}, []
-                if tokens[k].is_valid:
-                    sets[int(a[k])] = np.sort(tokens[k].values.to_numpy().view(np.uint64))
-                else:
-                    pairs.append((int(a[k]), int(b[k])))
-        yield from out()
+                    held = []
+                held.append(({c: x[lo:hi] for c, x in now.items()}, tokens[lo:hi]))
+        if held:
+            yield from out()
 
     return run
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """f1, f2, tokens of the wanted classes, from one more pass over the texts.
+    """f1, f2, tokens of the wanted classes and a few more, from one more pass over the texts.
 
-    The buckets of the wanted rows are a first sieve of fixed size; what passes
-    is joined exactly.
+    The buckets of the wanted rows are a sieve of fixed size; the join with the
+    members of the units leaves what is wanted.
     """
     wanted = nodes.select((F.xxhash64("member")).alias("h"), "f1")
 
@@ -302,25 +377,37 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                     )
 
     rows = docs.select("_text", F.xxhash64("_id").alias("_key"))
-    passed = rows.mapInArrow(run, "f1 long, f2 long, tokens array<long>")
-    return passed.join(nodes.select("node", "f1", "f2"), ["f1", "f2"]).dropDuplicates(["node"]).select("node", "tokens")
+    return rows.mapInArrow(run, "f1 long, f2 long, tokens array<long>")
 
 
 def _links(described: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """u, v: linked classes."""
-    reps = described.join(classes.select(F.col("node").alias("_row"), "node"), "_row")
-    reps = materialize(reps.select("node", "n", "f1", "f2", F.col("_id").alias("member"), "prefix", "signature"))
-    postings = reps.select("node", F.posexplode("prefix").alias("position", "token"))
-    live = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    own = postings.join(live, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("position", "token", "df"))).alias("live"))
-    entries = reps.select("node", "n", "signature").join(own, "node")
-    entries = entries.select("node", "n", "signature", F.col("live")[0]["token"].alias("first"), F.inline("live"))
+    """u, v, more: links that connect linked classes, and counts of linked rows."""
+    reps = described.join(classes.select(F.col("node").alias("_row"), "node", "rows"), "_row")
+    reps = materialize(reps.select("node", "n", "rows", "f1", "f2", F.col("_id").alias("member"), "prefix", "signature", "fine"))
+    postings = reps.select("node", "n", F.posexplode("prefix").alias("position", "token"))
+    # A list of two sets of unlike sizes has no link to find.
+    live = (
+        postings.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("df"), F.min("n").alias("least"), F.max("n").alias("most"))
+        .where(f"df > 2 or (df = 2 and 100 * least >= {percent} * most)")
+        .select("token", "df")
+    )
+    own = (
+        postings.drop("n")
+        .join(live, "token")
+        .groupBy("node")
+        .agg(F.sort_array(F.collect_list(F.struct("position", "token", "df"))).alias("live"))
+        .select("node", "live", *(F.coalesce(F.get("live", F.lit(k))["token"], F.lit(0)).alias(f"e{k + 1}") for k in range(EARLY)))
+    )
+    entries = materialize(reps.select("node", "n", "rows", "signature", "fine").join(own, "node"))
+    early = [f"e{k + 1}" for k in range(EARLY)]
+    lists = entries.select("node", "n", "signature", "fine", *early, F.inline("live"))
     # A long list is cut into chunks; every two chunks meet in a list of their own.
     chunks = F.ceil(F.col("df") / LIST_ROWS)
-    entries = entries.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn(
+    lists = lists.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))
     )
-    lists = entries.select(
+    lists = lists.select(
         "token",
         F.least("chunk", "other").alias("low"),
         F.greatest("chunk", "other").alias("high"),
@@ -328,34 +415,27 @@ def _links(described: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
         "node",
         "n",
         "position",
-        "first",
+        *early,
         "signature",
+        "fine",
     )
     lists = lists.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "node")
-    pairs = materialize(
-        lists.mapInArrow(_list_pairs(percent), "a long, first_a long, b long, first_b long").distinct()
-    )
-    sides = pairs.select(F.col("a").alias("node"), F.col("first_a").alias("first")).unionByName(
-        pairs.select(F.col("b").alias("node"), F.col("first_b").alias("first"))
-    ).distinct()
-    cells = sides.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / UNIT_SETS).alias("parts"))
-
-    def place(first: str, node: str, parts: str) -> Column:
-        return F.struct(F.col(first).alias("first"), F.pmod(F.xxhash64(node), F.col(parts)).alias("part"))
-
-    units = pairs.join(cells.select(F.col("first").alias("first_a"), F.col("parts").alias("parts_a")), "first_a").join(
-        cells.select(F.col("first").alias("first_b"), F.col("parts").alias("parts_b")), "first_b"
-    )
-    left, right = place("first_a", "a", "parts_a"), place("first_b", "b", "parts_b")
-    units = materialize(units.select(F.xxhash64(F.least(left, right), F.greatest(left, right)).alias("unit"), "a", "b"))
-    needed = sides.select("node").distinct()
-    sets = _whole_sets(docs, reps.select("node", "f1", "f2", "member").join(needed, "node"), size)
-    members = units.select("unit", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
-    rows = members.select("unit", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tokens").unionByName(
-        units.select("unit", "a", "b", F.lit(None).cast("array<long>").alias("tokens"))
+    clusters = components(lists.mapInArrow(_list_ties(percent), "u long, v long"))
+    parts = F.ceil(F.col("size") / UNIT_SETS)
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    members = (
+        clusters.join(sizes, "root")
+        .select(F.col("root").alias("cluster"), "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select("cluster", "node", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     )
-    rows = rows.repartition("unit").sortWithinPartitions("unit", F.col("b").asc_nulls_first())
-    return materialize(rows.mapInArrow(_verify(percent), "u long, v long"))
+    needed = materialize(reps.select("node", "f1", "f2", "member").join(clusters.select("node"), "node"))
+    about = entries.select("node", "n", "rows", "signature", "fine").join(needed.select("node", "f1", "f2"), "node")
+    # Whole sets are shuffled twice: to what is known of them, then to the units.
+    whole = about.join(_whole_sets(docs, needed, size), ["f1", "f2"]).drop("f1", "f2")
+    rows = members.join(whole, "node").select("cluster", "low", "high", "part", "node", "n", "rows", "signature", "fine", "tokens")
+    rows = rows.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "n", "node")
+    return materialize(rows.mapInArrow(_verify(percent), "u long, v long, more long"))
 
 
 def jaccard_classes(
@@ -396,10 +476,8 @@ def jaccard_classes(
         .agg(F.min("_row").alias("node"), F.count(F.lit(1)).alias("rows"), F.min("_id").alias("least"))
     )
     links = _links(described, classes, rows, size, percent)
-    rooted = components(links)
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = both.join(classes.select(F.col("node").alias("v"), "rows"), "v")
-    more = linked.groupBy(F.col("u").alias("node")).agg(F.sum("rows").alias("more"))
+    rooted = components(links.where("v is not null").select("u", "v"))
+    more = links.where("more is not null").groupBy(F.col("u").alias("node")).agg(F.sum("more").alias("more"))
     labelled = rooted.join(classes.select("node", "least"), "node")
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
     grouped = rooted.join(least, "root").select("node", "component")
@@ -410,7 +488,7 @@ def jaccard_classes(
         (F.col("rows") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),
         F.coalesce("component", "least").alias("component_id"),
     )
-    return described.drop("prefix", "signature", "_row").join(info, ["f1", "f2", "n"], "left").select(
+    return described.drop("prefix", "signature", "fine", "_row").join(info, ["f1", "f2", "n"], "left").select(
         F.col("_id").alias(id_column),
         *(F.col(own).alias(c) for c, own in kept.items()),
         F.col("n").alias("n_shingles"),
