@@ -206,3 +206,41 @@ def test_quality_flags(spark):
     report = {r["symbol"]: r for r in quality.quality_report(rows, min_rows=1).collect()}
     assert report["A"]["verdict"] == "warn" and report["A"]["max_gap_seconds"] == 7200
     assert not report["A"]["spread_ok"] and report["B"]["verdict"] == "fail"
+
+
+def _streamed(spark, tmp_path, name, frames, schema, make):
+    """Rows of a stream over these frames, one file after the other."""
+    for k, frame in enumerate(frames):
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / name / f"part={k}"))
+    sources = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    query = (
+        make(sources.parquet(str(tmp_path / name))).writeStream.format("memory").queryName(name).outputMode("append")
+        .option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    return spark.sql(f"select * from {name}")
+
+
+def test_stream_keeps_the_last_per_time(spark, tmp_path):
+    schema = "symbol string, ts timestamp, update_id long, mid_price double"
+    rows = [("A", T0 + timedelta(seconds=s), i, float(p)) for s, i, p in [(1, 5, 10), (1, 7, 11), (1, 6, 12), (2, 8, 13), (2, 8, 13)]]
+    frames = [spark.createDataFrame(rows[:2], schema), spark.createDataFrame(rows[2:], schema)]
+    frames.append(spark.createDataFrame([("B", T0 + timedelta(hours=1), 1, 1.0)], schema))
+    got = _streamed(spark, tmp_path, "last_rows", frames, schema, lambda df: live.last_per_time(df, "update_id"))
+    want = book.keep_last(spark.createDataFrame(rows, schema), ["symbol", "ts"], ["update_id"])
+    assert sorted(map(tuple, got.where("symbol = 'A'").collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_stream_flow_equals_batch(spark, tmp_path):
+    snaps = "symbol string, ts timestamp, update_id long, mid_price double"
+    rows = [("A", T0 + timedelta(milliseconds=m), i, 100.0 + i) for i, m in enumerate([0, 400, 1000, 1400, 2600, 9000])]
+    early = spark.createDataFrame(rows, snaps)
+    end = spark.createDataFrame([("Z", T0 + timedelta(hours=1), 99, 1.0)], snaps)
+    traded = trades(spark, [(0.0, 10, 1, True), (0.4, 11, 2, False), (0.4005, 12, 1, True), (1.4, 13, 3, False), (2.5, 14, 1, True)])
+    late = spark.createDataFrame([("Z", T0 + timedelta(hours=1), 9, 1.0, 1.0, True)], TRADES)
+    for k, frame in enumerate((traded, late)):
+        frame.coalesce(1).write.parquet(str(tmp_path / "trades" / f"part={k}"))
+    stream = spark.readStream.schema(TRADES).option("recursiveFileLookup", True).parquet(str(tmp_path / "trades"))
+    got = _streamed(spark, tmp_path, "flow_rows", [early, end], snaps, lambda df: live.snapshot_flow(df, stream))
+    want = book.trailing_flow(early, traded)
+    assert sorted(map(tuple, got.where("symbol = 'A'").collect())) == sorted(map(tuple, want.select(*got.columns).collect()))

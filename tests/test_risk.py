@@ -119,3 +119,36 @@ def test_position_pnl(spark):
     assert rows[3, 3]["gross_pnl"] == 0 and not rows[3, 3]["known"]
     assert rows[9, 1]["net_pnl"] == 0
     assert rows[1, 1]["net_pnl"] == pytest.approx(4000 - rows[1, 1]["costs"])
+
+
+def test_account_state_follows_guard_and_positions(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    opens = spark.createDataFrame(
+        [("a", 1, 2.0, 100.0, "long", at(1)), ("a", 2, 1.0, 50.0, "long", at(3)), ("b", 3, 1.0, 10.0, "long", at(1))],
+        "account string, position_id long, size double, entry_price double, position_type string, entry_time timestamp",
+    )
+    closes = spark.createDataFrame(
+        [(1, 1, 110.0, 1.0, at(4)), (1, 2, 120.0, None, at(6)), (2, 1, 40.0, None, at(30))],
+        "position_id long, close_seq long, exit_price double, exit_size double, exit_time timestamp",
+    )
+    closed = positions.close_positions(opens.drop("account"), closes)
+    net = {(r.position_id, r.close_seq): r.net_pnl for r in closed.collect()}
+    guard = spark.createDataFrame([("a", at(2), 0.02, False), ("a", at(5), 0.2, True)], "account string, ts timestamp, current_drawdown double, is_triggered boolean")
+    asked = [("a", at(h), h) for h in (0, 1, 2, 4, 5, 7, 31)] + [("b", at(5), 99)]
+    signals = spark.createDataFrame(asked, "account string, ts timestamp, n long")
+    got = {r.n: r for r in positions.account_state(signals, opens, closed, guard).collect()}
+    assert {n: (r.open_positions, r.open_exposure) for n, r in got.items()} == {
+        0: (0, 0.0), 1: (0, 0.0), 2: (1, 200.0), 4: (2, 150.0), 5: (2, 150.0), 7: (1, 50.0), 31: (0, 0.0), 99: (1, 10.0)
+    }
+    assert got[7].daily_pnl == pytest.approx(net[1, 1] + net[1, 2]) and got[31].daily_pnl == pytest.approx(net[2, 1])
+    assert got[31].portfolio_value == pytest.approx(100000 + sum(net.values()))
+    assert [got[n].drawdown_triggered for n in (2, 4, 5, 99)] == [False, False, True, False] and got[4].drawdown == 0.02
+
+
+def test_a_held_drawdown_over_many_blocks_needs_few_rounds(spark, caplog):
+    rows = [("x", T0 + timedelta(hours=k), k, 100.0 if k < 40 else 80.0) for k in range(700)]
+    df = spark.createDataFrame(rows, "account string, ts timestamp, step long, equity double")
+    with caplog.at_level("INFO", "tickloom.operators.sequential"):
+        made = drawdown.drawdown_guard(df, order=["ts", "step"], block_rows=10, warm_up=4).collect()
+    rounds = [r for r in caplog.records if "round" in r.message]
+    assert sum(r.is_triggered for r in made) == 660 and 0 < len(rounds) <= 4

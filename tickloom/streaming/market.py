@@ -95,6 +95,38 @@ def trade_flow(trades: DataFrame, width: str = "1 second", slide: str = "500 mil
     )
 
 
+def snapshot_flow(snapshots: DataFrame, trades: DataFrame, window_ms: int = 1000, late: str = "10 seconds") -> DataFrame:
+    """Each snapshot with buy_volume_1s, sell_volume_1s and vwap_1s, the stream form of `book.trailing_flow`.
+
+    Counts trades with 0 <= snapshot - trade <= window_ms, times truncated to
+    milliseconds. A snapshot is given once the watermark has passed it; equal
+    snapshots are given once. `snapshots` has mid_price.
+    """
+    maker = F.col("is_buyer_maker")
+    kept = snapshots.columns
+    left = snapshots.withWatermark("ts", late)
+    right = trades.withWatermark("ts", late).select(
+        F.col("symbol").alias("_symbol"),
+        F.col("ts").alias("_at"),
+        F.when(~maker, F.col("quantity")).otherwise(0.0).alias("_buy"),
+        F.when(maker, F.col("quantity")).otherwise(0.0).alias("_sell"),
+        (F.col("price") * F.col("quantity")).alias("_value"),
+    )
+    age = F.unix_millis("ts") - F.unix_millis("_at")
+    near = (F.col("_at") >= F.col("ts") - F.expr(f"interval {window_ms + 1} milliseconds")) & (
+        F.col("_at") <= F.col("ts") + F.expr("interval 1 millisecond")
+    )
+    joined = left.join(right, (F.col("symbol") == F.col("_symbol")) & near & age.between(0, window_ms), "leftOuter")
+    flow = joined.groupBy(*kept).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("_buy", "_sell", "_value")))
+    volume = F.col("_buy") + F.col("_sell")
+    return flow.select(
+        *kept,
+        F.col("_buy").alias("buy_volume_1s"),
+        F.col("_sell").alias("sell_volume_1s"),
+        F.when(volume > 0, F.try_divide("_value", volume)).otherwise(F.col("mid_price")).alias("vwap_1s"),
+    )
+
+
 def first_per_time(rows: DataFrame, late: str = "1 minute") -> DataFrame:
     """One row per symbol and time, the first that comes, at once."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "ts"])
