@@ -5,8 +5,8 @@ it in the word. Toxic and ordinary texts have absolute-discounted counts of
 their own, and both fall back on the same continuation counts (how many contexts
 a letter has followed), so what is rare in either class weighs next to nothing.
 The log-likelihoods are normalised by length: the mean difference per word, and
-the mean over the most toxic share of the words, so that a few expressions in a
-long text are not averaged away. A logistic curve over the two, fitted on texts
+the means over the most toxic shares of the words, so that a few expressions in
+a long text are not averaged away. A logistic curve over these, fitted on texts
 that the counts have not seen, gives the score.
 """
 
@@ -23,7 +23,7 @@ from tickloom.llm import words
 from tickloom.llm.learning import fold, labelled_sample, logistic_fit, sigmoid
 
 DEPTH = 10
-TOP_SHARE = 0.02
+TOP_SHARES = (0.005, 0.01, 0.02, 0.04)
 END = 256
 
 
@@ -142,15 +142,15 @@ def fit_kneser_ney(texts: pa.Array, toxic: np.ndarray) -> KneserNey:
 
 
 def text_figures(model: KneserNey, block: words.Block) -> np.ndarray:
-    """Per text the mean log-ratio per word and the mean over the most toxic words; 0 without words."""
+    """Per text the mean log-ratio per word and the means over the most toxic words; 0 without words."""
     starts, lengths, inverse, offsets = _prefixes(block)
     ratios = model.word_ratios(block, starts, lengths)[inverse]
-    out = np.zeros((len(block), 2))
+    out = np.zeros((len(block), 1 + len(TOP_SHARES)))
     for k in range(len(block)):
         own = ratios[offsets[k] : offsets[k + 1]]
         if len(own):
-            top = max(1, int(TOP_SHARE * len(own)))
-            out[k] = own.mean(), np.partition(own, len(own) - top)[-top:].mean()
+            most = np.sort(own)[::-1]
+            out[k] = own.mean(), *(most[: max(1, int(share * len(own)))].mean() for share in TOP_SHARES)
     return out
 
 
@@ -170,7 +170,7 @@ def fit_toxicity(texts: pa.Array, toxic: np.ndarray, prior_shift: float = 0.0) -
         share = float(toxic.mean()) if len(toxic) else 0.0
         odds = np.log((share + 1e-3) / (1 - share + 1e-3))
         empty = KneserNey(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-        return ToxicityModel(empty, np.array([0.0, 0.0, odds]))
+        return ToxicityModel(empty, np.array([0.0] * (1 + len(TOP_SHARES)) + [odds]))
     counts = fit_kneser_ney(texts.filter(pa.array(~third)), toxic[~third])
     rest = texts.filter(pa.array(third))
     figures = np.concatenate([text_figures(counts, block) for block in words.blocks(rest)])
