@@ -101,7 +101,14 @@ class Vocabulary:
 
 
 def head_vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS, states: int = STATES) -> Vocabulary:
-    top = counts.orderBy(F.desc("n"), "word").limit(head_words).toArrow()
+    # Counts by size class tell from which count on words can be among the first.
+    classes = counts.groupBy(F.floor(F.log2("n") * 8).alias("k")).agg(F.count(F.lit(1)).alias("words")).collect()
+    held, least = 0, 0.0
+    for k, words_of in sorted(((r["k"], r["words"]) for r in classes), reverse=True):
+        held, least = held + words_of, 2.0 ** (k / 8) * (1 - 1e-9)
+        if held >= head_words:
+            break
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(head_words).toArrow()
     key = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     n = top["n"].to_numpy()
     state = np.ones(len(key), np.int32)
