@@ -14,7 +14,7 @@ from tickloom.llm.decontamination import drop_leaks
 from tickloom.llm.jaccard_join import jaccard_classes
 from tickloom.llm.mixing import mix
 from tickloom.llm.quality_model import score_quality
-from tickloom.llm.queries import MIX_RATE, MIX_TARGETS, SHARD_TREE
+from tickloom.llm.settings import MIX_RATE, MIX_TARGETS, SHARD_TREE
 from tickloom.llm.sharding import shard_digest
 from tickloom.session import materialize
 

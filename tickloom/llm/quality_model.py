@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import words
-from tickloom.llm.learning import fold, labelled_sample, sigmoid
+from tickloom.llm.learning import fit_in_task, fold, labelled_sample, sigmoid
 
 PASSAGE_WORDS = 64
 
@@ -207,7 +207,7 @@ def score_quality(
     there are none). No column but the text enters a score.
     """
     sample = labelled_sample(docs, labels, target, id_column, text_column, modulus, held_out, rows_per_class)
-    model = fit_quality(sample.texts, sample.labels, sample.prior_shift)
+    model = AttentionModel(**fit_in_task(*sample, fit_quality))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_column].dataType.simpleString()
     row_type = f"row {docs.schema.simpleString()}, " if carry else ""

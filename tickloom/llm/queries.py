@@ -10,18 +10,10 @@ from pyspark.sql import functions as F
 from tickloom.llm import decontamination, jaccard_join, language_id, language_model, mixing, oracles, quality_model
 from tickloom.llm import quality_rules as rules
 from tickloom.llm import secrets, sharding, toxicity
+from tickloom.llm.settings import MIX_RATE, MIX_TARGETS, SHARD_TREE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SHARD_TREE = sharding.HashTree.regular(regions=3, racks=2, shards=4)
-
-MIX_TARGETS: mixing.Targets = {
-    "source": {f"src{k}": 0.05 for k in range(20)},
-    "lang": {"en": 0.55, "fr": 0.18, "de": 0.15, "es": 0.12},
-    "topic": {"table": 0.02, "shout": 0.01, "symbols": 0.01, "note": 0.06, "article": 0.6, "book": 0.3},
-}
-MIX_RATE = 0.8
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,7 +46,8 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

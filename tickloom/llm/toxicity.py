@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickloom.llm import words
-from tickloom.llm.learning import fold, labelled_sample, logistic_fit, sigmoid
+from tickloom.llm.learning import fit_in_task, fold, labelled_sample, logistic_fit, sigmoid
 
 DEPTH = 10
 TOP_SHARES = (0.005, 0.01, 0.02, 0.04)
@@ -198,7 +198,8 @@ def score_toxicity(
     toxic labels. Other columns are not read.
     """
     sample = labelled_sample(docs, labels, target, id_column, text_column, modulus, held_out, rows_per_class)
-    model = fit_toxicity(sample.texts, sample.labels, sample.prior_shift)
+    fields = fit_in_task(*sample, fit_toxicity)
+    model = ToxicityModel(KneserNey(**fields["counts"]), fields["weights"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_column].dataType.simpleString()
 
