@@ -46,6 +46,13 @@ def test_passes_over_a_large_benchmark(spark, odd, monkeypatch):
     assert np.allclose([x[2] for x in one], [x[2] for x in many])
 
 
+def test_items_of_frequent_words_only(spark, odd):
+    text = prose(4, 30, 40)
+    benchmark = spark.createDataFrame([(k, text + ".\n" + prose(5, 4, 40)) for k in range(3)], "item_id long, text string")
+    docs = spark.createDataFrame(rows_of([prose(6, 90, 900) + " " + text + " " + prose(5, 4, 40), prose(7, 90, 900)]), odd.schema)
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, benchmark).collect()} == {(0, 0), (0, 1), (0, 2)}
+
+
 def test_wand_returns_all_above_the_threshold():
     r = random.Random(5)
     texts = [prose(k, r.choice([8, 20, 40]), 60) for k in range(30)]

@@ -94,8 +94,14 @@ class Index:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
 
-def build_index(ids: list, texts: list[str], n_items: int, frequency: dict[int, int], mean_words: float) -> Index | None:
-    """Index of these items; ``frequency`` counts the items of the whole benchmark with a word."""
+def build_index(
+    ids: list, texts: list[str], n_items: int, frequency: dict[int, int], mean_words: float, threshold: float = 0.5
+) -> Index | None:
+    """Index of these items; ``frequency`` counts the items of the whole benchmark with a word.
+
+    Frequent words are left to a bound of what they add, but only where an item
+    cannot reach the threshold with them alone.
+    """
     split = [split_item(t) for t in texts]
     questions, answers = _text_words([q for q, _ in split]), _text_words([a for _, a in split])
     whole = [np.concatenate([q, a]) for q, a in zip(questions, answers, strict=True)]
@@ -116,6 +122,8 @@ def build_index(ids: list, texts: list[str], n_items: int, frequency: dict[int,
     first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
     essential = df <= max(1.0, 0.05 * n_items)
     rest_item = np.bincount(item, np.where(essential[term], 0, impact), len(ids))
+    essential[term[rest_item[item] >= 0.8 * threshold]] = True
+    rest_item = np.bincount(item, np.where(essential[term], 0, impact), len(ids))
     edges = np.arange(len(vocabulary) + 1)
     return Index(
         ids,
@@ -216,13 +224,14 @@ def block_hits(block: words.Block, index: Index, limits: Limits) -> list[tuple]:
             share_q = float(np.isin(question, grams).mean()) if len(question) else 1.0
             share_a = float(np.isin(answer, hashes[lo:hi]).mean()) if len(answer) else 1.0
             if share_q >= limits.question and share_a >= limits.answer:
-                found = (score, share_q, share_a, lo - int(offsets[k]), hi - int(offsets[k]) - 1)
+                # Rounded, so that a score does not depend on the order of its sum.
+                found = (round(score, 9), share_q, share_a, lo - int(offsets[k]), hi - int(offsets[k]) - 1)
                 if found > best.get((k, item), (0.0,)):
                     best[k, item] = found
     return [(k, item, *found) for (k, item), found in best.items()]
 
 
-def _passes(benchmark: DataFrame, item_column: str, text_column: str) -> Iterator[list[Index]]:
+def _passes(benchmark: DataFrame, item_column: str, text_column: str, threshold: float) -> Iterator[list[Index]]:
     """Indexes of all items, ITEMS_PER_PASS at a time, with word counts of the whole benchmark."""
     items = benchmark.where(F.col(text_column).isNotNull()).select(
         F.col(item_column).alias("item"), F.col(text_column).alias("text")
@@ -257,6 +266,7 @@ def _passes(benchmark: DataFrame, item_column: str, text_column: str) -> Iterato
                     n_items,
                     df,
                     total / n_items,
+                    threshold,
                 )
             )
         ]
@@ -284,7 +294,7 @@ def find_leaks(
         "question_overlap double, answer_overlap double, first_word long, last_word long"
     )
     out = docs.sparkSession.createDataFrame([], schema)
-    for indexes in _passes(benchmark, item_column, item_text):
+    for indexes in _passes(benchmark, item_column, item_text, limits.score):
         shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -314,7 +324,7 @@ def drop_leaks(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no test item."""
-    for indexes in _passes(benchmark, item_column, item_text):
+    for indexes in _passes(benchmark, item_column, item_text, limits.score):
         shared = docs.sparkSession.sparkContext.broadcast(indexes)
         at = docs.columns.index(text_column)
 

@@ -54,6 +54,76 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
 FROM blocked JOIN now_shard n USING (doc_id) JOIN more_shard m USING (doc_id)
 """
 
+OP2 = r"""
+WITH RECURSIVE
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3
+      THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles,
+  (SELECT count(*) FROM both_ways WHERE a = d.doc_id) AS n_links, min(r) AS component_id
+FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+"""
+
+OP5 = r"""
+WITH
+items AS MATERIALIZED (
+  SELECT item_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines,
+    list_filter(string_split(text, '. '), lambda x: trim(x) <> '') AS parts FROM benchmark WHERE text IS NOT NULL),
+halved AS (
+  SELECT item_id,
+    CASE WHEN len(lines) > 1 THEN array_to_string(lines[1:len(lines) - 1], chr(10))
+      WHEN len(parts) > 1 THEN array_to_string(parts[1:len(parts) - 1], '. ') ELSE text END AS q,
+    CASE WHEN len(lines) > 1 THEN lines[-1] WHEN len(parts) > 1 THEN parts[-1] ELSE '' END AS a FROM items),
+split AS MATERIALIZED (
+  SELECT item_id, regexp_extract_all(lower(q), '[a-z0-9\x{80}-\x{10FFFF}]+') AS q,
+    regexp_extract_all(lower(a), '[a-z0-9\x{80}-\x{10FFFF}]+') AS a FROM halved),
+sized AS (SELECT *, len(q) + len(a) AS size FROM split WHERE len(q) + len(a) > 0),
+counted AS (SELECT item_id, size, t, count(*) AS tf FROM (SELECT item_id, size, unnest(list_concat(q, a)) AS t FROM sized) GROUP BY ALL),
+frequent AS (SELECT t, count(*) AS df FROM counted GROUP BY 1),
+consts AS (SELECT (SELECT count(*) FROM items) AS n, (SELECT sum(size) FROM sized) / (SELECT count(*) FROM items) AS mean,
+  greatest(32, (SELECT max(size) FROM sized)) AS step),
+raw AS (
+  SELECT item_id, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS w
+  FROM counted JOIN frequent USING (t), consts),
+impacts AS MATERIALIZED (SELECT item_id, t, w / sum(w) OVER (PARTITION BY item_id) AS w FROM raw),
+docs AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT doc_id, unnest(words) AS t, unnest(range(len(words))) // (SELECT step FROM consts) AS half FROM docs),
+known AS MATERIALIZED (SELECT DISTINCT doc_id, t, half FROM placed WHERE t IN (SELECT t FROM frequent)),
+seen AS (SELECT doc_id, t, half AS p FROM known UNION SELECT doc_id, t, half - 1 FROM known WHERE half > 0),
+scored AS (SELECT doc_id, p, item_id, sum(w) AS score FROM seen JOIN impacts USING (t) GROUP BY ALL HAVING sum(w) >= 0.5 - 1e-12),
+passages AS (
+  SELECT s.*, q, a, p * step AS lo, least((p + 2) * step, len(words)) AS hi, words[p * step + 1:least((p + 2) * step, len(words))] AS own
+  FROM scored s JOIN docs USING (doc_id) JOIN split USING (item_id), consts),
+grams AS (
+  SELECT *, least(3, greatest(len(q), 1)) AS k,
+    list_distinct(list_transform(range(1, len(q) - least(3, greatest(len(q), 1)) + 2), lambda i: array_to_string(q[i:i + least(3, len(q)) - 1], ' '))) AS asked,
+    ' ' || array_to_string(own, ' ') || ' ' AS line, list_distinct(a) AS said FROM passages),
+shares AS (
+  SELECT doc_id, item_id, score, lo, hi,
+    CASE WHEN len(q) > 0 THEN len(list_filter(asked, lambda g: contains(line, ' ' || g || ' '))) / len(asked) ELSE 1.0 END AS question_overlap,
+    CASE WHEN len(a) > 0 THEN len(list_filter(said, lambda g: list_contains(own, g))) / len(said) ELSE 1.0 END AS answer_overlap FROM grams)
+SELECT doc_id, item_id, round(m.score, 6) AS score, m.question_overlap, m.answer_overlap, CAST(m.lo AS BIGINT) AS first_word,
+  CAST(m.hi - 1 AS BIGINT) AS last_word
+FROM (SELECT doc_id, item_id, max({'s': round(score, 9), 'question_overlap': question_overlap, 'answer_overlap': answer_overlap, 'lo': lo, 'hi': hi, 'score': score}) AS m
+  FROM shares WHERE question_overlap >= 0.5 AND answer_overlap >= 0.5 GROUP BY 1, 2)
+"""
+
 OP10 = r"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -148,4 +218,4 @@ FROM marked m JOIN solved USING (source_group, lang_group, topic)
 """
 
 
-SQL = {"op1_hash_tree_shards": OP1, "op10_rule_cascade": OP10}
+SQL = {"op1_hash_tree_shards": OP1, "op2_set_relation_join": OP2, "op5_benchmark_leaks": OP5, "op10_rule_cascade": OP10}
