@@ -117,7 +117,7 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return picked.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
-BOOK_ROWS = 8192
+BOOK_ROWS = 32768
 
 
 def reconstruct(
@@ -162,13 +162,17 @@ def reconstruct(
     )
     placed = join_on(last, homes, [*keys, "_point"])
 
-    # A level that is open at the end of a block is sent to the blocks up to its next change.
+    # A level that is open at the end of a block is open at the start of the blocks up to its next change.
     left = placed.groupBy(*level, BLOCK).agg(F.max_by("qty", "_point").alias("qty"))
     changes = Window.partitionBy(*level).orderBy(BLOCK)
     ends = table.groupBy(*keys).agg(F.max(BLOCK).alias("_end"))
     left = join_on(left.withColumn("_until", F.lead(BLOCK).over(changes)).where("qty > 0"), ends, keys)
     left = left.withColumn("_until", F.coalesce("_until", "_end")).where(F.col("_until") > F.col(BLOCK))
-    open_levels = left.withColumn(BLOCK, F.explode(F.sequence(F.col(BLOCK) + 1, F.col("_until"))))
+    # A removal lets one deeper level come up, so a block needs no more than the best
+    # of its start and one for each of its removals.
+    gone = placed.where("qty = 0").groupBy(*keys, BLOCK, "side").agg(F.count(F.lit(1)).alias("_gone"))
+    most = levels + (gone.agg(F.max("_gone")).first()[0] or 0)
+    open_levels = _open_at(left, most, (table.agg(F.max(BLOCK)).first()[0] or 0) + 1, keys)
 
     columns = [*keys, BLOCK, "_point", "side", "price", "qty", "_next"]
     rows = placed.unionByName(open_levels.withColumn("_point", F.lit(None).cast("long")), allowMissingColumns=True)
@@ -218,6 +222,38 @@ def reconstruct(
     )
 
 
+def _open_at(left: DataFrame, most: int, blocks: int, keys: Sequence[str]) -> DataFrame:
+    """The `most` best open levels of each side at the start of every block.
+
+    `left` has levels that are open from the block after `_block` to `_until`. A
+    level is not sent to each of these blocks but to the few stretches of 2**k
+    blocks that make up the span; only the best of a stretch go on to its blocks.
+    """
+    sizes = F.sequence(F.lit(0), F.lit(max(blocks, 1).bit_length()))
+    low, high = F.col(BLOCK) + 1, F.col("_until") + 1
+
+    def stretches(k: Column) -> Column:
+        width = F.pow(F.lit(2.0), k).cast("long")
+        first, past = F.ceil(low / width), F.floor(high / width)
+        inside = first < past
+        start = F.when(inside & (first % 2 == 1), F.struct(k.alias("k"), first.alias("at")))
+        end = F.when(inside & (past % 2 == 1), F.struct(k.alias("k"), (past - 1).alias("at")))
+        return F.array(start, end)
+
+    parts = F.filter(F.flatten(F.transform(sizes, stretches)), lambda x: x.isNotNull())
+    rank = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
+
+    def best(rows: DataFrame, *home: str) -> DataFrame:
+        place = Window.partitionBy(*keys, "side", *home).orderBy(rank)
+        return rows.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= most).drop("_rank")
+
+    spread = left.select(*keys, "side", "price", "qty", F.inline(parts))
+    kept = best(spread, "k", "at")
+    width = F.pow(F.lit(2.0), F.col("k")).cast("long")
+    opened = kept.withColumn(BLOCK, F.explode(F.sequence(F.col("at") * width, (F.col("at") + 1) * width - 1))).drop("k", "at")
+    return best(opened, BLOCK)
+
+
 class OpenBook:
     """Open levels of both sides, sorted from the best."""
 

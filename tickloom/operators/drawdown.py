@@ -21,6 +21,7 @@ def position_scale(drawdown: Column, triggered: Column, limit: float = 0.10, sca
     """Share of the normal position size allowed in a drawdown."""
     if not scale:
         return F.when(triggered, F.lit(0.0)).otherwise(F.lit(1.0))
+    # Steps of the limit and the size allowed below each.
     return (
         F.when(triggered, 0.1)
         .when(drawdown < limit * 0.5, 1.0)

@@ -65,7 +65,7 @@ def daily_pnl(closed: DataFrame, time: str = "exit_time") -> DataFrame:
 def running_daily_pnl(closed: DataFrame, time: str = "exit_time", order: Sequence[str] = ("close_seq",)) -> DataFrame:
     """The profit and loss of the day so far after each close."""
     dated = closed.withColumn("_day", F.to_date(time))
-    slots = row_slots(dated, ["_day"], [F.col(time), *(F.col(c) for c in order)], F.date_trunc("hour", F.col(time)))
+    slots = row_slots(dated, ["_day"], [F.col(time), *(F.col(c) for c in order)], F.date_trunc("minute", F.col(time)))
     series = Series(("_day",))
     summed = running(place(slots, series), series, {"daily_pnl": ("sum", F.col("net_pnl"))})
     return summed.drop("_day", SLOT, BLOCK)
@@ -183,6 +183,7 @@ def screen_trades(
     sized = signals.withColumns({"risk_multiplier": scale, "adjusted_confidence": F.col("confidence") * scale})
     size = kelly_size(value, price, F.col("adjusted_confidence"), win_rate, avg_win, avg_loss, min_edge=min_edge)
     sized = sized.withColumn("_size", size).withColumn("_notional", F.col("_size") * price)
+    # The texts of the rejections.
     reason = (
         F.when(F.col("drawdown_triggered"), "Drawdown guard triggered")
         .when(moved > max_daily_loss, "Daily loss limit exceeded")

@@ -92,6 +92,7 @@ def _commission(notional: Column, maker: Column | bool, level: Column | int) ->
 
 
 def _slippage(notional: Column, urgency: Column | float) -> Column:
+    # Notional steps and the factor above each.
     impact = (
         F.when(notional > 1_000_000, 2.0).when(notional > 500_000, 1.5).when(notional > 100_000, 1.2).otherwise(1.0)
     )

@@ -107,7 +107,7 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((key * 3) % 180).alias("holding_period"),
         ((key * 37) % 2001 - 1000).cast("double").alias("_gain"),
     )
-    slots = row_slots(rows, ["run_id"], [F.col("ts"), F.col("order_id")], F.date_trunc("month", "ts"))
+    slots = row_slots(rows, ["run_id"], [F.col("ts"), F.col("order_id")], F.date_trunc("day", "ts"))
     series = Series(("run_id",))
     summed = running(place(slots, series), series, {"_total": ("sum", F.col("_gain"))})
     return (
