@@ -19,6 +19,9 @@ RUNTIME_CONF = {
     # core still has a task.
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Rows with whole texts are large; ten thousand of them, the default, would be
+    # held several times over on the way to Python and back.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 # Settings that must be there when the context starts.
