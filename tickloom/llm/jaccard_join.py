@@ -38,7 +38,7 @@ NEEDED_BITS = 22
 SIGNATURE_BITS = 512
 LIST_ROWS = 1024
 UNIT_SETS = 256
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 17
 EARLY = 4
 _PART = 1 << 14
 
