@@ -16,7 +16,7 @@ from tickloom.llm.mixing import mix
 from tickloom.llm.quality_model import score_quality
 from tickloom.llm.settings import MIX_RATE, MIX_TARGETS, SHARD_TREE
 from tickloom.llm.sharding import shard_digest
-from tickloom.session import materialize
+from tickloom.session import materialize, prepare
 
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
@@ -24,12 +24,14 @@ NEAR_PERCENT = 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs, labels, carry=True).where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least id."""
+    prepare(spark)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("at"))
     found = materialize(
         jaccard_classes(rows.select("row.doc_id", "row.text", "at"), size=NEAR_WORDS, percent=NEAR_PERCENT, keep=("at",))
@@ -42,16 +44,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a test item."""
+    prepare(spark)
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens follow the target shares of source, language and topic."""
+    prepare(spark)
     return mix(docs, MIX_TARGETS, MIX_RATE).where("sampled").select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and place of every document that is left."""
+    prepare(spark)
     return shard_digest(docs, SHARD_TREE)
 
 
