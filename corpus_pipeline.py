@@ -34,10 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prepare(spark)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("at"))
     found = materialize(
-        jaccard_classes(rows.select("row.doc_id", "row.text", "at"), size=NEAR_WORDS, percent=NEAR_PERCENT, keep=("at",))
+        jaccard_classes(
+            rows.select("row.doc_id", "row.text", "at"), size=NEAR_WORDS, percent=NEAR_PERCENT, keep=("at",), group="copies"
+        )
     )
     # A text without words has no group, so it is none's copy.
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    first = found.where("n_shingles > 0").groupBy("copies").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     kept = first.select("first.at").unionByName(found.where("n_shingles = 0").select("at"))
     return rows.join(kept, "at", "left_semi").select("row.*")
 

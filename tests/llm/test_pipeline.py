@@ -1,7 +1,7 @@
 import __spark_entry__ as entry
 import corpus_pipeline
 import pytest
-from made_up import rows_of
+from made_up import prose, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,6 +49,14 @@ def test_stages_take_odd_and_empty_rows(spark, odd, none):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, copies, SF).collect()) == [0, 9, 9]
 
 
+def test_groups_of_missing_and_repeated_ids(spark, odd):
+    a, b, c, d = (prose(k, 60, 4000) for k in range(4))
+    rows = [(k, t, *[None] * 8) for k, t in ((None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, a + " end"))]
+    docs = spark.createDataFrame(rows, odd.schema)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.text.removesuffix(" end") for r in got) == sorted([a, b, c, d])
+
+
 def test_every_query_is_registered():
     names = list(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

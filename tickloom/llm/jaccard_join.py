@@ -445,6 +445,7 @@ def jaccard_classes(
     id_column: str = "doc_id",
     text_column: str = "text",
     keep: tuple[str, ...] = (),
+    group: str | None = None,
 ) -> DataFrame:
     """id, the columns named in ``keep``, n_shingles, n_links, component_id of every row.
 
@@ -453,7 +454,10 @@ def jaccard_classes(
     only shingle). ``n_links`` counts the linked rows, equal texts included, and
     ``component_id`` is the least id that links reach. NULL and empty texts, and
     texts of blanks, have no shingles and no links. Rows with equal ids count as
-    rows of their own. Other columns are not read.
+    rows of their own, so ``component_id`` does not tell groups apart where ids are
+    NULL or repeated. ``group`` names a further column that does: a number that all
+    rows of a group share and no others, NULL without shingles. Other columns are
+    not read.
     """
 
     def shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -480,13 +484,14 @@ def jaccard_classes(
     more = links.where("more is not null").groupBy(F.col("u").alias("node")).agg(F.sum("more").alias("more"))
     labelled = rooted.join(classes.select("node", "least"), "node")
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    grouped = rooted.join(least, "root").select("node", "component")
+    grouped = rooted.join(least, "root").select("node", "component", *(["root"] if group else []))
     info = classes.join(more, "node", "left").join(grouped, "node", "left").select(
         "f1",
         "f2",
         "n",
         (F.col("rows") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),
         F.coalesce("component", "least").alias("component_id"),
+        *([F.coalesce("root", "node").alias("_group")] if group else []),
     )
     return described.drop("prefix", "signature", "fine", "_row").join(info, ["f1", "f2", "n"], "left").select(
         F.col("_id").alias(id_column),
@@ -494,4 +499,5 @@ def jaccard_classes(
         F.col("n").alias("n_shingles"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "_id").alias("component_id"),
+        *([F.col("_group").alias(group)] if group else []),
     )
