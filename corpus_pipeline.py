@@ -32,7 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least id."""
     prepare(spark)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("at"))
+    # Numbered and written once: a second scan of the documents may number them otherwise.
+    rows = materialize(
+        docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("at"))
+    )
     found = materialize(
         jaccard_classes(
             rows.select("row.doc_id", "row.text", "at"), size=NEAR_WORDS, percent=NEAR_PERCENT, keep=("at",), group="copies"

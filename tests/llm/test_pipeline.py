@@ -57,6 +57,20 @@ def test_groups_of_missing_and_repeated_ids(spark, odd):
     assert sorted(r.text.removesuffix(" end") for r in got) == sorted([a, b, c, d])
 
 
+def test_rows_keep_their_numbers_when_files_are_cut_anew(spark, odd, tmp_path):
+    texts = [prose(k // 2, 60, 4000) for k in range(40)]
+    spark.createDataFrame(rows_of(texts), odd.schema).repartition(9, "doc_id").write.parquet(str(tmp_path / "docs"))
+    result = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), SF)
+    key = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "1k")
+    try:
+        got = sorted(r.doc_id for r in result.collect())
+    finally:
+        spark.conf.set(key, usual)
+    assert got == list(range(0, 40, 2))
+
+
 def test_every_query_is_registered():
     names = list(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
