@@ -72,6 +72,15 @@ def test_kneser_ney_ratios_follow_the_tree():
     assert ratio[0] >= ratio[1] and np.isfinite(ratio).all() and ratio[3] == 0
 
 
+def test_letters_behind_the_tenth_and_scripts_without_blanks_count():
+    texts = pa.array(["abcdefghijklmnzorg день", "abcdefghijklmngood день", "今天天气很好我们去公园混蛋", "今天天气很好我们去公园散步"] * 5)
+    model = toxicity.fit_kneser_ney(texts, np.array([1, 0, 1, 0] * 5))
+    block = next(words.blocks(pa.array(["abcdefghijklmnzorg", "abcdefghijklmngood", "他们昨天说你是混蛋", "他们昨天说你是散步", "好。混蛋"])))
+    most = toxicity.text_figures(model, block)[:, 1]
+    assert most[0] > 0.5 > -0.5 > most[1]
+    assert most[2] > 0.3 > most[3] and most[4] > 0.3
+
+
 def test_language_of_held_out_texts(spark, odd):
     r = random.Random(8)
     syllables = {"aa": ["la", "mi", "tou"], "bb": ["ßor", "ähm", "kt"], "cc": ["при", "вет", "ка"]}

@@ -1,7 +1,8 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-A word is read letter by letter; the context of a letter is what stands before
-it in the word. Toxic and ordinary texts have absolute-discounted counts of
+A word is read letter by letter to its end; the context of a letter is what stands
+before it in the word, up to ten letters. Scripts without blanks are read from
+every character on, four characters far. Toxic and ordinary texts have absolute-discounted counts of
 their own, and both fall back on the same continuation counts (how many contexts
 a letter has followed), so what is rare in either class weighs next to nothing.
 The log-likelihoods are normalised by length: the mean difference per word, and
@@ -22,129 +23,187 @@ from pyspark.sql import DataFrame
 from tickloom.llm import words
 from tickloom.llm.learning import fit_in_task, fold, labelled_sample, logistic_fit, sigmoid
 
-DEPTH = 10
+CONTEXT = 10
+WINDOW = 4
 TOP_SHARES = (0.005, 0.01, 0.02, 0.04)
-END = 256
+END = np.uint64(0)
 
+# Code points of scripts that set no blanks between words, and of signs that are no letters.
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+            (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+SIGNS = ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x200B), (0x200E, 0x206F),
+         (0x3000, 0x3004), (0x3008, 0x3020), (0x30FB, 0x30FB), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40),
+         (0xFF5B, 0xFF65))
 
-def _prefixes(block: words.Block) -> tuple[np.ndarray, ...]:
-    """Distinct words of a block: starts, lengths, the word number of each run and the texts' offsets."""
+
+def _within(code: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    out = np.zeros(len(code), bool)
+    for low, high in ranges:
+        out |= (code >= low) & (code <= high)
+    return out
+
+
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points whose first bytes are at these places."""
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    b0, (b1, b2, b3) = padded[at], (padded[at + k] & 0x3F for k in (1, 2, 3))
+    return np.select(
+        [b0 < 0x80, b0 < 0xE0, b0 < 0xF0],
+        [b0, (b0 & 0x1F) << 6 | b1, (b0 & 0x0F) << 12 | b1 << 6 | b2],
+        (b0 & 0x07) << 18 | b1 << 12 | b2 << 6 | b3,
+    )
+
+
+def _words(block: words.Block) -> tuple[np.ndarray, ...]:
+    """Distinct words of a block: starts, lengths, whether they end there, the word number of each place and the texts' offsets.
+
+    A word is a run of letters. A script without blanks is read from every
+    character on, ``WINDOW`` characters far or to the end of its run.
+    """
+    lead = np.flatnonzero((block.data & 0xC0) != 0x80)
+    wide = lead[block.data[lead] >= 0x80]
     starts, ends, offsets = block.runs(words.LETTER)
-    whole = block.hashes(starts, ends)
-    _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
-    return starts[first], (ends - starts)[first], inverse, offsets
+    closed = np.ones(len(starts), bool)
+    code = _code_points(block.data, wide)
+    sign, unspaced = _within(code, SIGNS), _within(code, UNSPACED)
+    if sign.any() or unspaced.any():
+        kind = np.where(words.LETTER[block.data], 1, 0)  # 0 no letter, 1 letter, 2 without blanks
+        size = np.append(lead[1:], len(block.data))[np.searchsorted(lead, wide)] - wide
+        for own, value in ((sign, 0), (unspaced, 2)):
+            for k in range(int(size[own].max(initial=0))):
+                kind[wide[own & (size > k)] + k] = value
+        owner = np.repeat(np.arange(len(block)), np.diff(block.offsets))
+        edge = np.flatnonzero((kind[1:] != kind[:-1]) | (owner[1:] != owner[:-1])) + 1
+        begin, end = np.append(0, edge), np.append(edge, len(kind))
+        whole, run = kind[begin] == 1, kind[begin] == 2
+        # Every character of a run without blanks opens a window.
+        first = lead[kind[lead] == 2]
+        stop = end[run][np.searchsorted(begin[run], first, "right") - 1]
+        ahead = np.append(lead, np.full(WINDOW, len(block.data)))[np.searchsorted(lead, first) + WINDOW]
+        starts = np.concatenate([begin[whole], first])
+        ends = np.concatenate([end[whole], np.minimum(stop, ahead)])
+        closed = np.concatenate([np.ones(whole.sum(), bool), stop <= ahead])
+        order = np.argsort(starts, kind="stable")
+        starts, ends, closed = starts[order], ends[order], closed[order]
+        offsets = np.searchsorted(starts, block.offsets)
+    key = words.mix(block.hashes(starts, ends) + closed.astype(np.uint64))
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return starts[first], (ends - starts)[first], closed[first], inverse, offsets
+
+
+@dataclass
+class Letters:
+    """All letters of some words, ends of words included, each with its context."""
 
+    word: np.ndarray
+    context: np.ndarray
+    key: np.ndarray
+    first: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    before: np.ndarray
 
-def _node(block: words.Block, starts: np.ndarray, length: int, final: bool) -> np.ndarray:
-    """Key of the prefix of this length, or of the end of a word of this length."""
-    key = block.hashes(starts, starts + length)
-    return words.mix(key + np.uint64(1)) if final else key
+
+def _letters(block: words.Block, starts: np.ndarray, lengths: np.ndarray, closed: np.ndarray) -> Letters:
+    """The context of a letter is what stands before it in the word, up to ``CONTEXT`` letters."""
+    lead = np.flatnonzero((block.data & 0xC0) != 0x80)
+    edges = np.append(lead, len(block.data))
+    a, z = np.searchsorted(lead, starts), np.searchsorted(lead, starts + lengths)
+    n = z - a + closed
+    word = np.repeat(np.arange(len(starts)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = a[word] + place
+    final = at == z[word]
+    start, end = edges[at], np.where(final, edges[at], edges[np.minimum(at + 1, len(lead))])
+    # A context of fewer letters begins with the word, which is part of it.
+    anchored = (place < CONTEXT).astype(np.uint64)
+    from_ = edges[at - np.minimum(place, CONTEXT)]
+    context = words.mix(block.hashes(from_, start) * np.uint64(2) + anchored)
+    letter = block.hashes(from_, end)
+    key = words.mix(letter * np.uint64(4) + anchored * np.uint64(2) + final.astype(np.uint64))
+    before = edges[np.maximum(at - 1, 0)]
+    return Letters(word, context, key, place == 0, start, end, before)
 
 
 @dataclass
 class KneserNey:
-    """Sorted prefix keys with the summed log-ratio up to them and that of leaving the known words there."""
+    """Sorted keys of letters in their contexts with log-ratios, and contexts with those of leaving the known letters there."""
 
     keys: np.ndarray
     ratio: np.ndarray
+    contexts: np.ndarray
     leave: np.ndarray
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
-
-    def word_ratios(self, block: words.Block, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary), given the first byte of the word."""
-        out = np.zeros(len(starts))
-        if not len(self.keys):
-            return out
-        last = np.full(len(starts), -1)
-        live = np.arange(len(starts))
-        for depth in range(1, DEPTH + 1):
-            whole = lengths[live] == depth - 1
-            for final in (True, False):
-                own = live[whole] if final else live[~whole]
-                if not len(own):
-                    if not final:
-                        live = own
-                    continue
-                at, known = self._find(_node(block, starts[own], depth - final, final))
-                left = own[~known]
-                left = left[last[left] >= 0]
-                out[left] += self.leave[last[left]]
-                hit = own[known]
-                out[hit] = self.ratio[at[known]]
-                last[hit] = at[known]
-                if not final:
-                    live = hit
-            if not len(live):
-                break
-        return out
+    def word_ratios(
+        self, block: words.Block, starts: np.ndarray, lengths: np.ndarray, closed: np.ndarray | None = None
+    ) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary), given the first letter of the word."""
+        if not len(self.keys) or not len(starts):
+            return np.zeros(len(starts))
+        own = _letters(block, starts, lengths, np.ones(len(starts), bool) if closed is None else closed)
+        at = np.minimum(np.searchsorted(self.keys, own.key), len(self.keys) - 1)
+        known = self.keys[at] == own.key
+        step = np.where(known, self.ratio[at], 0.0)
+        rest = np.flatnonzero(~known & ~own.first)
+        up = np.minimum(np.searchsorted(self.contexts, own.context[rest]), len(self.contexts) - 1)
+        step[rest] = np.where(self.contexts[up] == own.context[rest], self.leave[up], 0.0)
+        return np.bincount(own.word, step, minlength=len(starts))
+
+
+def _no_counts() -> KneserNey:
+    return KneserNey(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0))
 
 
 def fit_kneser_ney(texts: pa.Array, toxic: np.ndarray) -> KneserNey:
-    """Count the prefixes of all words of both classes and work out the log-ratios."""
+    """Count the letters of all words of both classes in their contexts and work out the log-ratios."""
     parts: list[tuple[np.ndarray, ...]] = []
     for block in words.blocks(texts):
-        starts, lengths, inverse, offsets = _prefixes(block)
+        starts, lengths, closed, inverse, offsets = _words(block)
+        if not len(starts):
+            continue
         label = toxic[block.first + words.owners(offsets)]
         counts = np.stack([np.bincount(inverse[label == c], minlength=len(starts)) for c in (0, 1)], 1)
-        for depth in range(1, DEPTH + 1):
-            for final in (False, True):
-                own = np.flatnonzero(lengths == depth - 1 if final else lengths >= depth)
-                if not len(own) or (final and depth == 1):
-                    continue
-                s = starts[own]
-                parent = _node(block, s, depth - 1, False) if depth > 1 else np.zeros(len(own), np.uint64)
-                letter = np.full(len(own), END) if final else block.data[s + depth - 1].astype(np.int64)
-                before = block.data[s + depth - 2].astype(np.int64) if depth > 1 else np.full(len(own), END)
-                key = _node(block, s, depth - final, final)
-                key, first, inv = np.unique(key, return_index=True, return_inverse=True)
-                summed = np.stack([np.bincount(inv, counts[own, c], minlength=len(key)) for c in (0, 1)], 1)
-                level = np.full(len(key), depth)
-                parts.append((key, parent[first], letter[first], before[first], level, summed))
+        own = _letters(block, starts, lengths, closed)
+        key, at, inv = np.unique(own.key, return_index=True, return_inverse=True)
+        summed = np.stack([np.bincount(inv, counts[own.word, c], minlength=len(key)) for c in (0, 1)], 1)
+        letter = np.where(own.end[at] > own.start[at], block.hashes(own.start[at], own.end[at]), END)
+        before = np.where(own.first[at], END, block.hashes(own.before[at], own.start[at]))
+        parts.append((key, own.context[at], letter, before, own.first[at], summed))
     if not parts:
-        return KneserNey(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    key, parent, letter, before, level, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return _no_counts()
+    key, context, letter, before, opens, count = (np.concatenate(x) for x in zip(*parts, strict=True))
     key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    parent, letter, before, level = parent[first], letter[first], before[first], level[first]
+    context, letter, before, opens = context[first], letter[first], before[first], opens[first]
     count = np.stack([np.bincount(inverse, count[:, c], minlength=len(key)) for c in (0, 1)], 1)
 
     # Shared lower order: in how many contexts a letter follows the letter before it.
-    types = np.zeros((END + 1, END + 1))
-    np.add.at(types, (before, letter), 1.0)
-    single = (types.sum(0) + 1) / (types.sum() + END + 1)
-    row = types.sum(1)
-    follows = (types > 0).sum(1)
-    share = 0.75 * follows / np.maximum(row, 1)
-    shared = np.maximum(types[before, letter] - 0.75, 0) / np.maximum(row[before], 1) + np.where(
-        row[before] > 0, share[before], 1.0
-    ) * single[letter]
-
-    up = np.minimum(np.searchsorted(key, parent), len(key) - 1)
-    rooted = level > 1
+    _, then = np.unique(letter, return_inverse=True)
+    _, prior = np.unique(before, return_inverse=True)
+    pair, of_pair, types = np.unique(prior * (then.max() + 1) + then, return_inverse=True, return_counts=True)
+    single = (np.bincount(then) + 1) / (len(key) + then.max() + 1)
+    row = np.bincount(prior)
+    follows = np.bincount(pair // (then.max() + 1), minlength=len(row))
+    shared = np.maximum(types[of_pair] - 0.75, 0) / row[prior] + (0.75 * follows / row)[prior] * single[then]
+
+    contexts, up = np.unique(context, return_inverse=True)
     probability = np.ones((len(key), 2))
-    weight = np.ones((len(key), 2))
+    weight = np.ones((len(contexts), 2))
     for c in (0, 1):
         ones, twos = (count[:, c] == 1).sum(), (count[:, c] == 2).sum()
         discount = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.9)
-        total = np.bincount(up[rooted], count[rooted, c], minlength=len(key))
-        kinds = np.bincount(up[rooted], count[rooted, c] > 0, minlength=len(key))
+        total = np.bincount(up, count[:, c], minlength=len(contexts))
+        kinds = np.bincount(up, count[:, c] > 0, minlength=len(contexts))
         weight[:, c] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
         seen = np.maximum(count[:, c] - discount, 0) / np.maximum(total[up], 1)
         probability[:, c] = np.where(total[up] > 0, seen, 0) + weight[up, c] * shared
-    step = np.where(rooted, np.log(probability[:, 1]) - np.log(probability[:, 0]), 0.0)
-    ratio = np.zeros(len(key))
-    for depth in range(2, DEPTH + 1):
-        at = np.flatnonzero(level == depth)
-        ratio[at] = ratio[up[at]] + step[at]
-    return KneserNey(key, ratio, np.log(weight[:, 1]) - np.log(weight[:, 0]))
+    step = np.where(opens, 0.0, np.log(probability[:, 1]) - np.log(probability[:, 0]))
+    return KneserNey(key, step, contexts, np.log(weight[:, 1]) - np.log(weight[:, 0]))
 
 
 def text_figures(model: KneserNey, block: words.Block) -> np.ndarray:
     """Per text the mean log-ratio per word and the means over the most toxic words; 0 without words."""
-    starts, lengths, inverse, offsets = _prefixes(block)
-    ratios = model.word_ratios(block, starts, lengths)[inverse]
+    starts, lengths, closed, inverse, offsets = _words(block)
+    ratios = model.word_ratios(block, starts, lengths, closed)[inverse]
     out = np.zeros((len(block), 1 + len(TOP_SHARES)))
     for k in range(len(block)):
         own = ratios[offsets[k] : offsets[k + 1]]
@@ -169,8 +228,7 @@ def fit_toxicity(texts: pa.Array, toxic: np.ndarray, prior_shift: float = 0.0) -
     if len(set(toxic[~third])) < 2 or len(set(toxic[third])) < 2:
         share = float(toxic.mean()) if len(toxic) else 0.0
         odds = np.log((share + 1e-3) / (1 - share + 1e-3))
-        empty = KneserNey(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-        return ToxicityModel(empty, np.array([0.0] * (1 + len(TOP_SHARES)) + [odds]))
+        return ToxicityModel(_no_counts(), np.array([0.0] * (1 + len(TOP_SHARES)) + [odds]))
     counts = fit_kneser_ney(texts.filter(pa.array(~third)), toxic[~third])
     rest = texts.filter(pa.array(third))
     figures = np.concatenate([text_figures(counts, block) for block in words.blocks(rest)])
