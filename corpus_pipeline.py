@@ -54,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens follow the target shares of source, language and topic."""
+    """A sample whose tokens come nearer to the target shares of source, language and topic (figures in the README)."""
     prepare(spark)
     return mix(docs, MIX_TARGETS, MIX_RATE).where("sampled").select("row.*")
 
