@@ -218,4 +218,73 @@ FROM marked m JOIN solved USING (source_group, lang_group, topic)
 """
 
 
-SQL = {"op1_hash_tree_shards": OP1, "op2_set_relation_join": OP2, "op5_benchmark_leaks": OP5, "op10_rule_cascade": OP10}
+OP11 = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines FROM documents),
+numbers AS (
+  SELECT *, len(lines) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(lines) + 1) AS a,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(lines) + 1) AS b,
+    CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS suffix_first FROM drawn),
+parts AS (
+  SELECT *, array_to_string(lines[1:least(a, b)], '') AS p, array_to_string(lines[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(lines[greatest(a, b) + 1:], '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+      WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form FROM numbers)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+OP12 = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+terms AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS lang_n FROM terms GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+per_lang AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY 1),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+groups AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total, coalesce(v, 0) AS v, coalesce(l.total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN totals t USING (lang, source) LEFT JOIN per_lang l ON l.lang = g.lang),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (g.total + 2 * v) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term
+      WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+above AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM above))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+OP13 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+SQL = {
+    "op1_hash_tree_shards": OP1,
+    "op2_set_relation_join": OP2,
+    "op5_benchmark_leaks": OP5,
+    "op10_rule_cascade": OP10,
+    "op11_wavelet_fill_middle": OP11,
+    "op12_packed_source_audit": OP12,
+    "op13_extendible_exact_dedup": OP13,
+}

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, jaccard_join, language_id, language_model, mixing, oracles, quality_model
+from tickloom.llm import decontamination, exact_index, fill_middle, jaccard_join, language_id, language_model, mixing
+from tickloom.llm import oracles, quality_model
 from tickloom.llm import quality_rules as rules
-from tickloom.llm import secrets, sharding, toxicity
+from tickloom.llm import secrets, sharding, source_audit, toxicity
 from tickloom.llm.settings import MIX_RATE, MIX_TARGETS, SHARD_TREE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,18 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("failed_rule")
 
 
+def op11_wavelet_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_packed_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op13_extendible_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_index.mark_copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_hash_tree_shards,
@@ -83,6 +96,9 @@ def queries() -> dict[str, Query]:
         op8_hyperdimensional_language,
         op9_forest_secret_scan,
         op10_rule_cascade,
+        op11_wavelet_fill_middle,
+        op12_packed_source_audit,
+        op13_extendible_exact_dedup,
     )
     return {f.__name__: f for f in found}
 
