@@ -1,12 +1,13 @@
 """State machines over ordered series, parallel inside one series.
 
-A machine reads rows in order and carries a small state. Each block first
-guesses its entering state by running over the rows before it. Then the blocks
-of a series are walked in order, in a table with one row per block and entering
-state tried. Where a block has not been tried with the state it is entered with,
-its leaving state is predicted and the walk goes on, so one round tries all
-blocks that need it. The walk is repeated until every step of it has been tried:
-the result is that of one pass in order.
+A machine reads rows in order and carries a small state. Each block is read once
+and leaves its transfer function (`transfer`), which gives the leaving state for
+any entering state. The blocks of a series are then walked in order, in a table
+with one row per block. A machine that forgets its state within a few rows needs no
+such function: the block guesses its entering state by running over the rows before
+it. Where neither tells how a block is left, the leaving state is predicted, the
+walk goes on and one round runs all such blocks; the walk is repeated until every
+step of it is known: the result is that of one pass in order.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.operators import transfer
 from tickloom.operators.blocks import BLOCK, OWN, SLOT, Series, gather, join_on, place, with_halo
 from tickloom.session import materialize
 
@@ -32,15 +34,17 @@ class Machine:
     """`run(state, columns)` handles consecutive rows.
 
     `state` is None before the first row of a series. It returns one list per
-    output column and the state after the last row, as floats. `holds` says what
-    to expect of a block not tried yet: that the state stays as it is, or else
-    that the block leaves as it did when entered with the guessed state.
+    output column and the state after the last row, as floats. `transfer(columns,
+    before)` gives the transfer function of consecutive rows as a list, `before`
+    being the row ahead of them or None, and `follow(function, state)` the state it
+    leaves with; an empty list or None says that the rows must be run.
     """
 
     inputs: tuple[str, ...]
     outputs: tuple[str, ...]
     run: Callable[[list[float] | None, list[list[float]]], tuple[list[list[float]], list[float]]]
-    holds: bool = False
+    transfer: Callable[[list[list[float]], list[float] | None], list[float]] | None = None
+    follow: Callable[[list[float], list[float]], list[float] | None] | None = None
 
 
 def _step_all(machines: Sequence[Machine], states, frame: pd.DataFrame):
@@ -57,7 +61,7 @@ def _step_all(machines: Sequence[Machine], states, frame: pd.DataFrame):
 def _unpack(packed, machines):
     if packed is None or len(packed) == 0:
         return [None] * len(machines)
-    return [list(map(float, part)) for part in packed]
+    return [list(map(float, part)) if len(part) else None for part in packed]
 
 
 STATE = T.ArrayType(T.ArrayType(T.DoubleType()))
@@ -93,31 +97,37 @@ def ordered_pass(df: DataFrame, series: Series, machines: Sequence[Machine], war
     )
 
 
-def _walk(machines: Sequence[Machine], tried: pd.DataFrame) -> list[tuple[int, list[list[float]], bool]]:
-    """Entering state of every block of a series, and whether the block has been tried with it.
+def _exact(state) -> tuple:
+    return tuple(repr(float(v)) for v in state)
 
-    `tried` has block, enter, leave and round; the guess of a block is its row of
-    round 0.
-    """
 
-    def exact(state) -> tuple:
-        return tuple(tuple(repr(float(v)) for v in part) for part in state)
+def _walk(machines: Sequence[Machine], tried: pd.DataFrame) -> list[tuple[int, list[list[float]], bool]]:
+    """Entering state of every block of a series, and whether it is known how the block is left with it.
 
-    known: dict[int, dict[tuple, list]] = {}
-    guessed: dict[int, list] = {}
-    for block, enter, leave, number in tried.itertuples(index=False):
-        enter, leave = ([list(map(float, part)) for part in state] for state in (enter, leave))
-        known.setdefault(block, {})[exact(enter)] = leave
+    `tried` has block, enter, leave, functions and round; the guess of a block and
+    its transfer functions are in its row of round 0.
+    """
+    known: dict[int, list[dict[tuple, list]]] = {}
+    guessed: dict[int, tuple[list, list]] = {}
+    for block, enter, leave, functions, number in tried.itertuples(index=False):
+        enter = _unpack(enter, machines)
+        leave = _unpack(leave, machines)
+        for seen, a, b in zip(known.setdefault(block, [{} for _ in machines]), enter, leave, strict=True):
+            seen[_exact(a or [])] = b
         if number == 0:
-            guessed[block] = leave
-    out, state = [], []
+            guessed[block] = leave, [list(map(float, f)) for f in functions]
+    out, states = [], [None] * len(machines)
     for block in sorted(known):
-        done = exact(state) in known[block]
-        out.append((block, state, done))
-        if done:
-            state = known[block][exact(state)]
-        else:
-            state = [s if m.holds else g for m, s, g in zip(machines, state, guessed[block], strict=True)]
+        left, done = [], True
+        for machine, state, seen, guess, function in zip(machines, states, known[block], *guessed[block], strict=True):
+            after = seen.get(_exact(state or []))
+            if after is None and state and function and machine.follow:
+                after = machine.follow(function, state)
+            if after is None:
+                after, done = guess, False
+            left.append(after)
+        out.append((block, [s or [] for s in states], done))
+        states = left
     return out
 
 
@@ -125,12 +135,13 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
     """(key, block, enter)."""
     home = series.home
     fields = [f for f in place(df, series).schema.fields if f.name in home]
-    tail = [T.StructField("enter", STATE), T.StructField("leave", STATE), T.StructField("round", T.LongType())]
+    tail = [T.StructField(c, STATE) for c in ("enter", "leave", "functions")] + [T.StructField("round", T.LongType())]
     schema = T.StructType([*fields, *tail])
 
-    def made(own: pd.DataFrame, enter: list, leave: list, number: int) -> pd.DataFrame:
+    def made(own: pd.DataFrame, enter: list, leave: list, functions: list, number: int) -> pd.DataFrame:
         head = own.iloc[[0]][home].reset_index(drop=True)
-        return head.assign(enter=pd.Series([enter]), leave=pd.Series([leave]), round=number)
+        columns = {"enter": enter, "leave": leave, "functions": functions}
+        return head.assign(**{c: pd.Series([v]) for c, v in columns.items()}, round=number)
 
     nothing = pd.DataFrame(columns=[f.name for f in schema.fields])
 
@@ -140,10 +151,15 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
         if own.empty:
             return nothing
         states = [None] * len(machines)
+        functions = [[] for _ in machines]
         if not halo.empty:
             _, states = _step_all(machines, states, halo)
+            functions = [
+                m.transfer([own[c].tolist() for c in m.inputs], [float(halo[c].iloc[-1]) for c in m.inputs]) if m.transfer else []
+                for m in machines
+            ]
         _, leave = _step_all(machines, states, own)
-        return made(own, states if not halo.empty else [], leave, 0)
+        return made(own, states if not halo.empty else [], leave, functions, 0)
 
     def again(number: int):
         def run(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -152,14 +168,14 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
             frame = frame.sort_values(SLOT, ignore_index=True)
             enter = _unpack(state["enter"].iloc[0], machines)
             _, leave = _step_all(machines, enter, frame)
-            return made(frame, enter if state["enter"].iloc[0] is not None and len(state["enter"].iloc[0]) else [], leave, number)
+            return made(frame, [s or [] for s in enter], leave, [[] for _ in machines], number)
 
         return run
 
     walked = T.StructType([*fields, T.StructField("enter", STATE), T.StructField("done", T.BooleanType())])
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        steps = _walk(machines, frame[[BLOCK, "enter", "leave", "round"]])
+        steps = _walk(machines, frame[[BLOCK, "enter", "leave", "functions", "round"]])
         out = pd.DataFrame([frame[list(series.keys)].iloc[0].tolist()] * len(steps), columns=list(series.keys))
         block, enter, done = zip(*steps, strict=True)
         return out.assign(**{BLOCK: block, "enter": list(enter), "done": done})[[f.name for f in walked.fields]]
@@ -170,6 +186,7 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
         number += 1
         steps = materialize(tried.groupBy(*series.keys).applyInPandas(walk, walked))
         open_steps = steps.where("not done")
+        # A round settles the first open block of every series, so the rounds come to an end.
         if open_steps.isEmpty():
             return steps.select(*home, "enter")
         log.info("ordered pass: round %d", number)
@@ -235,7 +252,7 @@ def trailing_band(mult: float, atr: str, prefix: str) -> Machine:
             line.append(last)
         return [line], [top, bottom, last, before]
 
-    return Machine(("high", "low", "close", atr), (f"{prefix}line",), run)
+    return Machine(("high", "low", "close", atr), (f"{prefix}line",), run, *transfer.trailing_band_transfer(mult))
 
 
 TURN, EXTEND = 1.0, 2.0
@@ -265,7 +282,7 @@ def reversals(share: float, prefix: str) -> Machine:
             prices.append(price)
         return [kinds, prices], [trend, pivot]
 
-    return Machine(("high", "low"), (f"{prefix}kind", f"{prefix}price"), run)
+    return Machine(("high", "low"), (f"{prefix}kind", f"{prefix}price"), run, *transfer.reversals_transfer(share))
 
 
 def guard(limit: float, recovery_seconds: float, drawdown: str, clock: str, output: str) -> Machine:
@@ -283,7 +300,7 @@ def guard(limit: float, recovery_seconds: float, drawdown: str, clock: str, outp
             flags.append(active)
         return [flags], [active, since]
 
-    return Machine((drawdown, clock), (output,), run, holds=True)
+    return Machine((drawdown, clock), (output,), run, *transfer.guard_transfer(limit, recovery_seconds))
 
 
 def missing_to_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
