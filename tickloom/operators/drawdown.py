@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tickloom.operators.blocks import DEFAULT_ROWS, SLOT, Series, row_slots
+from tickloom.operators.blocks import DEFAULT_ROWS, SLOT, Series, join_on, row_slots
+from tickloom.operators.ranges import trailing_status
 from tickloom.operators.sequential import WARM_UP, guard, ordered_pass
+from tickloom.session import materialize
 
 DAY = 86400
 MICROS = 1_000_000
@@ -31,105 +30,6 @@ def position_scale(drawdown: Column, triggered: Column, limit: float = 0.10, sca
     )
 
 
-def trailing_extremes(
-    df: DataFrame, days: int, *, keys: Sequence[str], time: str, order: Sequence[str], equity: str
-) -> DataFrame:
-    """Add peak_equity and max_drawdown over the rows of the last `days` days.
-
-    Time is cut into chunks of that length. A trailing window is then the tail
-    of one chunk and the head of the next, and both are running values, so the
-    cost per row does not grow with the rows in the window.
-    """
-    length = days * DAY * MICROS
-    at = F.unix_micros(time)
-    chunk = F.floor((at - F.pmod(at, F.lit(length))) / F.lit(length)).cast("long")
-    rows = df.withColumns({"_at": at, "_chunk": chunk}).repartition(*keys, "_chunk")
-    part = Window.partitionBy(*keys, "_chunk")
-    upto = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = part.orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = F.col(equity)
-
-    def fall(low: Column, high: Column) -> Column:
-        return F.try_divide(high - low, high)
-
-    rows = rows.withColumns({"_head_max": F.max(e).over(upto), "_head_min": F.min(e).over(upto)})
-    rows = rows.withColumn("_head_fall", F.max(fall(e, F.col("_head_max"))).over(upto))
-    rows = rows.withColumns({"_tail_max": F.max(e).over(onward), "_tail_min": F.min(e).over(onward)})
-    rows = rows.withColumn("_tail_fall", F.max(fall(F.col("_tail_min"), e)).over(onward))
-
-    kept = [*df.columns, "_head_max", "_head_min", "_head_fall"]
-    row = F.struct(*kept)
-    tail = F.struct("_tail_max", "_tail_fall")
-    starts = rows.select(
-        *keys, "_chunk", "_at", F.lit(0).alias("_asks"), F.struct(*order).alias("_order"), tail.alias("_tail"),
-        F.lit(None).cast(_type_of(rows, row)).alias("_row"),
-    )
-    asks = rows.select(
-        *keys,
-        (F.col("_chunk") - 1).alias("_chunk"),
-        (F.col("_at") - length).alias("_at"),
-        F.lit(1).alias("_asks"),
-        F.struct(*order).alias("_order"),
-        F.lit(None).cast(_type_of(rows, tail)).alias("_tail"),
-        row.alias("_row"),
-    )
-    # Walking back in time, the last start met is the first row of the window.
-    back = part.orderBy(F.desc("_at"), "_asks", F.desc("_order")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    met = starts.unionByName(asks).withColumn("_first", F.last("_tail", ignorenulls=True).over(back))
-    found = met.filter("_asks = 1").select(*(F.col(f"_row.{c}").alias(c) for c in kept), "_first")
-    before = F.col("_first._tail_max")
-    return found.withColumns(
-        {
-            "peak_equity": F.greatest("_head_max", before),
-            "max_drawdown": F.greatest(
-                F.col("_head_fall"), F.col("_first._tail_fall"), fall(F.col("_head_min"), before), F.lit(0.0)
-            ),
-        }
-    ).select(*df.columns, "peak_equity", "max_drawdown")
-
-
-def _type_of(df: DataFrame, column: Column) -> T.DataType:
-    return df.select(column.alias("x")).schema["x"].dataType
-
-
-def days_since_peak(
-    df: DataFrame, days: int, *, keys: Sequence[str], time: str, order: Sequence[str], equity: str, peak: str
-) -> DataFrame:
-    """Add days_in_drawdown: whole days since the last row of the window within
-    1% of the window's peak.
-
-    Each chunk is handled with the chunk before it. Only rows above all later
-    rows can be the answer; they form a falling list that is searched.
-    """
-    length = days * DAY * MICROS
-    at = F.unix_micros(time)
-    chunk = F.floor((at - F.pmod(at, F.lit(length))) / F.lit(length)).cast("long")
-    spread = df.withColumn("_at", at).withColumn("_home", chunk)
-    spread = spread.withColumn("_chunk", F.explode(F.array("_home", F.col("_home") + 1)))
-    schema = T.StructType([*df.schema.fields, T.StructField("days_in_drawdown", T.LongType())])
-    names = [f.name for f in schema.fields]
-    rank = ["_at", *[c for c in order if c != time]]
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(rank, ignore_index=True)
-        falling, times, answers = [], [], []
-        for value, now, top in zip(frame[equity], frame["_at"], frame[peak], strict=True):
-            while falling and -falling[-1] <= value:
-                falling.pop()
-                times.pop()
-            falling.append(-value)
-            times.append(now)
-            near = bisect_right(falling, -(top * 0.99))
-            since = times[near - 1] if near else times[0]
-            answers.append(int((now - since) // (DAY * MICROS)))
-        frame["days_in_drawdown"] = answers
-        return frame[frame["_home"] == frame["_chunk"]][names]
-
-    return spread.groupBy(*keys, "_chunk").applyInPandas(walk, schema)
-
-
 def drawdown_guard(
     df: DataFrame,
     *,
@@ -150,21 +50,33 @@ def drawdown_guard(
         updates of the same time distinct.
     """
     order = list(order or [time])
-    measured = trailing_extremes(df, lookback_days, keys=keys, time=time, order=order, equity=equity)
-    top = F.col("peak_equity")
+    series = Series(tuple(keys), block_rows)
+    slots = row_slots(df, keys, [F.col(c) for c in order], F.to_date(time))
+    # Read again for the windows, the flag and the result.
+    numbered = materialize(slots.withColumn("_at", F.unix_micros(time)))
+    found = materialize(trailing_status(numbered, series, lookback_days * DAY * MICROS, "_at", equity))
+    placed = [*keys, SLOT]
+    wide = join_on(numbered, found, placed)
+    top = F.col("high")
     fall = F.when(top > 0, F.try_divide(top - F.col(equity), top)).otherwise(F.lit(0.0))
-    measured = measured.withColumn("current_drawdown", fall)
-    numbered = row_slots(measured, keys, [F.col(c) for c in order], F.to_date(time))
-    clocked = numbered.withColumn("_clock", F.unix_micros(time) / 1e6)
-    machine = guard(limit, recovery_days * DAY, "current_drawdown", "_clock", "_active")
-    flagged = ordered_pass(clocked, Series(tuple(keys), block_rows), [machine], warm_up)
-    active = F.col("_active") > 0
-    status = flagged.withColumns(
+    measured = wide.withColumns(
         {
-            "is_triggered": active,
-            "position_scale": position_scale(F.col("current_drawdown"), active, limit, scale_positions),
+            "peak_equity": top,
+            "max_drawdown": F.greatest("fall", F.lit(0.0)),
+            "current_drawdown": fall,
+            "days_in_drawdown": F.floor((F.col("_at") - F.col("near_at")) / F.lit(DAY * MICROS)).cast("long"),
+            "_clock": F.col("_at") / 1e6,
         }
-    ).drop("_active", "_clock", SLOT)
-    return days_since_peak(
-        status, lookback_days, keys=keys, time=time, order=order, equity=equity, peak="peak_equity"
+    )
+    machine = guard(limit, recovery_days * DAY, "current_drawdown", "_clock", "_active")
+    flagged = ordered_pass(measured, series, [machine], warm_up)
+    active = F.col("_active") > 0
+    return flagged.select(
+        *df.columns,
+        "peak_equity",
+        "max_drawdown",
+        "current_drawdown",
+        active.alias("is_triggered"),
+        position_scale(F.col("current_drawdown"), active, limit, scale_positions).alias("position_scale"),
+        "days_in_drawdown",
     )
