@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.words import LETTER, Block, blocks, owners
 from tickloom.session import materialize
 
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 EMIT_ROWS = 1 << 16
 BLOCK_CELLS = 1 << 20
 LEAST_TERMS = 64
@@ -140,11 +140,11 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             one[group] = np.arange(len(block))  # a row of each group
             for first in range(0, len(runs.starts), EMIT_ROWS):
                 part = slice(first, first + EMIT_ROWS)
-                named = rows.take(pa.array(one[runs.groups[part]]))
+                named = pairs.take(pa.array(one[runs.groups[part]]))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "lang": named.column("lang"),
-                        "source": named.column("source"),
+                        "lang": named.field(0),
+                        "source": named.field(1),
                         "term": runs.terms(part),
                         "n": pa.array(runs.counts[part], pa.int64()),
                         "docs": pa.array(runs.docs[part], pa.int64()),
