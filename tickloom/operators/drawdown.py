@@ -52,26 +52,24 @@ def drawdown_guard(
     order = list(order or [time])
     series = Series(tuple(keys), block_rows)
     slots = row_slots(df, keys, [F.col(c) for c in order], F.to_date(time))
-    # Read again for the windows, the flag and the result.
+    # Read again for the windows and the result; what lies between has few columns.
     numbered = materialize(slots.withColumn("_at", F.unix_micros(time)))
-    found = materialize(trailing_status(numbered, series, lookback_days * DAY * MICROS, "_at", equity))
-    placed = [*keys, SLOT]
-    wide = join_on(numbered, found, placed)
-    top = F.col("high")
-    fall = F.when(top > 0, F.try_divide(top - F.col(equity), top)).otherwise(F.lit(0.0))
-    measured = wide.withColumns(
-        {
-            "peak_equity": top,
-            "max_drawdown": F.greatest("fall", F.lit(0.0)),
-            "current_drawdown": fall,
-            "days_in_drawdown": F.floor((F.col("_at") - F.col("near_at")) / F.lit(DAY * MICROS)).cast("long"),
-            "_clock": F.col("_at") / 1e6,
-        }
+    found = trailing_status(numbered, series, lookback_days * DAY * MICROS, "_at", equity)
+    top, now = F.col("high"), F.col("x")
+    fall = F.when(top > 0, F.try_divide(top - now, top)).otherwise(F.lit(0.0))
+    measured = found.select(
+        *keys,
+        SLOT,
+        top.alias("peak_equity"),
+        F.greatest("fall", F.lit(0.0)).alias("max_drawdown"),
+        fall.alias("current_drawdown"),
+        F.floor((F.col("at") - F.col("near_at")) / F.lit(DAY * MICROS)).cast("long").alias("days_in_drawdown"),
+        (F.col("at") / 1e6).alias("_clock"),
     )
     machine = guard(limit, recovery_days * DAY, "current_drawdown", "_clock", "_active")
     flagged = ordered_pass(measured, series, [machine], warm_up)
     active = F.col("_active") > 0
-    return flagged.select(
+    return join_on(numbered, flagged, [*keys, SLOT]).select(
         *df.columns,
         "peak_equity",
         "max_drawdown",

@@ -129,7 +129,8 @@ def account_state(
         )
     )
     if guard is not None:
-        line.append(guard.select(account, time, F.lit(0).alias("_kind"), F.struct("current_drawdown", "is_triggered").alias("_guard")))
+        status = F.struct(*(c for c in guard.columns if c not in (account, time)))
+        line.append(guard.select(account, time, F.lit(0).alias("_kind"), status.alias("_guard")))
     events = line[0].drop("_rest")
     for more in line[1:]:
         events = events.unionByName(more, allowMissingColumns=True)
@@ -155,10 +156,35 @@ def account_state(
     if guard is not None:
         added["drawdown"] = F.coalesce(F.col("_status.current_drawdown"), F.lit(0.0))
         added["drawdown_triggered"] = F.coalesce(F.col("_status.is_triggered"), F.lit(False))
+        added["drawdown_status"] = F.col("_status")
     kept = [F.col(f"_signal.{c}").alias(c) for c in signals.columns if c not in added]
     return state.select(*kept, *(value.alias(c) for c, value in added.items()))
 
 
+def portfolio_updates(
+    opens: DataFrame, closed: DataFrame, *, account: str = "account", id: str = "position_id", time: str = "ts", start_value: float = 100000.0
+) -> DataFrame:
+    """(account, time, equity): the portfolio value after the closes of each moment, as `drawdown_guard` reads it."""
+    done = closed.where("known").join(opens.select(id, account), id)
+    moments = done.groupBy(account, F.col("exit_time").alias(time)).agg(F.sum("net_pnl").alias("_pnl"))
+    series = Series((account,))
+    slots = row_slots(moments, [account], [F.col(time)], F.to_date(time))
+    summed = running(place(slots, series), series, {"_gain": ("sum", F.col("_pnl"))})
+    return summed.select(account, time, (F.col("_gain") + start_value).alias("equity"))
+
+
+def constraint(max_daily_loss: float, max_positions: int) -> Column:
+    """Why an account may not trade in its state; NULL where it may."""
+    value = F.col("portfolio_value")
+    moved = F.when(value > 0, F.abs(F.try_divide(F.col("daily_pnl"), value))).otherwise(F.lit(0.0))
+    # The texts of the rejections.
+    return (
+        F.when(F.col("drawdown_triggered"), "Drawdown guard triggered")
+        .when(moved > max_daily_loss, "Daily loss limit exceeded")
+        .when(F.col("open_positions") >= max_positions, "Maximum positions reached")
+    )
+
+
 def screen_trades(
     signals: DataFrame,
     *,
@@ -178,18 +204,12 @@ def screen_trades(
     daily_pnl and open_positions.
     """
     value, price = F.col("portfolio_value"), F.col("price")
-    moved = F.when(value > 0, F.abs(F.try_divide(F.col("daily_pnl"), value))).otherwise(F.lit(0.0))
     scale = position_scale(F.col("drawdown"), F.col("drawdown_triggered"), max_drawdown)
     sized = signals.withColumns({"risk_multiplier": scale, "adjusted_confidence": F.col("confidence") * scale})
     size = kelly_size(value, price, F.col("adjusted_confidence"), win_rate, avg_win, avg_loss, min_edge=min_edge)
     sized = sized.withColumn("_size", size).withColumn("_notional", F.col("_size") * price)
-    # The texts of the rejections.
-    reason = (
-        F.when(F.col("drawdown_triggered"), "Drawdown guard triggered")
-        .when(moved > max_daily_loss, "Daily loss limit exceeded")
-        .when(F.col("open_positions") >= max_positions, "Maximum positions reached")
-        .when(F.col("_notional") < value * 0.01, "Position size below minimum")
-    )
+    small = F.when(F.col("_notional") < value * 0.01, "Position size below minimum")
+    reason = F.coalesce(constraint(max_daily_loss, max_positions), small)
     judged = sized.withColumn("reason", reason).withColumn("approved", F.col("reason").isNull())
 
     def granted(x: Column) -> Column:
@@ -208,49 +228,38 @@ def screen_trades(
     )
 
 
-def portfolio_metrics(positions: DataFrame, value: Column, pnl: Column, *, keys: Sequence[str] = ("account",)) -> DataFrame:
-    """Open positions and exposure per account.
+def portfolio_metrics(state: DataFrame, *, max_daily_loss: float = 0.05, max_positions: int = 3) -> DataFrame:
+    """The metrics of an account at each row of `account_state`.
 
-    `value` and `pnl` are columns that are constant per account.
+    Adds exposure_pct, daily_return, can_trade and the reason why not;
+    drawdown_status comes with the state.
     """
-    grouped = positions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("open_positions"),
-        F.sum(F.col("size") * F.col("entry_price")).alias("open_exposure"),
-        F.max(value).alias("portfolio_value"),
-        F.max(pnl).alias("daily_pnl"),
-    )
 
     def share(x: str) -> Column:
         whole = F.col("portfolio_value")
         return F.when(whole > 0, F.try_divide(F.col(x), whole) * 100).otherwise(F.lit(0.0))
 
-    return grouped.withColumns({"exposure_pct": share("open_exposure"), "daily_return": share("daily_pnl")})
+    reason = constraint(max_daily_loss, max_positions)
+    return state.withColumns(
+        {
+            "exposure_pct": share("open_exposure"),
+            "daily_return": share("daily_pnl"),
+            "can_trade": reason.isNull(),
+            "reason": reason,
+        }
+    )
 
 
 def risk_report(
-    positions: DataFrame,
-    pnl: Column,
-    triggered: Column,
-    *,
-    keys: Sequence[str] = ("account",),
-    max_drawdown: float = 0.10,
-    max_daily_loss: float = 0.05,
-    max_positions: int = 3,
+    state: DataFrame, *, max_drawdown: float = 0.10, max_daily_loss: float = 0.05, max_positions: int = 3
 ) -> DataFrame:
-    """Counts, limits and yearly cost at the mean position with ten trades a day."""
-    grouped = positions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("open_positions"),
-        F.avg(F.col("size") * F.col("entry_price")).alias("avg_position"),
-        F.max(pnl).alias("daily_pnl"),
-        F.max(triggered).alias("drawdown_triggered"),
-    )
-    return grouped.select(
-        *keys,
-        "open_positions",
-        "daily_pnl",
-        "drawdown_triggered",
-        F.lit(max_drawdown).alias("max_drawdown"),
-        F.lit(max_daily_loss).alias("max_daily_loss"),
-        F.lit(max_positions).alias("max_positions"),
-        annual_cost(F.col("avg_position"), 10, 24).alias("cost_estimates"),
+    """Counts, limits and the yearly cost at the mean open position with ten trades a day, for each row of `account_state`."""
+    mean = F.coalesce(F.try_divide(F.col("open_exposure"), F.col("open_positions")), F.lit(0.0))
+    return state.withColumns(
+        {
+            "max_drawdown": F.lit(max_drawdown),
+            "max_daily_loss": F.lit(max_daily_loss),
+            "max_positions": F.lit(max_positions),
+            "cost_estimates": annual_cost(mean, 10, 24),
+        }
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.blocks import BLOCK, SLOT, Series, gather, join_on, place
+from tickloom.operators.blocks import BLOCK, SLOT, Series, gather, join_on
 from tickloom.session import materialize
 
 START = "_start"  # the block in which a window starts
@@ -118,15 +118,16 @@ def last_at_least(x: np.ndarray, at: np.ndarray, bound: np.ndarray) -> np.ndarra
 
 
 def trailing_status(df: DataFrame, series: Series, length: int, at: str, value: str) -> DataFrame:
-    """(key, slot, high, fall, near_at) of the window of `length` that ends at each row.
+    """(key, slot, at, x, high, fall, near_at) of the window of `length` that ends at each row.
 
-    `df` carries `_slot` in the order of `at`, a whole number. high: the highest
+    `df` carries `_slot` in the order of `at`, a whole number, and is read several
+    times. x: the value; high: the highest
     value; fall: the deepest relative fall from a value to a later one; near_at: `at`
     of the last row whose value is within 1% of the highest (the last highest one
     where that is not above 0).
     """
     keys, home = list(series.keys), series.home
-    rows = materialize(place(df.select(*keys, SLOT, F.col(at).alias("at"), F.col(value).alias("x")), series))
+    rows = df.select(*keys, series.block_of(F.col(SLOT)).alias(BLOCK), SLOT, F.col(at).alias("at"), F.col(value).alias("x"))
     named = {f.name: f.dataType for f in rows.schema.fields}
 
     def schema(**columns: T.DataType) -> T.StructType:
@@ -151,18 +152,17 @@ def trailing_status(df: DataFrame, series: Series, length: int, at: str, value:
     lent = join_on(rows, others, home).withColumn(START, F.col(BLOCK)).withColumn(BLOCK, F.col("_into")).drop("_into")
     meeting = [*home, START]
     held = gather(own.unionByName(lent.withColumn("_own", F.lit(False))), meeting)
-    made = schema(**{SLOT: long, "at": long, "high": double, "fall": double, "near": double, "near_at": long})
+    made = schema(**{SLOT: long, "at": long, "x": double, "high": double, "fall": double, "near": double, "near_at": long})
     found = materialize(
         held.groupBy(*meeting)
         .cogroup(_again(pairs).groupBy(*meeting))
         .applyInPandas(lambda f, p: _windows(f, p, home, length, made.names), made)
     )
-    settled = found.where("near_at is not null").select(*keys, SLOT, "high", "fall", "near_at")
     open_ = found.where("near_at is null and near is not null")
-    empty = found.where("near is null").select(*keys, SLOT, "high", "fall", "near_at")
     if open_.isEmpty():
-        return settled.unionByName(empty)
-    return settled.unionByName(empty).unionByName(_between(rows, blocks, open_, series, schema))
+        return found.drop(BLOCK, "near")
+    settled = found.where("near_at is not null or near is null").drop(BLOCK, "near")
+    return settled.unionByName(_between(rows, blocks, open_, series, schema))
 
 
 def _again(df: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _windows(frame: pd.DataFrame, pair: pd.DataFrame, home: list[str], length: i
         near_at[hit] = source_at[place[hit]]
         known |= hit
     out = own.iloc[rows][home].reset_index(drop=True)
-    out[SLOT], out["at"] = own[SLOT].to_numpy()[rows], at[rows]
+    out[SLOT], out["at"], out["x"] = own[SLOT].to_numpy()[rows], at[rows], x[rows]
     out["high"], out["fall"], out["near"] = high, np.fmax(fall, 0.0), near
     out["near_at"] = pd.array(near_at, "Int64")
     out.loc[~known, "near_at"] = pd.NA
@@ -280,7 +280,7 @@ def _between(rows: DataFrame, blocks: DataFrame, open_: DataFrame, series: Serie
     into = pairs.select(*keys, F.col(BLOCK).alias("_into"), F.col(START).alias(BLOCK))
     lent = _again(join_on(rows, into, home)).withColumn(START, F.col(BLOCK)).withColumn(BLOCK, F.col("_into")).drop("_into")
     meeting = [*home, START]
-    columns = [*keys, SLOT, "high", "fall", "near_at"]
+    columns = [*keys, SLOT, "at", "x", "high", "fall", "near_at"]
 
     def settle(asks: pd.DataFrame, source: pd.DataFrame) -> pd.DataFrame:
         if asks.empty or source.empty:

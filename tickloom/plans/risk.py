@@ -15,8 +15,10 @@ from tickloom.plans import views
 from tickloom.plans.sql import lag, over
 from tickloom.plans.sql import grid as sql_grid
 from tickloom.plans.sql import sci as sql_sci
+from tickloom.session import materialize
 
 LIMIT = 0.03
+DESK_VALUE = 400000.0
 
 
 def _grids(columns, digits: int = 6):
@@ -138,9 +140,20 @@ def running_daily_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _desk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Opens, closes and drawdown status of the accounts of the desks."""
+    opens = materialize(views.desk_positions(spark, sf_dir))
+    closed = materialize(positions.close_positions(opens, views.closes(spark, sf_dir)))
+    updates = positions.portfolio_updates(opens, closed, start_value=DESK_VALUE)
+    return opens, closed, materialize(drawdown.drawdown_guard(updates))
+
+
 def trade_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every position screened in the state its account was in before it was opened."""
+    opens, closed, guard = _desk(spark, sf_dir)
+    state = positions.account_state(views.desk_signals(spark, sf_dir), opens, closed, guard, start_value=DESK_VALUE)
     made = positions.screen_trades(
-        views.signals(spark, sf_dir),
+        state,
         win_rate=F.col("win_rate"),
         avg_win=F.col("avg_win"),
         avg_loss=F.col("avg_loss"),
@@ -151,8 +164,9 @@ def trade_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "position_id",
         "approved",
         "reason",
-        grid(F.col("entry_costs.total"), 5).alias("entry_total"),
-        *_grids(["position_size", "notional_value", "risk_multiplier", "adjusted_confidence", "max_loss"], 5),
+        grid(F.col("entry_costs.total"), 4).alias("entry_total"),
+        *_grids(["position_size", "risk_multiplier", "adjusted_confidence"], 5),
+        *_grids(["notional_value", "max_loss"], 2),
     )
 
 
@@ -164,22 +178,43 @@ def account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("account", "position_id", "open_positions", *_grids(["open_exposure", "daily_pnl", "portfolio_value"], 2))
 
 
+STATUS = ["equity", "peak_equity", "current_drawdown", "max_drawdown", "position_scale"]
+
+
 def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = positions.portfolio_metrics(views.positions(spark, sf_dir), F.lit(1e7), F.lit(-2500.0))
+    """Each account after every update of its value."""
+    opens, closed, guard = _desk(spark, sf_dir)
+    state = positions.account_state(guard.select("account", "ts"), opens, closed, guard, start_value=DESK_VALUE)
+    made = positions.portfolio_metrics(state)
     return made.select(
-        "account", "open_positions", *_grids(["open_exposure", "exposure_pct", "daily_return"], 3)
+        "account",
+        F.unix_seconds("ts").alias("at"),
+        "open_positions",
+        "can_trade",
+        "reason",
+        F.col("drawdown_status.is_triggered").alias("is_triggered"),
+        F.col("drawdown_status.days_in_drawdown").alias("days_in_drawdown"),
+        *_grids([f"drawdown_status.{c}" for c in STATUS], 4),
+        *_grids(["open_exposure", "portfolio_value", "daily_pnl"], 2),
+        *_grids(["exposure_pct", "daily_return"], 4),
     )
 
 
 def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = positions.risk_report(views.positions(spark, sf_dir), F.lit(-2500.0), F.lit(False))
+    """Each account at the end of every month in which its value changed."""
+    opens, closed, guard = _desk(spark, sf_dir)
+    month_end = F.add_months(F.trunc("ts", "month"), 1).cast("timestamp").alias("ts")
+    state = positions.account_state(guard.select("account", month_end).distinct(), opens, closed, guard, start_value=DESK_VALUE)
+    made = positions.risk_report(state)
     return made.select(
         "account",
+        F.date_format("ts", "yyyy-MM-dd").alias("as_of"),
         "open_positions",
         "drawdown_triggered",
         F.col("max_positions").cast("long").alias("max_positions"),
-        *_grids(["daily_pnl", "max_drawdown", "max_daily_loss"]),
-        *_grids([f"cost_estimates.{c}" for c in ANNUAL], 3),
+        *_grids(["daily_pnl", "portfolio_value"], 2),
+        *_grids(["max_drawdown", "max_daily_loss"]),
+        *_grids([f"cost_estimates.{c}" for c in ANNUAL], 2),
     )
 
 
@@ -432,7 +467,7 @@ fl AS (
   FROM fl JOIN m x ON x.run_id = fl.run_id AND x.step = fl.step + 1)
 SELECT run_id, step, act AS is_triggered, days_in_drawdown,
  {_named({'equity': 'equity', 'peak_equity': 'peak_equity', 'current_drawdown': 'dd', 'max_drawdown': 'max_drawdown', 'position_scale': _scale('dd', 'act', str(LIMIT))})} FROM fl"""
-    closed = f"""{POSITIONS}, {CLOSES},
+    closed_by = f"""{CLOSES},
 ord AS (SELECT cl.*, nullif(exit_size, 0) AS given FROM cl),
 pre AS (SELECT *, coalesce(sum(coalesce(given, 0)) OVER w, 0) AS earlier, coalesce(sum(CASE WHEN given IS NULL THEN 1 ELSE 0 END) OVER w, 0) AS whole
   FROM ord WINDOW w AS (PARTITION BY position_id ORDER BY exit_s, close_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -443,15 +478,66 @@ cs AS (SELECT *, {_trip('n', 'hours')['total_cost']} AS cost FROM pr),
 pnl AS (SELECT position_id, close_seq, exit_s, known, CASE WHEN known THEN gross ELSE 0 END AS gross_pnl, CASE WHEN known THEN cost ELSE 0 END AS costs,
   CASE WHEN known THEN gross - cost ELSE 0 END AS net_pnl, CASE WHEN known THEN (gross - cost) / n * 100 ELSE 0 END AS return_pct,
   CASE WHEN known THEN greatest(size - earlier - amount, 0) END AS remaining_size FROM cs)"""
+    closed = f"{POSITIONS}, {closed_by}"
     sql["risk_position_pnl"] = f"WITH {closed} SELECT position_id, close_seq, known, {_same(['gross_pnl', 'costs', 'net_pnl', 'return_pct', 'remaining_size'], 5)} FROM pnl"
     sql["risk_daily_pnl"] = f"WITH {closed}, d AS (SELECT exit_s // 86400 AS d, count(*) AS closes, sum(net_pnl) AS daily_pnl FROM pnl GROUP BY 1) SELECT strftime(make_timestamp(d * 86400000000), '%Y-%m-%d') AS day, closes, {_same(['daily_pnl'], 3)} FROM d"
     sql["risk_running_daily_pnl"] = f"WITH {closed}, d AS (SELECT *, sum(net_pnl) OVER (PARTITION BY exit_s // 86400 ORDER BY exit_s, close_seq, position_id ROWS UNBOUNDED PRECEDING) AS daily_pnl FROM pnl) SELECT position_id, close_seq, {_same(['daily_pnl'], 3)} FROM d"
+    desk = f"""{POSITIONS.replace("l_returnflag AS account", f"l_suppkey % {views.DESKS} AS account")}, {closed_by},
+ce AS MATERIALIZED (SELECT po.account, cs.exit_s AS s, gross - cost AS pnl, CASE WHEN greatest(cs.size - earlier - amount, 0) = 0 THEN 1 ELSE 0 END AS ended,
+    least(amount, cs.size - earlier) * cs.entry_price AS cash
+  FROM cs JOIN po USING (position_id) WHERE known),
+mo AS (SELECT account, s, sum(pnl) AS pnl FROM ce GROUP BY ALL),
+eq AS MATERIALIZED (SELECT account, s, row_number() OVER w - 1 AS step, {DESK_VALUE}::DOUBLE + sum(pnl) OVER w AS equity FROM mo WINDOW w AS (PARTITION BY account ORDER BY s)),
+pairs AS (SELECT a.account, a.step, a.s, a.equity, h.s AS hs, h.equity AS hq,
+   max(h.equity) OVER (PARTITION BY a.account, a.step ORDER BY h.step ROWS UNBOUNDED PRECEDING) AS runmax
+   FROM eq a JOIN eq h ON h.account = a.account AND h.step <= a.step AND h.s >= a.s - 30 * 86400),
+win AS (SELECT account, step, s, equity, max(hq) AS peak_equity, max((runmax - hq) / runmax) AS max_drawdown FROM pairs GROUP BY ALL),
+near AS (SELECT p.account, p.step, max(p.hs) AS near FROM pairs p JOIN win w USING (account, step) WHERE p.hq >= w.peak_equity * 0.99::DOUBLE GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT w.*, (peak_equity - equity) / peak_equity AS dd, (w.s - near) // 86400 AS days_in_drawdown FROM win w JOIN near USING (account, step)),
+fl AS (
+  SELECT m.*, dd >= 0.1::DOUBLE AS act, CASE WHEN dd >= 0.1::DOUBLE THEN m.s END AS since FROM m WHERE step = 0
+  UNION ALL
+  SELECT x.*, CASE WHEN NOT fl.act AND x.dd >= 0.1::DOUBLE THEN true WHEN fl.act AND x.s >= fl.since + 7 * 86400 AND x.dd < 0.05::DOUBLE THEN false ELSE fl.act END,
+    CASE WHEN NOT fl.act AND x.dd >= 0.1::DOUBLE THEN x.s WHEN fl.act AND x.s >= fl.since + 7 * 86400 AND x.dd < 0.05::DOUBLE THEN NULL ELSE fl.since END
+  FROM fl JOIN m x ON x.account = fl.account AND x.step = fl.step + 1),
+gd AS MATERIALIZED (SELECT *, {_scale('dd', 'act', '0.10')} AS position_scale FROM fl),
+sg AS (SELECT account, position_id, epoch_us(entry_time) // 1000000 AS s, entry_price AS price, ((position_id // 10) % 100)::DOUBLE / 100.0::DOUBLE AS confidence,
+    0.4::DOUBLE + (l_partkey % 5) * 0.1::DOUBLE AS win_rate, 0.02::DOUBLE + (l_suppkey % 5) * 0.02::DOUBLE AS avg_win, (l_partkey % 4) * 0.01::DOUBLE AS avg_loss,
+    l_suppkey % 2 = 0 AS maker, (l_partkey % 11)::DOUBLE / 10.0::DOUBLE AS urgency FROM po)"""
+
+    def desk_state(asks: str) -> str:
+        """State of the accounts at the rows (account, s, id) of `asks`."""
+        return f"""WITH RECURSIVE {desk},
+asks AS (SELECT * FROM ({asks})),
+ev AS (SELECT account, s, 0 AS kind, NULL AS id, pnl, -ended AS n, -cash AS cash FROM ce
+  UNION ALL SELECT account, s, 1, id, 0, 0, 0 FROM asks
+  UNION ALL SELECT account, epoch_us(entry_time) // 1000000, 2, NULL, 0, 1, size * entry_price FROM po),
+su AS (SELECT *, coalesce(sum(n) OVER w, 0) AS open_positions, coalesce(sum(cash) OVER w, 0) AS open_exposure, coalesce(sum(pnl) OVER w, 0) + {DESK_VALUE}::DOUBLE AS portfolio_value,
+    sum(pnl) OVER (PARTITION BY account, s // 86400 ORDER BY s, kind) AS daily_pnl
+  FROM ev WINDOW w AS (PARTITION BY account ORDER BY s, kind)),
+st AS (SELECT su.account, su.s, su.id, CAST(open_positions AS BIGINT) AS open_positions, open_exposure, portfolio_value, daily_pnl, gd.s AS guard_s, gd.equity, gd.peak_equity, gd.max_drawdown,
+    gd.dd, coalesce(gd.dd, 0) AS drawdown, coalesce(gd.act, false) AS drawdown_triggered, gd.position_scale, gd.days_in_drawdown,
+    CASE WHEN coalesce(gd.act, false) THEN 'Drawdown guard triggered' WHEN portfolio_value > 0 AND abs(daily_pnl / portfolio_value) > 0.05::DOUBLE THEN 'Daily loss limit exceeded'
+      WHEN open_positions >= 3 THEN 'Maximum positions reached' END AS refusal
+  FROM (SELECT * FROM su WHERE kind = 1) su ASOF LEFT JOIN gd ON gd.account = su.account AND gd.s <= su.s)"""
+
     entry_total = f"({_commission('n', 'maker', '0')} + {_slip('n', 'urgency')})"
-    sql["risk_trade_screening"] = f"""WITH {SIGNALS}, a AS (SELECT *, {_scale('drawdown', 'drawdown_triggered', '0.10')} AS mult FROM sg),
+    screened = {
+        "entry_total": (entry_total, 4),
+        "position_size": ("size", 5),
+        "risk_multiplier": ("mult", 5),
+        "adjusted_confidence": ("adj", 5),
+        "notional_value": ("n", 2),
+        "max_loss": (_max_loss("n"), 2),
+    }
+    granted = ", ".join(
+        f"{sql_grid(f'CASE WHEN reason IS NULL THEN {e} ' + ('ELSE 0 ' if k == 'position_size' else '') + 'END', d)} AS {k}" for k, (e, d) in screened.items()
+    )
+    sql["risk_trade_screening"] = f"""{desk_state('SELECT account, s, position_id AS id FROM sg')},
+a AS (SELECT st.*, sg.* EXCLUDE (account, s), {_scale('drawdown', 'drawdown_triggered', '0.10')} AS mult FROM st JOIN sg ON sg.position_id = st.id),
 b AS (SELECT *, confidence * mult AS adj FROM a), c AS (SELECT *, {_kelly('adj')} AS size FROM b), d AS (SELECT *, size * price AS n FROM c),
-f AS (SELECT *, CASE WHEN drawdown_triggered THEN 'Drawdown guard triggered' WHEN abs(daily_pnl / portfolio_value) > 0.05::DOUBLE THEN 'Daily loss limit exceeded'
-  WHEN open_positions >= 3 THEN 'Maximum positions reached' WHEN n < portfolio_value * 0.01::DOUBLE THEN 'Position size below minimum' END AS reason FROM d)
-SELECT position_id, reason IS NULL AS approved, reason, {_named({'entry_total': f'CASE WHEN reason IS NULL THEN {entry_total} END', 'position_size': 'CASE WHEN reason IS NULL THEN size ELSE 0 END', 'notional_value': 'CASE WHEN reason IS NULL THEN n END', 'risk_multiplier': 'CASE WHEN reason IS NULL THEN mult END', 'adjusted_confidence': 'CASE WHEN reason IS NULL THEN adj END', 'max_loss': f"CASE WHEN reason IS NULL THEN {_max_loss('n')} END"}, 5)} FROM f"""
+f AS (SELECT *, coalesce(refusal, CASE WHEN n < portfolio_value * 0.01::DOUBLE THEN 'Position size below minimum' END) AS reason FROM d)
+SELECT position_id, reason IS NULL AS approved, reason, {granted} FROM f"""
     sql["risk_account_state"] = f"""WITH {closed},
 ce AS (SELECT po.account, cs.exit_s AS s, cs.position_id, CASE WHEN known THEN gross - cost ELSE 0 END AS pnl, known,
     CASE WHEN greatest(cs.size - earlier - amount, 0) = 0 THEN 1 ELSE 0 END AS ended, least(amount, cs.size - earlier) * cs.entry_price AS cash
@@ -462,8 +548,18 @@ ev AS (SELECT account, s, 0 AS kind, NULL AS position_id, pnl, -ended AS n, -cas
 st AS (SELECT *, sum(n) OVER w AS op, sum(cash) OVER w AS ex, sum(pnl) OVER w AS gain, sum(pnl) OVER (PARTITION BY account, s // 86400 ORDER BY s, kind) AS day
   FROM ev WINDOW w AS (PARTITION BY account ORDER BY s, kind))
 SELECT account, position_id, CAST(op AS BIGINT) AS open_positions, {_named({'open_exposure': 'ex', 'daily_pnl': 'day', 'portfolio_value': 'gain + 100000'}, 2)} FROM st WHERE kind = 1"""
-    sql["risk_portfolio_metrics"] = f"WITH {POSITIONS}, g AS (SELECT account, count(*) AS open_positions, sum(size * entry_price) AS ex FROM po GROUP BY 1) SELECT account, open_positions, {_named({'open_exposure': 'ex', 'exposure_pct': 'ex / 1e7 * 100', 'daily_return': '-2500.0 / 1e7 * 100'}, 3)} FROM g"
-    sql["risk_risk_report"] = f"WITH {POSITIONS}, g AS (SELECT account, count(*) AS open_positions, avg(size * entry_price) AS p FROM po GROUP BY 1) SELECT account, open_positions, false AS drawdown_triggered, 3 AS max_positions, {_named({'daily_pnl': '-2500.0', 'max_drawdown': '0.1::DOUBLE', 'max_daily_loss': '0.05::DOUBLE'})}, {_named(_annual('p', '10', '24', '0.5::DOUBLE', '0'), 3)} FROM g"
+    share = "CASE WHEN portfolio_value > 0 THEN {} / portfolio_value * 100 ELSE 0 END"
+    sql["risk_portfolio_metrics"] = f"""{desk_state('SELECT account, s, step AS id FROM gd')}
+SELECT account, s AS at, open_positions, refusal IS NULL AS can_trade, refusal AS reason, drawdown_triggered AS is_triggered, days_in_drawdown,
+  {_named({c: 'dd' if c == 'current_drawdown' else c for c in STATUS}, 4)}, {_same(['open_exposure', 'portfolio_value', 'daily_pnl'], 2)},
+  {_named({'exposure_pct': share.format('open_exposure'), 'daily_return': share.format('daily_pnl')}, 4)} FROM st"""
+    month_end = "epoch_us(date_trunc('month', make_timestamp(s * 1000000)) + INTERVAL 1 MONTH) // 1000000"
+    mean = "coalesce(open_exposure / nullif(open_positions, 0), 0)"
+    costs = {k: f"({v})" for k, v in _annual("av", "10", "24", "0.5::DOUBLE", "0").items()}
+    sql["risk_risk_report"] = f"""{desk_state(f'SELECT DISTINCT account, {month_end} AS s, 0 AS id FROM gd')},
+rp AS (SELECT *, {mean} AS av FROM st)
+SELECT account, strftime(make_timestamp(s * 1000000), '%Y-%m-%d') AS as_of, open_positions, drawdown_triggered, 3 AS max_positions, {_same(['daily_pnl', 'portfolio_value'], 2)},
+  {_named({'max_drawdown': '0.1::DOUBLE', 'max_daily_loss': '0.05::DOUBLE'})}, {_named(costs, 2)} FROM rp"""
 
     sql["equity_equity_steps"] = f"WITH {EQUITY} SELECT run_id, step, {_named({'equity': 'equity', 'step_return': 'coalesce(ret, 0)', 'peak_equity': 'greatest(top, 0)', 'drawdown': 'fall'})} FROM er"
     w100, w20 = over(100, "run_id", "step"), over(20, "run_id", "step")

@@ -163,6 +163,31 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_last(rows, ["position_id"], order)
 
 
+DESKS = 97
+
+
+def desk_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same positions spread over many accounts, so that each holds a few at a time."""
+    return positions(spark, sf_dir).withColumn("account", F.col("l_suppkey") % DESKS)
+
+
+def desk_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known of each position before it was opened."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    return desk_positions(spark, sf_dir).select(
+        "account",
+        "position_id",
+        F.col("entry_time").alias("ts"),
+        F.col("entry_price").alias("price"),
+        (F.floor(F.col("position_id") / 10) % 100 / F.lit(100.0)).alias("confidence"),
+        (F.lit(0.4) + (part % 5) * F.lit(0.1)).alias("win_rate"),
+        (F.lit(0.02) + (supp % 5) * F.lit(0.02)).alias("avg_win"),
+        ((part % 4) * F.lit(0.01)).alias("avg_loss"),
+        (supp % 2 == 0).alias("maker"),
+        ((part % 11) / F.lit(10.0)).alias("urgency"),
+    )
+
+
 def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three closes per position: half of it, then a quarter or all, then all.
     Every fiftieth position is unknown to the book of opens."""
