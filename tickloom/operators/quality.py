@@ -142,27 +142,3 @@ def forward_return(
     seen = running(placed, series, {"_next": ("after", F.col(price))})
     target = F.coalesce(fdiv(F.col("_next"), F.col(price)) - 1, F.lit(0.0))
     return seen.withColumn("target", target).drop("_next", SLOT, BLOCK)
-
-
-def model_importance(df: DataFrame, features: Sequence[str], target: str, n: int, *, seed: int = 42) -> DataFrame:
-    """The n features a boosted-tree model relies on most, ties by name.
-
-    Rows with missing values are left out; without a complete row there is no
-    model and the result is empty.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    spark = df.sparkSession
-    # Every boosting round reads the rows again.
-    clean = df.select(*features, target).na.drop("any").persist()
-    try:
-        if clean.isEmpty():
-            return spark.createDataFrame([], "feature string, importance double")
-        rows = VectorAssembler(inputCols=list(features), outputCol="_features").transform(clean)
-        model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=10, maxDepth=4, seed=seed).fit(rows)
-    finally:
-        clean.unpersist()
-    pairs = zip(features, map(float, model.featureImportances.toArray()), strict=True)
-    ranked = sorted(pairs, key=lambda p: (-p[1], p[0]))
-    return spark.createDataFrame(ranked[:n], "feature string, importance double")

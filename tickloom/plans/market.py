@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import grid
 from tickloom.operators import bars as b
 from tickloom.operators import book as k
-from tickloom.operators import quality, snapshots
+from tickloom.operators import boosting, quality, snapshots
 from tickloom.plans import views
 from tickloom.plans.sql import TRADES, bars, decay, fdiv, lag, over, roll, std
 from tickloom.plans.sql import grid as sql_grid
@@ -237,16 +237,20 @@ def variance_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("feature", grid(F.col("variance"), 4).alias("variance"))
 
 
+CORRELATED = ["spread", "imbalance_5", "mid_price", "buy_volume_1s", "sell_volume_1s", "vwap_1s", "bid_0_qty", "ask_0_qty"]
+SELECTED = [*CORRELATED, "bid_1_qty", "ask_1_qty", "bid_2_qty", "ask_2_qty"]
+SELECTION = boosting.Plan(trees=3, depth=2, bins=32, rate=0.3, min_rows=20, unit=1e-3)
+
+
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = matrix_frame(spark, sf_dir, ["price_liquidity", "trend"])
-    target = quality.forward_return(views.snapshots(spark, sf_dir), order=("ts", "update_id"))
-    joined = made.join(target.select("symbol", "update_id", "target"), ["symbol", "update_id"])
-    # What looks at the next row would give the target away.
-    features = [c for c in made.columns if c not in ("symbol", "ts", "update_id", *snapshots.LOOKS_AHEAD)]
-    return quality.model_importance(joined, features, "target", 10)
+    """The features of a snapshot that boosted trees for the next return gain most from."""
+    rows = quality.forward_return(views.snapshots(spark, sf_dir), order=("ts", "update_id"))
+    # On a grid, so that engines that differ in the last bit agree on the bins.
+    rows = rows.select(*(grid(F.col(c), 6).alias(c) for c in SELECTED), grid(F.col("target"), 6).alias("target"))
+    made = boosting.model_importance(rows, SELECTED, "target", 10, SELECTION)
+    return made.select("feature", grid(F.col("importance"), 6).alias("importance"))
 
 
-CORRELATED = ["spread", "imbalance_5", "mid_price", "buy_volume_1s", "sell_volume_1s", "vwap_1s", "bid_0_qty", "ask_0_qty"]
 
 
 def target_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,6 +487,52 @@ s AS MATERIALIZED (SELECT book.*, coalesce(buy, 0) AS buy_volume_1s, coalesce(se
   FROM book LEFT JOIN trail USING (update_id))"""
 
 
+def _boosting_sql(start: str, source: str) -> str:
+    """The boosted trees of SELECTION unrolled, level by level."""
+    plan, n = SELECTION, len(SELECTED)
+    values = ", ".join(f"{sql_grid(c, 6)} AS {c}" for c in (*SELECTED, "target"))
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (*SELECTED, "target"))
+    lows = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in SELECTED)
+    bins = ", ".join(
+        f"CASE WHEN hi_{c} > lo_{c} THEN least(floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * {plan.bins}), {plan.bins - 1}) ELSE 0 END::INT" for c in SELECTED
+    )
+    steps = [
+        start,
+        f"v AS (SELECT {values} FROM {source} WHERE {known})",
+        f"lim AS (SELECT {lows} FROM v)",
+        f"b AS MATERIALIZED (SELECT [{bins}] AS bins, CAST(floor(target / {plan.unit!r}::DOUBLE + {boosting.SHIFT}::DOUBLE) AS BIGINT) AS y FROM v, lim)",
+        "r0 AS MATERIALIZED (SELECT bins, 1 AS node, y - (SELECT CAST(floor(sum(y)::DOUBLE / count(*)::DOUBLE) AS BIGINT) FROM b) AS rest FROM b)",
+    ]
+
+    def part(s: str, k: str) -> str:
+        return f"({s})::DOUBLE * ({s})::DOUBLE / ({k})::DOUBLE"
+
+    for t in range(plan.trees):
+        for d in range(plan.depth):
+            at, of = f"{t}_{d}", f"r{t}" if d == 0 else f"n{t}_{d - 1}"
+            steps += [
+                f"c{at} AS (SELECT node, f, bins[f + 1] AS bin, count(*) AS n, sum(rest) AS s FROM {of}, range({n}) AS x(f) GROUP BY ALL)",
+                f"w{at} AS (SELECT node, f, bin, sum(n) OVER u AS n1, sum(s) OVER u AS s1, sum(n) OVER p AS n, sum(s) OVER p AS s FROM c{at} "
+                "WINDOW u AS (PARTITION BY node, f ORDER BY bin ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY node, f))",
+                f"g{at} AS (SELECT *, {part('s1', 'n1')} + {part('s - s1', 'n - n1')} - {part('s', 'n')} AS gain FROM w{at} WHERE n1 >= {plan.min_rows} AND n - n1 >= {plan.min_rows})",
+                f"s{at} AS MATERIALIZED (SELECT * FROM g{at} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1)",
+                f"n{at} AS MATERIALIZED (SELECT bins, rest, CASE WHEN s.f IS NULL THEN r.node WHEN bins[s.f + 1] <= s.bin THEN 2 * r.node ELSE 2 * r.node + 1 END AS node "
+                f"FROM {of} r LEFT JOIN s{at} s ON s.node = r.node)",
+            ]
+        last = f"n{t}_{plan.depth - 1}"
+        steps.append(
+            f"r{t + 1} AS MATERIALIZED (SELECT bins, 1 AS node, rest - leaf AS rest FROM {last} JOIN "
+            f"(SELECT node, CAST(floor(sum(rest)::DOUBLE / count(*)::DOUBLE * {plan.rate!r}::DOUBLE) AS BIGINT) AS leaf FROM {last} GROUP BY 1) USING (node))"
+        )
+    gains = " UNION ALL ".join(f"SELECT f, gain FROM s{t}_{d}" for t in range(plan.trees) for d in range(plan.depth))
+    names = ", ".join(f"({k}, '{c}')" for k, c in enumerate(SELECTED))
+    steps.append(f"i AS (SELECT f, sum(gain) / (SELECT sum(gain) FROM ({gains})) AS importance FROM ({gains}) GROUP BY 1)")
+    return (
+        f"WITH {', '.join(steps)} SELECT name AS feature, {sql_grid('importance', 6)} AS importance FROM i JOIN (VALUES {names}) x(k, name) ON k = f "
+        "ORDER BY i.importance DESC, f LIMIT 10"
+    )
+
+
 def _matrix_sql(category: str, outputs: dict[str, str], *steps: str, source: str = "s", recursive: str = "") -> str:
     digits = MATRIX_DIGITS[category]
     filled = ", ".join(
@@ -784,6 +834,7 @@ SELECT symbol, t, CASE WHEN rn < floor(n * 0.8) THEN 'train' WHEN rn < floor(n *
         f"SELECT feature, rows, {sql_grid('correlation', 6)} AS correlation FROM z WHERE correlation IS NOT NULL "
         "ORDER BY abs(z.correlation) DESC, feature LIMIT 5"
     )
+    sql["model_selection"] = _boosting_sql(f"{SNAPSHOTS}, y0 AS (SELECT *, {ahead} AS target FROM s)", "y0")
     sql["forward_return"] = f"WITH {SNAPSHOTS} SELECT symbol, update_id, {sql_grid('coalesce(lead(mid_price) OVER (PARTITION BY symbol ORDER BY rn) / mid_price - 1, 0)', 5)} AS target FROM s"
     good = "update_id % 37 <> 5 AND update_id % 29 <> 2 AND update_id % 31 <> 3"
     sql["parse_book_lines"] = f"WITH {BOOK} SELECT symbol, update_id, epoch_us(ts) // 1000 AS ms, {_grid_list(['mid_price', 'spread', 'bid_volume_5', 'ask_volume_10', 'order_imbalance'])} FROM book WHERE {good}"
