@@ -98,11 +98,19 @@ def test_daily_job(spark, tmp_path):
     out = str(tmp_path / "out")
     report = {r.date: (r.rows, r.status) for r in process_days(spark, str(tmp_path / "raw"), out, "2024-01-01", "2024-01-04").collect()}
     assert report == {"2024-01-01": (1, "done"), "2024-01-02": (1, "done"), "2024-01-03": (0, "missing"), "2024-01-04": (0, "missing")}
+    counts = process_days(spark, str(tmp_path / "raw"), str(tmp_path / "again"), "2024-01-01", "2024-01-04").orderBy("date").collect()
+    assert [(r.trade_lines, r.trades, r.book_lines, r.snapshots) for r in counts] == [(4, 3, 1, 1), (4, 3, 1, 1), (0, 0, 0, 0), (1, 0, 1, 1)]
     rows = spark.read.parquet(out).orderBy("date").collect()
     assert [(r.open, r.close, r.volume, r.best_bid) for r in rows] == [(100.0, 102.0, 3.0, 30000.0)] * 2
-    (tmp_path / "file").write_text("")
-    failed = process_days(spark, str(tmp_path / "raw"), str(tmp_path / "file"), "2024-01-01", "2024-01-01").first()
-    assert failed.status == "failed" and failed.error
+
+
+def test_a_broken_file_fails_only_its_day(spark, tmp_path):
+    day_files(tmp_path / "raw", (1, 2, 3))
+    (tmp_path / "raw/2024/01/02/b_trades_20240102_010000.jsonl.gz").write_bytes(b"no gzip at all")
+    out = str(tmp_path / "out")
+    report = process_days(spark, str(tmp_path / "raw"), out, "2024-01-01", "2024-01-03").orderBy("date").collect()
+    assert [r.status for r in report] == ["done", "failed", "done"] and report[1].error
+    assert [str(r.date) for r in spark.read.parquet(out).select("date").distinct().orderBy("date").collect()] == ["2024-01-01", "2024-01-03"]
 
 
 DELTAS = "symbol string, ts timestamp, update_id long, side string, price double, qty double"

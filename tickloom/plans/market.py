@@ -12,7 +12,9 @@ from tickloom.operators import boosting, quality, snapshots
 from tickloom.plans import views
 from tickloom.plans.sql import TRADES, bars, decay, fdiv, lag, over, roll, std
 from tickloom.plans.sql import grid as sql_grid
+from tickloom.session import new_folder
 from tickloom.sources import raw, sinks
+from tickloom.sources.daily import process_days
 
 FIVE_MINUTES = 300
 
@@ -280,6 +282,7 @@ def _book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("update_id")
     good = views.book(spark, sf_dir).select(
         i,
+        F.to_date("ts").alias("day"),
         F.to_json(
             F.struct(
                 millis.alias("timestamp"),
@@ -291,7 +294,7 @@ def _book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("value"),
     )
-    return good.select(F.when(i % 37 == 5, F.lit("not a record")).otherwise(F.col("value")).alias("value"))
+    return good.select("day", F.when(i % 37 == 5, F.lit("not a record")).otherwise(F.col("value")).alias("value"))
 
 
 def parse_book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,10 +308,12 @@ def parse_book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def parse_trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured trade lines; by trade_id some prices are no number and some quantities are missing."""
     i = F.col("trade_id")
     price = F.when(i % 23 == 7, F.lit("not_a_number")).otherwise(F.col("price").cast("string"))
-    lines = views.trades(spark, sf_dir).select(
+    return views.trades(spark, sf_dir).select(
+        F.to_date("ts").alias("day"),
         F.to_json(
             F.struct(
                 F.unix_millis("ts").alias("timestamp"),
@@ -319,9 +324,12 @@ def parse_trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.when(i % 41 != 1, F.col("quantity").cast("string")).alias("quantity"),
                 "is_buyer_maker",
             )
-        ).alias("value")
+        ).alias("value"),
     )
-    rows = raw.trade_rows(raw.parse_lines(lines, raw.TRADE_SCHEMA))
+
+
+def parse_trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw.trade_rows(raw.parse_lines(_trade_lines(spark, sf_dir), raw.TRADE_SCHEMA))
     return rows.select(
         "symbol", "trade_id", F.unix_millis("ts").alias("ms"), grid(F.col("price")).alias("price"),
         grid(F.col("quantity")).alias("quantity"), "is_buyer_maker",
@@ -356,6 +364,24 @@ def raw_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def daily_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily job over raw files written from the events: what it read and wrote of every day."""
+    root, out = new_folder(spark), new_folder(spark)
+    for kind, lines in (("trade", _trade_lines(spark, sf_dir)), ("orderbook", _book_lines(spark, sf_dir))):
+        lines.write.partitionBy("day").text(f"{root}/{kind}")
+    report = process_days(spark, root, out, *DAYS, every=views.HOUR, layout="{kind}/day=%Y-%m-%d")
+    written = spark.read.parquet(out).groupBy(F.date_format("date", "yyyy-MM-dd").alias("date"))
+    written = written.agg(F.sum("volume").alias("volume"), F.max("best_ask").alias("best_ask"), F.count_if(F.col("trade_count") == 0).alias("quiet"))
+    made = report.join(written, "date", "left")
+    return made.select(
+        F.col("date").alias("day"), "trade_lines", "trades", "book_lines", "snapshots", "rows", "status", "quiet",
+        grid(F.col("volume"), 4).alias("volume"), grid(F.col("best_ask"), 4).alias("best_ask"),
+    )
+
+
+DAYS = ("2023-12-30", "2024-02-02")
+
+
 def day_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sinks.status_by_day(views.bars(spark, sf_dir), "2023-12-30", "2024-02-02")
     return made.select(F.date_format("date", "yyyy-MM-dd").alias("day"), "rows", "status")
@@ -425,6 +451,7 @@ def queries() -> dict:
         combined_files,
         raw_paths,
         day_status,
+        daily_job,
     ]
     made = {f"market_{f.__name__}": f for f in plain}
     made.update({f"matrix_{c}": _matrix_query(c) for c in snapshots.CATEGORIES})
@@ -837,6 +864,23 @@ SELECT symbol, t, CASE WHEN rn < floor(n * 0.8) THEN 'train' WHEN rn < floor(n *
     sql["model_selection"] = _boosting_sql(f"{SNAPSHOTS}, y0 AS (SELECT *, {ahead} AS target FROM s)", "y0")
     sql["forward_return"] = f"WITH {SNAPSHOTS} SELECT symbol, update_id, {sql_grid('coalesce(lead(mid_price) OVER (PARTITION BY symbol ORDER BY rn) / mid_price - 1, 0)', 5)} AS target FROM s"
     good = "update_id % 37 <> 5 AND update_id % 29 <> 2 AND update_id % 31 <> 3"
+    sql["daily_job"] = f"""WITH {BOOK}, {TRADES},
+gt AS (SELECT symbol, ts, quantity FROM t WHERE trade_id % 23 <> 7 AND trade_id % 41 <> 1), gb AS (SELECT * FROM book WHERE {good}),
+dt AS (SELECT CAST(ts AS DATE) AS d, symbol, epoch_us(ts) // 3600000000 AS slot, quantity FROM gt), db AS (SELECT CAST(ts AS DATE) AS d, symbol, epoch_us(ts) // 3600000000 AS slot, best_ask, ts, update_id FROM gb),
+both_ AS (SELECT DISTINCT d FROM dt SEMI JOIN db USING (d)),
+spans AS (SELECT d, symbol, unnest(generate_series(min(slot), max(slot))) AS slot FROM dt GROUP BY d, symbol),
+slots AS (SELECT * FROM spans UNION SELECT d, symbol, slot FROM db),
+tc AS (SELECT d, symbol, slot, sum(quantity) AS q, count(*) AS k FROM dt GROUP BY ALL),
+bc AS (SELECT d, symbol, slot, last(best_ask ORDER BY ts, update_id) AS ask FROM db GROUP BY ALL),
+tb AS (SELECT d, symbol, slot, coalesce(q, 0) AS q, coalesce(k, 0) AS k FROM spans LEFT JOIN tc USING (d, symbol, slot)),
+filled AS (SELECT d, coalesce(last_value(q IGNORE NULLS) OVER w, 0) AS q, coalesce(last_value(k IGNORE NULLS) OVER w, 0) AS k, ask
+  FROM slots LEFT JOIN tb USING (d, symbol, slot) LEFT JOIN bc USING (d, symbol, slot) WINDOW w AS (PARTITION BY d, symbol ORDER BY slot)),
+out AS (SELECT d, count(*) AS rows, sum(q) AS volume, max(coalesce(ask, 0)) AS best_ask, count(*) FILTER (k = 0) AS quiet FROM filled SEMI JOIN both_ USING (d) GROUP BY 1),
+days AS (SELECT CAST(unnest(generate_series(DATE '{DAYS[0]}', DATE '{DAYS[1]}', INTERVAL 1 DAY)) AS DATE) AS d),
+lines AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1), nt AS (SELECT d, count(*) AS n FROM dt GROUP BY 1), nb AS (SELECT d, count(*) AS n FROM db GROUP BY 1)
+SELECT strftime(days.d, '%Y-%m-%d') AS day, coalesce(lines.n, 0) AS trade_lines, coalesce(nt.n, 0) AS trades, coalesce(lines.n, 0) AS book_lines, coalesce(nb.n, 0) AS snapshots,
+  coalesce(rows, 0) AS rows, CASE WHEN rows > 0 THEN 'done' ELSE 'missing' END AS status, quiet, {sql_grid('volume', 4)} AS volume, {sql_grid('best_ask', 4)} AS best_ask
+FROM days LEFT JOIN out ON out.d = days.d LEFT JOIN lines ON lines.d = days.d LEFT JOIN nt ON nt.d = days.d LEFT JOIN nb ON nb.d = days.d"""
     sql["parse_book_lines"] = f"WITH {BOOK} SELECT symbol, update_id, epoch_us(ts) // 1000 AS ms, {_grid_list(['mid_price', 'spread', 'bid_volume_5', 'ask_volume_10', 'order_imbalance'])} FROM book WHERE {good}"
     sql["parse_trade_lines"] = f"WITH {TRADES} SELECT symbol, trade_id, epoch_us(ts) // 1000 AS ms, {_grid_list(['price', 'quantity'])}, is_buyer_maker FROM t WHERE trade_id % 23 <> 7 AND trade_id % 41 <> 1"
     sql["line_rejects"] = f"WITH {BOOK} SELECT count(*) AS lines, count(*) FILTER ({good}) AS kept, count(*) FILTER (NOT ({good})) AS dropped FROM book"

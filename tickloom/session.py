@@ -57,11 +57,16 @@ def materialize(df: DataFrame) -> DataFrame:
     Later jobs start from the files: they do not repeat what led to them, and a
     lost executor loses nothing.
     """
-    path = f"{_shared_folder(df.sparkSession)}/tickloom-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_shared_folder(spark)}/tickloom-{uuid.uuid4().hex}"
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
 

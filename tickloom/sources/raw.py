@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,7 +149,12 @@ def path_columns(path: Column) -> dict[str, Column]:
     return {"year": part(1), "month": part(2), "day": part(3), "kind": kind}
 
 
-def day_folders(spark: SparkSession, root: str, first: str, last: str, layout: str = "%Y/%m/%d") -> dict[str, str]:
+# Folders of a day below the root. Where {kind} is in the layout it names the folder
+# of a kind of data, else a file has it in its name.
+LAYOUT = "%Y/%m/%d"
+
+
+def day_folders(spark: SparkSession, root: str, first: str, last: str, layout: str = LAYOUT) -> dict[str, str]:
     """date -> folder for the dates of an inclusive range that have one; no other folder is looked at."""
     jvm = spark.sparkContext._jvm
     files = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -161,16 +167,37 @@ def day_folders(spark: SparkSession, root: str, first: str, last: str, layout: s
     return found
 
 
+def folder_day(path: Column, layout: str) -> Column:
+    """The date in the path of a file, from the last place where the layout matches."""
+    order = re.findall("%([Ymd])", layout)
+    pattern = "".join(r"(\d{4})" if p == "%Y" else r"(\d{2})" if p in ("%m", "%d") else re.escape(p) for p in re.split("(%[Ymd])", layout))
+    year, month, day = (F.regexp_extract(path, f".*{pattern}/", order.index(c) + 1) for c in "Ymd")
+    return F.try_to_timestamp(F.concat(year, month, day), F.lit("yyyyMMdd")).cast("date")
+
+
 def read_raw(
-    spark: SparkSession, root: str, kind: str, first: str, last: str, schema: T.StructType, layout: str = "%Y/%m/%d"
+    spark: SparkSession,
+    root: str,
+    kind: str,
+    first: str,
+    last: str,
+    schema: T.StructType,
+    layout: str = LAYOUT,
+    day: str | None = None,
 ) -> DataFrame:
-    """JSON lines of one kind (a part of the file name) below root/YYYY/MM/DD for an inclusive range of dates.
+    """JSON lines of one kind below root/YYYY/MM/DD for an inclusive range of dates.
 
     Only the folders of these dates are listed; a range without files gives no rows.
+    `day` names a column for the date of the folder.
     """
     wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    folders = list(day_folders(spark, root, first, last, layout).values())
+    named = layout.replace("{kind}", kind)
+    folders = list(day_folders(spark, root, first, last, named).values())
     if not folders:
-        return spark.createDataFrame([], wide)
-    reader = spark.read.schema(wide).option("pathGlobFilter", f"*{kind}*").option("recursiveFileLookup", True)
-    return reader.json(folders)
+        empty = spark.createDataFrame([], wide)
+        return empty.withColumn(day, F.lit(None).cast("date")) if day else empty
+    reader = spark.read.schema(wide).option("recursiveFileLookup", True)
+    if "{kind}" not in layout:
+        reader = reader.option("pathGlobFilter", f"*{kind}*")
+    rows = reader.json(folders)
+    return rows.withColumn(day, folder_day(F.col("_metadata.file_path"), named)) if day else rows

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_daily(df: DataFrame, path: str, time: str = "ts", keys: Sequence[str] = ("symbol",)) -> None:
+def write_daily(
+    df: DataFrame, path: str, time: str = "ts", keys: Sequence[str] = ("symbol",), date: str | None = None
+) -> None:
     """Snappy Parquet below date=YYYY-MM-DD; only the dates at hand are replaced.
 
+    The date is that of `time`, or the column `date`.
+
     Rows are spread over (date, hour) rather than date alone, so a busy day is
     written by many tasks.
     """
-    dated = df.withColumn("date", F.to_date(time))
+    dated = df.withColumn("date", F.to_date(date or time))
     (
         dated.repartition("date", F.hour(time), *keys)
         .sortWithinPartitions(*keys, time)
