@@ -25,7 +25,7 @@ from tickloom.session import materialize
 
 RUN_BYTES = 4 << 20
 EMIT_ROWS = 1 << 16
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 16
 LEAST_TERMS = 64
 UNIT = 1_000_000_000
 WORD = 8
