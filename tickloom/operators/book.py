@@ -3,10 +3,12 @@ the trade flow just before a snapshot."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Sequence
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,54 +176,90 @@ def reconstruct(
     most = levels + (gone.agg(F.max("_gone")).first()[0] or 0)
     open_levels = _open_at(left, most, (table.agg(F.max(BLOCK)).first()[0] or 0) + 1, keys)
 
-    columns = [*keys, BLOCK, "_point", "side", "price", "qty", "_next"]
+    # A rank grows from the best level on, on both sides.
+    bid = F.col("side") == "bid"
     rows = placed.unionByName(open_levels.withColumn("_point", F.lit(None).cast("long")), allowMissingColumns=True)
-    rows = join_on(rows, table.drop("_after"), [*keys, BLOCK], "inner").select(*columns)
+    rows = join_on(rows, table.drop("_after"), [*keys, BLOCK], "inner").select(
+        *keys, BLOCK, "_point", bid.alias("_bid"), F.when(bid, -F.col("price")).otherwise(F.col("price")).alias("_rank"), "qty", "_next"
+    )
+    ladder = [f"{side}_{part}" for side in ("bid", "ask") for part in ("rank", "qty")]
     schema = T.StructType(
         [
             *(rows.schema[c] for c in keys),
             T.StructField("_point", T.LongType()),
             T.StructField("_until", T.LongType()),
-            T.StructField("side", T.StringType()),
-            T.StructField("level", T.IntegerType()),
-            T.StructField("price", T.DoubleType()),
-            T.StructField("qty", T.DoubleType()),
+            *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ladder),
         ]
     )
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        entering = frame["_point"].isna()
-        book = OpenBook()
-        for side, price, qty in frame.loc[entering, ["side", "price", "qty"]].itertuples(index=False):
-            book.change(side, price, qty)
-        own = frame[~entering].sort_values("_point")
-        following = frame["_next"].iloc[0]
-        points = own["_point"].astype("int64").tolist()
-        listed: list[tuple] = []
-        rows = zip(points, own["side"].tolist(), own["price"].tolist(), own["qty"].tolist(), strict=True)
-        upcoming = [*points[1:], None if pd.isna(following) else int(following)]
-        for (now, side, price, qty), then in zip(rows, upcoming, strict=True):
-            book.change(side, price, qty)
-            if then != now and book.two_sided:
-                until = now if then is None else then - 1
-                listed += [(now, until, *entry) for entry in book.best(levels)]
-        made = pd.DataFrame(listed, columns=["_point", "_until", "side", "level", "price", "qty"])
-        for place, c in enumerate(keys):
-            made.insert(place, c, frame[c].iloc[0])
-        return made
-
-    made = gather(rows, [*keys, BLOCK]).groupBy(*keys, BLOCK).applyInPandas(walk, schema)
-    return made.select(
+    def walk(changes: pa.Table) -> pa.Table:
+        points, until, lists = walk_block(changes, levels)
+        named = {c: changes.column(c).take(pa.array(np.zeros(len(points), np.int64))) for c in keys}
+        return pa.table({**named, "_point": points, "_until": until, **dict(zip(ladder, lists, strict=True))})
+
+    made = gather(rows, [*keys, BLOCK]).groupBy(*keys, BLOCK).applyInArrow(walk, schema)
+    sides = F.array(
+        *(
+            F.struct(F.lit(side).alias("side"), F.lit(sign).alias("sign"), F.arrays_zip(F.col(f"{side}_rank").alias("rank"), F.col(f"{side}_qty").alias("qty")).alias("of"))
+            for side, sign in (("bid", -1.0), ("ask", 1.0))
+        )
+    )
+    each = made.select(*keys, "_point", "_until", F.inline(sides)).select("*", F.posexplode("of").alias("level", "at"))
+    return each.select(
         *keys,
         F.timestamp_micros(F.col("_point") * period).alias("ts"),
         "side",
         "level",
-        "price",
-        "qty",
+        (F.col("sign") * F.col("at.rank")).alias("price"),
+        F.col("at.qty").alias("qty"),
         F.timestamp_micros(F.col("_until") * period).alias("valid_until"),
     )
 
 
+def walk_block(changes: pa.Table, levels: int) -> tuple[pa.Array, pa.Array, list[pa.Array]]:
+    """Points of a block at which both sides are open, until when each holds, and the best ranks and quantities there.
+
+    `changes` has _point (missing for a level that is open when the block begins),
+    _bid, _rank, qty and _next, the first point of the block after it.
+    """
+    point = changes.column("_point")
+    entering = point.is_null().to_numpy()
+    point = point.fill_null(0).to_numpy()
+    bid, rank, qty = (changes.column(c).to_numpy() for c in ("_bid", "_rank", "qty"))
+    book = []
+    for side in (True, False):
+        own = np.flatnonzero(entering & (bid == side))
+        own = own[np.argsort(rank[own])]
+        book.append(Ladder(rank[own].tolist(), qty[own].tolist()))
+    bids, asks = book
+    order = np.flatnonzero(~entering)
+    order = order[np.argsort(point[order], kind="stable")]
+    times = point[order]
+    ends = np.flatnonzero(np.append(times[1:] != times[:-1], True)) + 1 if len(times) else np.zeros(0, np.int64)
+    steps = zip(bid[order].tolist(), rank[order].tolist(), qty[order].tolist(), strict=True)
+    flat: list[list[float]] = [[], [], [], []]
+    sizes: list[list[int]] = [[], []]
+    listed = np.zeros(len(ends), bool)
+    begin = 0
+    for k, end in enumerate(ends.tolist()):
+        for side, r, q in islice(steps, end - begin):
+            (bids if side else asks).change(r, q)
+        begin = end
+        if bids.ranks and asks.ranks:
+            listed[k] = True
+            for n, ladder in enumerate((bids, asks)):
+                best = ladder.ranks[:levels]
+                flat[2 * n] += best
+                flat[2 * n + 1] += ladder.qty[:levels]
+                sizes[n].append(len(best))
+    at = times[ends - 1] if len(ends) else times
+    following = changes.column("_next")[0].as_py()
+    until = np.append(at[1:] - 1, at[-1:] if following is None else following - 1)[: len(at)]
+    offsets = [pa.array(np.concatenate([[0], np.cumsum(s)]).astype(np.int32)) for s in sizes]
+    lists = [pa.ListArray.from_arrays(offsets[k // 2], pa.array(flat[k], pa.float64())) for k in range(4)]
+    return pa.array(at[listed]), pa.array(until[listed]), lists
+
+
 def _open_at(left: DataFrame, most: int, blocks: int, keys: Sequence[str]) -> DataFrame:
     """The `most` best open levels of each side at the start of every block.
 
@@ -254,34 +292,24 @@ def _open_at(left: DataFrame, most: int, blocks: int, keys: Sequence[str]) -> Da
     return best(opened, BLOCK)
 
 
-class OpenBook:
-    """Open levels of both sides, sorted from the best."""
+class Ladder:
+    """Open levels of one side: ranks in order and their quantities."""
 
-    def __init__(self) -> None:
-        self.quantity: dict[str, dict[float, float]] = {"bid": {}, "ask": {}}
-        self.order: dict[str, list[float]] = {"bid": [], "ask": []}
+    def __init__(self, ranks: list[float], qty: list[float]):
+        self.ranks, self.qty = ranks, qty
 
-    def change(self, side: str, price: float, qty: float) -> None:
-        held, order = self.quantity[side], self.order[side]
-        rank = -price if side == "bid" else price
+    def change(self, rank: float, qty: float) -> None:
+        """Set the quantity of a level; 0 removes it."""
+        at = bisect_left(self.ranks, rank)
+        known = at < len(self.ranks) and self.ranks[at] == rank
         if qty == 0:
-            if held.pop(price, None) is not None:
-                del order[bisect_left(order, rank)]
-            return
-        if price not in held:
-            insort(order, rank)
-        held[price] = qty
-
-    @property
-    def two_sided(self) -> bool:
-        return bool(self.order["bid"]) and bool(self.order["ask"])
-
-    def best(self, levels: int) -> list[tuple[str, int, float, float]]:
-        out = []
-        for side, sign in (("bid", -1), ("ask", 1)):
-            held = self.quantity[side]
-            out += [(side, n, sign * r, held[sign * r]) for n, r in enumerate(self.order[side][:levels])]
-        return out
+            if known:
+                del self.ranks[at], self.qty[at]
+        elif known:
+            self.qty[at] = qty
+        else:
+            self.ranks.insert(at, rank)
+            self.qty.insert(at, qty)
 
 
 def dense_book(listed: DataFrame, every: int = 1) -> DataFrame:

@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     # Rows with whole texts are large; ten thousand of them, the default, would be
     # held several times over on the way to Python and back.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # State of streams by entry and outside the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # Settings that must be there when the context starts.

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.bars import SIDE_COLUMNS, _trade_aggregates
-from tickloom.operators.book import LEVELS, OpenBook
 from tickloom.sources import raw
+from tickloom.streaming.live import live_bars, live_book
 
 
 def read_trades(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -50,10 +46,7 @@ def write_hourly(
 
 
 def trade_bars(trades: DataFrame, every: str = "1 minute", late: str = "1 minute") -> DataFrame:
-    """Bars of the bins that have trades, given once the watermark passes them.
-
-    Empty bins are filled in batch, where the next trade is known.
-    """
+    """Bars of the bins that have trades, given once the watermark passes them; `live_bars` fills the others."""
     bars = (
         trades.withWatermark("ts", late)
         .groupBy("symbol", F.window("ts", every).alias("bin"))
@@ -142,66 +135,15 @@ def last_per_time(rows: DataFrame, order: str, late: str = "1 minute") -> DataFr
     return picked.select("symbol", "ts", *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
-# Listed rows are handed on in frames of about this size.
-CHUNK_ROWS = 50_000
-SNAPSHOT_SCHEMA = "symbol string, ts timestamp, side string, level int, price double, qty double"
-_BOOK_STATE = "side array<string>, price array<double>, qty array<double>, at array<long>, id array<long>, clock long"
-
-
-def live_book(deltas: DataFrame, late: str = "10 seconds", levels: int = LEVELS) -> DataFrame:
-    """The best levels of each side at every full second of event time at which both sides have one.
-
-    `deltas` has (symbol, ts, update_id, side, price, qty). The state of a
-    symbol is its open levels and the changes that the watermark has not passed
-    yet; a second is listed once the watermark passes it, so deltas within
-    `late` of each other may come in any order. Deletions stay in the state only
-    until the watermark passes them.
-    """
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = list(zip(*state.get[:5], strict=True)) if state.exists else []
-        clock = state.get[5] if state.exists else None
-        for frame in frames:
-            micros = frame["ts"].astype("datetime64[us]").astype("int64")
-            known += zip(frame["side"], frame["price"], frame["qty"], micros, frame["update_id"], strict=True)
-        known.sort(key=lambda change: (change[3], change[4]))
-        done = state.getCurrentWatermarkMs() // 1000
-        if clock is None and known:
-            clock = -(-known[0][3] // 1_000_000)
-        open_levels: dict[tuple[str, float], tuple] = {}
-        book = OpenBook()
-        rows, i = [], 0
-        names = ["symbol", "ts", "side", "level", "price", "qty"]
-        while clock is not None and clock <= done and known:
-            # Without a change in between, seconds repeat the same book.
-            while i < len(known) and known[i][3] <= clock * 1_000_000:
-                side, price, qty, _, _ = change = known[i]
-                book.change(side, price, qty)
-                if qty == 0:
-                    open_levels.pop((side, price), None)
-                else:
-                    open_levels[side, price] = change
-                i += 1
-            if book.two_sided:
-                moment = pd.Timestamp(clock, unit="s")
-                rows += [(key[0], moment, *entry) for entry in book.best(levels)]
-            if len(rows) >= CHUNK_ROWS:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-            clock += 1
-        left = [*open_levels.values(), *known[i:]]
-        if left:
-            columns = [list(column) for column in zip(*left, strict=True)]
-            state.update((*columns, clock))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 1000)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=names)
-
-    return (
-        deltas.withWatermark("ts", late)
-        .groupBy("symbol")
-        .applyInPandasWithState(
-            advance, SNAPSHOT_SCHEMA, _BOOK_STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+__all__ = [
+    "first_per_time",
+    "last_per_time",
+    "live_bars",
+    "live_book",
+    "read_book",
+    "read_trades",
+    "snapshot_flow",
+    "trade_bars",
+    "trade_flow",
+    "write_hourly",
+]
