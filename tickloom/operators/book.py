@@ -165,16 +165,18 @@ def reconstruct(
     placed = join_on(last, homes, [*keys, "_point"])
 
     # A level that is open at the end of a block is open at the start of the blocks up to its next change.
-    left = placed.groupBy(*level, BLOCK).agg(F.max_by("qty", "_point").alias("qty"))
+    left = placed.groupBy(*level, BLOCK).agg(F.max_by("qty", "_point").alias("qty"), F.min("qty").alias("_least"))
     changes = Window.partitionBy(*level).orderBy(BLOCK)
     ends = table.groupBy(*keys).agg(F.max(BLOCK).alias("_end"))
-    left = join_on(left.withColumn("_until", F.lead(BLOCK).over(changes)).where("qty > 0"), ends, keys)
-    left = left.withColumn("_until", F.coalesce("_until", "_end")).where(F.col("_until") > F.col(BLOCK))
-    # A removal lets one deeper level come up, so a block needs no more than the best
-    # of its start and one for each of its removals.
-    gone = placed.where("qty = 0").groupBy(*keys, BLOCK, "side").agg(F.count(F.lit(1)).alias("_gone"))
-    most = levels + (gone.agg(F.max("_gone")).first()[0] or 0)
-    open_levels = _open_at(left, most, (table.agg(F.max(BLOCK)).first()[0] or 0) + 1, keys)
+    spans = left.withColumns({"_until": F.lead(BLOCK).over(changes), "_gone": F.lead("_least").over(changes) == 0}).where("qty > 0")
+    spans = join_on(spans.drop("_least"), ends, keys).withColumn("_until", F.coalesce("_until", "_end"))
+    # Other columns are not needed of them, and there are fewer of them than changes.
+    left = materialize(spans.where(F.col("_until") > F.col(BLOCK)))
+    # A deeper level comes up only where one that was open at the start of the block goes
+    # away, so a block needs no more than the best of its start and one for each of those.
+    gone = left.where("_gone").groupBy(*keys, "side", F.col("_until").alias(BLOCK)).agg(F.count(F.lit(1)).alias("_more"))
+    blocks = (table.agg(F.max(BLOCK)).first()[0] or 0) + 1
+    open_levels = _open_at(left.drop("_gone"), gone, levels, blocks, keys)
 
     # A rank grows from the best level on, on both sides.
     bid = F.col("side") == "bid"
@@ -260,8 +262,8 @@ def walk_block(changes: pa.Table, levels: int) -> tuple[pa.Array, pa.Array, list
     return pa.array(at[listed]), pa.array(until[listed]), lists
 
 
-def _open_at(left: DataFrame, most: int, blocks: int, keys: Sequence[str]) -> DataFrame:
-    """The `most` best open levels of each side at the start of every block.
+def _open_at(left: DataFrame, gone: DataFrame, levels: int, blocks: int, keys: Sequence[str]) -> DataFrame:
+    """The best open levels of each side at the start of every block: `levels`, and as many more as `gone` says.
 
     `left` has levels that are open from the block after `_block` to `_until`. A
     level is not sent to each of these blocks but to the few stretches of 2**k
@@ -280,16 +282,23 @@ def _open_at(left: DataFrame, most: int, blocks: int, keys: Sequence[str]) -> Da
 
     parts = F.filter(F.flatten(F.transform(sizes, stretches)), lambda x: x.isNotNull())
     rank = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
+    width = F.pow(F.lit(2.0), F.col("k")).cast("long")
+    # The most that any block of a stretch asks for.
+    asked = (
+        gone.withColumn("k", F.explode(sizes))
+        .groupBy(*keys, "side", "k", F.floor(F.col(BLOCK) / width).alias("at"))
+        .agg(F.max("_more").alias("_more"))
+    )
 
-    def best(rows: DataFrame, *home: str) -> DataFrame:
+    def best(rows: DataFrame, more: DataFrame, *home: str) -> DataFrame:
         place = Window.partitionBy(*keys, "side", *home).orderBy(rank)
-        return rows.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= most).drop("_rank")
+        placed = join_on(rows.withColumn("_rank", F.row_number().over(place)), more, [*keys, "side", *home], "left")
+        return placed.where(F.col("_rank") <= levels + F.coalesce("_more", F.lit(0))).drop("_rank", "_more")
 
     spread = left.select(*keys, "side", "price", "qty", F.inline(parts))
-    kept = best(spread, "k", "at")
-    width = F.pow(F.lit(2.0), F.col("k")).cast("long")
+    kept = best(spread, asked, "k", "at")
     opened = kept.withColumn(BLOCK, F.explode(F.sequence(F.col("at") * width, (F.col("at") + 1) * width - 1))).drop("k", "at")
-    return best(opened, BLOCK)
+    return best(opened, gone, BLOCK)
 
 
 class Ladder:
