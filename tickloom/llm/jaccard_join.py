@@ -98,6 +98,16 @@ def _parity(own: np.ndarray, bits: int) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _fine_bits(n: int, percent: int) -> int:
+    """Bits of the longer signature, a power of two.
+
+    Sets without anything in common differ in about half of the bits. That has to be
+    more than linked sets of this size may differ in, with an eighth to spare.
+    """
+    differ = 2 * n * (100 - percent) // (100 + percent)
+    return 1 << max(differ * 9 // 4 - 1, 1).bit_length()
+
+
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -126,7 +136,7 @@ def _describe(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
                     prefixes.append(own[by_rank[:need]])
                     signatures.append(_parity(own, SIGNATURE_BITS))
                     # A large set fills the short signature, so it has one in proportion to its size too.
-                    fines.append(_parity(own, 1 << (n // 2 - 1).bit_length()) if n > 2 * SIGNATURE_BITS else b"")
+                    fines.append(_parity(own, _fine_bits(n, percent)) if n > 2 * SIGNATURE_BITS else b"")
                     marks.append(_fingerprint(own))
                 cut = slice(block.first, block.first + len(block))
                 yield pa.RecordBatch.from_arrays(
