@@ -41,6 +41,16 @@ def split_item(text: str) -> tuple[str, str]:
     return (". ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text or "", "")
 
 
+def _lower(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts; what is not UTF-8 in them becomes the replacement character."""
+    try:
+        return pc.utf8_lower(texts)
+    except pa.ArrowInvalid:
+        raw = texts.view(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+        known = [None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()]
+        return pc.utf8_lower(pa.array(known, pa.large_string()))
+
+
 def _text_words(texts: list[str]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for block in words.blocks(pc.utf8_lower(pa.array(texts, pa.string()))):
@@ -234,7 +244,7 @@ def block_hits(block: words.Block, index: Index, limits: Limits) -> list[tuple]:
 def _passes(benchmark: DataFrame, item_column: str, text_column: str, threshold: float) -> Iterator[list[Index]]:
     """Indexes of all items, ITEMS_PER_PASS at a time, with word counts of the whole benchmark."""
     items = benchmark.where(F.col(text_column).isNotNull()).select(
-        F.col(item_column).alias("item"), F.col(text_column).alias("text")
+        F.col(item_column).alias("item"), F.make_valid_utf8(F.col(text_column)).alias("text")
     )
 
     def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +295,9 @@ def find_leaks(
 
     Positions are those of the best passage, in words of letters and digits.
     Texts and items that are NULL or have no words give no row; repeated rows
-    give theirs each; an empty benchmark gives an empty result.
+    give theirs each; an empty benchmark gives an empty result. Texts are read
+    whole at any length, and bytes that are not UTF-8 as the replacement character.
+    Other columns are not read.
     """
     id_type = docs.schema[id_column].dataType
     item_type = benchmark.schema[item_column].dataType
@@ -299,7 +311,7 @@ def find_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block in words.blocks(pc.utf8_lower(batch.column(1))):
+                for block in words.blocks(_lower(batch.column(1))):
                     for index in shared.value:
                         found = block_hits(block, index, limits)
                         if found:
@@ -323,7 +335,11 @@ def drop_leaks(
     item_text: str = "text",
     limits: Limits = Limits(),
 ) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no test item."""
+    """The rows of ``docs``, with all columns as they are, that hold no test item.
+
+    A NULL or empty text holds none; repeated rows stay or go together. Bytes that
+    are not UTF-8 are read as the replacement character.
+    """
     for indexes in _passes(benchmark, item_column, item_text, limits.score):
         shared = docs.sparkSession.sparkContext.broadcast(indexes)
         at = docs.columns.index(text_column)
@@ -331,7 +347,7 @@ def drop_leaks(
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for block in words.blocks(pc.utf8_lower(batch.column(at))):
+                for block in words.blocks(_lower(batch.column(at))):
                     for index in shared.value:
                         for k, *_ in block_hits(block, index, limits):
                             clean[block.first + k] = False

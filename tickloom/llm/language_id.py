@@ -139,7 +139,7 @@ def language_prototypes(docs: DataFrame, text_column: str, lang_column: str, dim
 
     rows = (
         docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-        .select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"))
+        .select(F.col(lang_column).cast("string").alias("lang"), F.make_valid_utf8(F.col(text_column)).alias("text"))
         .mapInArrow(part, "lang string, dimension int, total long")
         .groupBy("lang", "dimension")
         .agg(F.sum("total").alias("total"))
@@ -164,7 +164,9 @@ def identify_languages(
 
     Prototypes come from the rows outside the held-out fold. A NULL or empty text,
     one without a letter, and every text where nothing could be learned, get
-    "und" and score 0. Ties go to the language that sorts first. Other columns
+    "und" and score 0. Ties go to the language that sorts first. Repeated rows are
+    learned from and scored as often as they occur, texts whole at any length; bytes
+    that are not UTF-8 count as the replacement character, no letter. Other columns
     are not read.
     """
     learned = language_prototypes(docs.where(fold(id_column, modulus) != held_out), text_column, lang_column, dimensions)
@@ -187,6 +189,7 @@ def identify_languages(
                 [batch.column(0), batch.column(1), names, pa.array(score)], [id_column, "held_out", "lang_pred", "score"]
             )
 
-    return docs.select(id_column, (fold(id_column, modulus) == held_out).alias("_held_out"), text_column).mapInArrow(
+    text = F.make_valid_utf8(F.col(text_column)).alias("_text")
+    return docs.select(id_column, (fold(id_column, modulus) == held_out).alias("_held_out"), text).mapInArrow(
         run, f"`{id_column}` {id_type}, held_out boolean, lang_pred string, score double"
     )
