@@ -58,8 +58,10 @@ class _Matrix:
     def __init__(self, g: Graph):
         self.g = g
         self.mid = g.source("mid_price")
+        self.asked: set[str] = set()
 
     def has(self, *columns: str) -> bool:
+        self.asked.update(columns)
         return all(c in self.g.sources for c in columns)
 
     def constant(self, value: float) -> Node:
@@ -361,6 +363,29 @@ CATEGORIES = (
 LOOKS_AHEAD = ("effective_spread",)
 
 
+HOUR_OF = "_hour"
+
+
+def _matrix_graph(series: Series, categories: Sequence[str], columns: Sequence[str], complete: bool) -> tuple[Graph, dict[str, Node], set[str]]:
+    """The graph, its outputs, and the columns that were asked for, there or not."""
+    unknown = [c for c in categories if c not in CATEGORIES]
+    if unknown:
+        raise ValueError(f"unknown categories: {unknown}")
+    g = Graph(series, [*columns, HOUR_OF], complete)
+    matrix = _Matrix(g)
+    outputs: dict[str, Node] = {}
+    for category in categories:
+        outputs.update(getattr(matrix, category)())
+    return g, outputs, matrix.asked
+
+
+def matrix_inputs(categories: Sequence[str], columns: Sequence[str]) -> list[str]:
+    """The columns, among those there are, on which these categories of the matrix depend."""
+    g, outputs, asked = _matrix_graph(Series(), categories, columns, True)
+    needed = asked | set(g.reads(outputs.values()))
+    return [c for c in columns if c in needed]
+
+
 def feature_matrix(
     df: DataFrame,
     categories: Sequence[str] = CATEGORIES,
@@ -377,17 +402,12 @@ def feature_matrix(
     complete: no input value is missing.
     fill: repeat the last value over gaps, then 0.
     """
-    unknown = [c for c in categories if c not in CATEGORIES]
-    if unknown:
-        raise ValueError(f"unknown categories: {unknown}")
     series = Series(tuple(keys), block_rows)
-    timed = _numbered(df, keys, order).withColumn("_hour", F.hour(order[0]).cast("double"))
-    sources = [c for c in timed.columns if c not in (*keys, *order, SLOT)]
-    g = Graph(series, sources, complete)
-    matrix = _Matrix(g)
-    outputs: dict[str, Node] = {}
-    for category in categories:
-        outputs.update(getattr(matrix, category)())
+    g, outputs, _ = _matrix_graph(series, categories, [c for c in df.columns if c not in (*keys, *order)], complete)
+    # Only what the categories read goes through the shuffles.
+    needed = [c for c in g.reads(outputs.values()) if c != HOUR_OF]
+    timed = _numbered(df.select(*dict.fromkeys([*keys, *order]), *needed), keys, order)
+    timed = timed.withColumn(HOUR_OF, F.hour(order[0]).cast("double"))
     shown = list(dict.fromkeys([*keys, *order]))
     made = g.evaluate(timed, outputs, [*shown, SLOT])
     if not fill:

@@ -391,9 +391,11 @@ def day_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix_frame(spark: SparkSession, sf_dir: str, categories, **blocks: int) -> DataFrame:
-    return snapshots.feature_matrix(
-        views.snapshots(spark, sf_dir), categories, order=("ts", "update_id"), complete=True, **blocks
-    )
+    order = ("ts", "update_id")
+    known = [c for c in views.snapshots(spark, sf_dir).columns if c not in ("symbol", *order)]
+    # The ladder has eighty columns, of which a category reads a few.
+    rows = views.snapshots(spark, sf_dir, snapshots.matrix_inputs(categories, known))
+    return snapshots.feature_matrix(rows, categories, order=order, complete=True, **blocks)
 
 
 MATRIX_DIGITS = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,9 +89,12 @@ def book_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("bid").unionByName(side("ask"))
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat book snapshots with the trade flow of the second before."""
+def snapshots(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Flat book snapshots with the trade flow of the second before; `columns` names those of the book to keep."""
     flat = snapshot_features(book(spark, sf_dir)).drop("bids", "asks")
+    if columns is not None:
+        kept = {"symbol", "ts", "update_id", "mid_price", *columns}
+        flat = flat.select(*(c for c in flat.columns if c in kept))
     return trailing_flow(flat, trades(spark, sf_dir))
 
 
