@@ -206,3 +206,17 @@ def test_config_file(tmp_path, spark):
     assert features.names == ["FAST"]
     row = features.describe(spark).first()
     assert (row["class"], row["window"]) == ("SMA", 4)
+
+
+def test_a_row_goes_to_few_blocks_however_far_back_it_is_seen(spark, monkeypatch):
+    from tickloom.operators import graph
+    from tickloom.operators.blocks import Series
+
+    asked = []
+    spread = graph.with_halo
+    monkeypatch.setattr(graph, "with_halo", lambda df, series, back, ahead: asked.append((series.rows, back)) or spread(df, series, back, ahead))
+    g = graph.Graph(Series(("symbol",), 16), ["price"])
+    df = spark.createDataFrame([("A", k, float(k % 11)) for k in range(600)], "symbol string, _slot long, price double")
+    made = g.evaluate(df, {"m": g.mean(g.source("price"), 200)}, ["_slot"]).orderBy("_slot").collect()
+    assert [rows >= back > 16 for rows, back in asked] == [True]
+    assert made[599]["m"] == pytest.approx(sum(k % 11 for k in range(400, 600)) / 200)
