@@ -252,3 +252,22 @@ def test_stream_flow_equals_batch(spark, tmp_path):
     got = _streamed(spark, tmp_path, "flow_rows", [early, end], snaps, lambda df: live.snapshot_flow(df, stream))
     want = book.trailing_flow(early, traded)
     assert sorted(map(tuple, got.where("symbol = 'A'").collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+@pytest.mark.parametrize("window_ms", [0, 250, 1000, 3_600_000])
+def test_flow_of_windows_of_any_length(spark, window_ms):
+    at = lambda ms: T0 + timedelta(milliseconds=ms)
+    times = [(k * k * 137) % 900_000 for k in range(60)] + [250, 500, 500, 1000, 299_999, 300_000, 300_250]
+    traded = [("A", at(t), i, 100.0 + i, i % 7 + 0.5, i % 3 == 0) for i, t in enumerate(times)]
+    asked = [("A", at(t), i, 50.0) for i, t in enumerate([*times, 0, 750, 301_000, 3_700_000])] + [("A", None, 999, 50.0)]
+    snaps = spark.createDataFrame(asked, "symbol string, ts timestamp, update_id long, mid_price double")
+    made = book.trailing_flow(snaps, spark.createDataFrame([*traded, ("A", None, 99, 1.0, 1.0, True)], TRADES), window_ms)
+    # A frame that slides is added up anew for every row.
+    assert "RangeFrame, -" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.update_id: r for r in made.collect()}
+    assert len(got) == len(asked)
+    for _, t, i, mid in asked:
+        seen = [r for r in traded if t is not None and timedelta(0) <= t - r[1] <= timedelta(milliseconds=window_ms)]
+        buy, sell = (sum(r[4] for r in seen if r[5] == maker) for maker in (False, True))
+        price = sum(r[3] * r[4] for r in seen) / (buy + sell) if seen else mid
+        assert (got[i].buy_volume_1s, got[i].sell_volume_1s, got[i].vwap_1s) == pytest.approx((buy, sell, price))
