@@ -271,3 +271,11 @@ def test_flow_of_windows_of_any_length(spark, window_ms):
         buy, sell = (sum(r[4] for r in seen if r[5] == maker) for maker in (False, True))
         price = sum(r[3] * r[4] for r in seen) / (buy + sell) if seen else mid
         assert (got[i].buy_volume_1s, got[i].sell_volume_1s, got[i].vwap_1s) == pytest.approx((buy, sell, price))
+
+
+def test_a_line_is_parsed_once(spark):
+    for schema, rows in ((raw.BOOK_SCHEMA, raw.book_rows), (raw.TRADE_SCHEMA, raw.trade_rows)):
+        lines = spark.createDataFrame([(line(),), ("not json",), (None,)], "value string").repartition(2)
+        made = rows(raw.parse_lines(lines, schema))
+        assert made._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+        assert made.count() == (1 if schema is raw.BOOK_SCHEMA else 0)
