@@ -152,3 +152,48 @@ def test_a_held_drawdown_over_many_blocks_needs_few_rounds(spark, caplog):
         made = drawdown.drawdown_guard(df, order=["ts", "step"], block_rows=10, warm_up=4).collect()
     rounds = [r for r in caplog.records if "round" in r.message]
     assert sum(r.is_triggered for r in made) == 660 and len(rounds) <= 4
+
+
+def _shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def _many_closes(spark):
+    opens = [(i, 8.0, 100.0 + i, "long" if i % 2 else "short", T0) for i in range(20)]
+    closes = [(i if i % 5 else None, k, 101.0 + k, None if k == 3 else 1.5, T0 + timedelta(hours=30 * k)) for i in range(24) for k in range(5)]
+    return (
+        spark.createDataFrame(opens, "position_id long, size double, entry_price double, position_type string, entry_time timestamp"),
+        spark.createDataFrame(closes, "position_id long, close_seq int, exit_price double, exit_size double, exit_time timestamp"),
+    )
+
+
+def test_closes_are_shuffled_once(spark):
+    opens, closes = _many_closes(spark)
+    assert _shuffles(positions.close_positions(opens, closes)) <= 2
+
+
+def test_crowded_positions_close_the_same(spark):
+    opens, closes = _many_closes(spark)
+    closes = closes.where("position_id is not null")
+    plain, crowded = (positions.close_positions(opens, closes, crowd=n).collect() for n in (1 << 20, -1))
+    assert len(plain) == 95 and any(r.known for r in plain) and not all(r.known for r in plain)
+    assert sorted(map(str, plain)) == sorted(map(str, crowded))
+
+
+def test_close_of_no_position_stays(spark):
+    opens, closes = _many_closes(spark)
+    made = positions.close_positions(opens, closes).where("position_id is null").collect()
+    assert len(made) == 25 and not any(r.known for r in made)
+
+
+def test_running_pnl_over_minutes_and_missing_times(spark):
+    rows = [(k, 1, T0 + timedelta(minutes=7 * k) if k % 9 else None, float(k)) for k in range(400)]
+    closed = spark.createDataFrame(rows, "position_id long, close_seq int, exit_time timestamp, net_pnl double")
+    made = positions.running_daily_pnl(closed, order=("close_seq", "position_id"))
+    assert _shuffles(made) <= 4
+    want, total, day = {}, 0.0, None
+    for i, _, at, x in sorted(rows, key=lambda r: (r[2] is not None, r[2], r[0])):
+        now = at.date() if at else "none"
+        total, day = (total if now == day else 0.0) + x, now
+        want[i] = total
+    assert {r.position_id: r.daily_pnl for r in made.collect()} == want

@@ -7,26 +7,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import BLOCK, SLOT, Series, join_on, place, row_slots, running
+from tickloom.operators.blocks import BLOCK, SLOT, Series, place, row_slots, running, running_rows
 from tickloom.operators.drawdown import position_scale
 from tickloom.operators.sizing import annual_cost, entry_cost, kelly_size, round_trip_cost
 
 
-def close_positions(opens: DataFrame, closes: DataFrame, *, id: str = "position_id") -> DataFrame:
+# Parts of the ids, and the number of closes above which a part is summed over blocks.
+PARTS = 4096
+CROWD = 1 << 20
+
+
+def _crowded(closes: DataFrame, id: str, crowd: int) -> list[int]:
+    """The parts of the ids with far more closes than others; one count per part goes to the driver."""
+    counts = dict(closes.groupBy(_part(id)).count().collect())
+    return sorted(part for part, n in counts.items() if n > max(crowd, 4 * sum(counts.values()) / PARTS))
+
+
+def _part(id: str) -> Column:
+    return F.pmod(F.xxhash64(id), F.lit(PARTS)).cast("int")
+
+
+def close_positions(opens: DataFrame, closes: DataFrame, *, id: str = "position_id", crowd: int = CROWD) -> DataFrame:
     """Profit and loss of each close.
 
     opens: (id, size, entry_price, position_type, entry_time)
     closes: (id, close_seq, exit_price, exit_size, exit_time); an exit_size of
         NULL or 0 closes what is left.
     A close of an unknown position, or of one that an earlier close used up,
-    realizes 0. Earlier closes are summed as running totals over blocks, so a
-    position with very many closes is no single task.
+    realizes 0. Earlier closes are summed where the closes of an id meet its open,
+    after one shuffle of each; those of ids among very many closes (`crowd`) as
+    running totals over blocks, so a position with very many closes is no single
+    task. `closes` is read twice.
     """
-    numbered = row_slots(closes, [id], [F.col("exit_time"), F.col("close_seq")], F.to_date("exit_time"))
-    series = Series((id,))
     given = F.nullif(F.col("exit_size"), F.lit(0.0))
+    order = [F.col("exit_time"), F.col("close_seq")]
     totals = {"_sold": ("sum", F.coalesce(given, F.lit(0.0))), "_whole": ("sum", given.isNull().cast("long"))}
-    summed = running(place(numbered, series), series, totals)
+    crowded = _crowded(closes, id, crowd)
+    upto = Window.partitionBy(id).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The part of a missing id is known as well, so no close is left out.
+    plain = closes.where(~_part(id).isin(crowded)) if crowded else closes
+    summed = plain.withColumns({name: F.sum(value).over(upto) for name, (_, value) in totals.items()})
+    if crowded:
+        numbered = row_slots(closes.where(_part(id).isin(crowded)), [id], order, F.to_date("exit_time"))
+        series = Series((id,))
+        summed = summed.unionByName(running(place(numbered, series), series, totals).drop(SLOT, BLOCK))
     earlier = F.col("_sold") - F.coalesce(given, F.lit(0.0))
     full_before = F.col("_whole") - given.isNull().cast("long")
     known = opens.select(id, "size", "entry_price", "position_type", "entry_time", F.lit(True).alias("_known"))
@@ -65,10 +89,9 @@ def daily_pnl(closed: DataFrame, time: str = "exit_time") -> DataFrame:
 def running_daily_pnl(closed: DataFrame, time: str = "exit_time", order: Sequence[str] = ("close_seq",)) -> DataFrame:
     """The profit and loss of the day so far after each close."""
     dated = closed.withColumn("_day", F.to_date(time))
-    slots = row_slots(dated, ["_day"], [F.col(time), *(F.col(c) for c in order)], F.date_trunc("minute", F.col(time)))
-    series = Series(("_day",))
-    summed = running(place(slots, series), series, {"daily_pnl": ("sum", F.col("net_pnl"))})
-    return summed.drop("_day", SLOT, BLOCK)
+    places = [F.col(time), *(F.col(c) for c in order)]
+    totals = {"daily_pnl": ("sum", F.col("net_pnl"))}
+    return running_rows(dated, ["_day"], places, F.date_trunc("minute", F.col(time)), totals).drop("_day")
 
 
 def max_loss(notional: Column) -> Column:
@@ -136,21 +159,20 @@ def account_state(
         events = events.unionByName(more, allowMissingColumns=True)
     # Rows of equal time and kind differ in nothing that a signal can see.
     places = [F.col(time), F.col("_kind"), *map(F.col, tie)]
-    slots = row_slots(events, [account], places, F.date_trunc("hour", F.col(time)))
-    series = Series((account,))
-    totals = {"_open": ("sum", F.col("_count")), "_exposure": ("sum", F.col("_cash")), "_gain": ("sum", F.col("_pnl"))}
+    totals = {
+        "_open": ("sum", F.col("_count")),
+        "_exposure": ("sum", F.col("_cash")),
+        "_gain": ("sum", F.col("_pnl")),
+        "_today": ("sum", F.col("_pnl"), F.to_date),
+    }
     if guard is not None:
         totals["_status"] = ("last", F.col("_guard"))
-    summed = running(place(slots, series), series, totals).withColumn("_day", F.to_date(time))
-    days = events.groupBy(account, F.to_date(time).alias("_day")).agg(F.sum("_pnl").alias("_sum"))
-    earlier = Window.partitionBy(account).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(account, "_day", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_base"))
-    state = join_on(summed.where("_kind = 1"), days, [account, "_day"])
+    state = running_rows(events, [account], places, F.date_trunc("hour", F.col(time)), totals).where("_kind = 1")
     gain = F.coalesce(F.col("_gain"), F.lit(0.0))
     added = {
         "open_positions": F.coalesce(F.col("_open"), F.lit(0)),
         "open_exposure": F.coalesce(F.col("_exposure"), F.lit(0.0)),
-        "daily_pnl": gain - F.col("_base"),
+        "daily_pnl": F.coalesce(F.col("_today"), F.lit(0.0)),
         "portfolio_value": gain + start_value,
     }
     if guard is not None:
@@ -167,9 +189,7 @@ def portfolio_updates(
     """(account, time, equity): the portfolio value after the closes of each moment, as `drawdown_guard` reads it."""
     done = closed.where("known").join(opens.select(id, account), id)
     moments = done.groupBy(account, F.col("exit_time").alias(time)).agg(F.sum("net_pnl").alias("_pnl"))
-    series = Series((account,))
-    slots = row_slots(moments, [account], [F.col(time)], F.to_date(time))
-    summed = running(place(slots, series), series, {"_gain": ("sum", F.col("_pnl"))})
+    summed = running_rows(moments, [account], [F.col(time)], F.to_date(time), {"_gain": ("sum", F.col("_pnl"))})
     return summed.select(account, time, (F.col("_gain") + start_value).alias("equity"))
 
 

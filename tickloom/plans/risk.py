@@ -115,7 +115,9 @@ def drawdown_guard(spark: SparkSession, sf_dir: str, **blocks: int) -> DataFrame
 
 
 def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions.close_positions(views.positions(spark, sf_dir), views.closes(spark, sf_dir))
+    # Read for the opens and, twice, for their closes.
+    opens = materialize(views.positions(spark, sf_dir).drop("account", "l_extendedprice"))
+    return positions.close_positions(opens, views.closes(opens))
 
 
 def position_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +142,14 @@ def running_daily_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What the state of an account depends on.
+CLOSED = ["position_id", "close_seq", "exit_size", "exit_time", "net_pnl", "remaining_size", "known"]
+
+
 def _desk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Opens, closes and drawdown status of the accounts of the desks."""
     opens = materialize(views.desk_positions(spark, sf_dir))
-    closed = materialize(positions.close_positions(opens, views.closes(spark, sf_dir)))
+    closed = materialize(positions.close_positions(opens, views.closes(opens)).select(*CLOSED))
     updates = positions.portfolio_updates(opens, closed, start_value=DESK_VALUE)
     return opens, closed, materialize(drawdown.drawdown_guard(updates))
 
