@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,33 @@ def test_one_sided_points_are_left_out(spark):
         assert sorted(books(book.dense_book(listed).collect())) == [2, 3, 7]
 
 
+def test_short_runs_of_the_book(spark):
+    rows = [("A", T0 + timedelta(seconds=(i * 7) % 60 + 0.5), i, ("bid", "ask")[i % 2], float((i * 13) % 40 + 100 * (i % 2)), float(i % 5)) for i in range(400)]
+    made = spark.createDataFrame(rows, DELTAS)
+    want = sorted(book.reconstruct(made, 10, levels=3).collect())
+    assert len(want) == 6 * 2 * 3
+    for run_rows in (1, 150):
+        assert sorted(book.reconstruct(made, 10, levels=3, block_rows=1, run_rows=run_rows).collect()) == want
+
+
+def test_a_book_that_only_grows_is_not_copied_along(spark, monkeypatch):
+    rows = [("A", T0 + timedelta(seconds=i), i, side, sign * (1000.0 + i), 1.0) for i in range(512) for side, sign in (("bid", -1), ("ask", 1))]
+    sizes = []
+    kept = book.materialize
+    monkeypatch.setattr(book, "materialize", lambda df: [made := kept(df), sizes.append(made.count())][0])
+    listed = book.reconstruct(spark.createDataFrame(rows, DELTAS), 1, levels=2, block_rows=8)
+    assert listed.count() == 2 * (1 + 2 * 511) and sum(sizes) < 16
+
+
+def test_merged_changes_equal_single_ones():
+    one, many = book.Ladder([1.0, 2.0, 4.0], [1.0, 1.0, 1.0]), book.Ladder([1.0, 2.0, 4.0], [1.0, 1.0, 1.0])
+    changes = [(3.0, 2.0), (1.0, 0.0), (4.0, 5.0), (0.5, 0.0), (6.0, 1.0)]
+    for rank, qty in changes:
+        one.change(rank, qty)
+    many.merge(*map(np.array, zip(*changes, strict=True)))
+    assert (many.ranks, many.qty) == (one.ranks, one.qty) == ([2.0, 3.0, 4.0, 6.0], [1.0, 2.0, 5.0, 1.0])
+
+
 def test_live_book_equals_batch(spark, tmp_path):
     df = deltas(spark)
     end = spark.createDataFrame([("B", T0 + timedelta(seconds=60), 99, "bid", 1.0, 1.0)], DELTAS)
