@@ -2,9 +2,11 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from tickloom.operators import drawdown, ranges
+from tickloom.operators import blocks, drawdown, ranges
+from tickloom.operators.blocks import Series
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -110,3 +112,25 @@ def test_values_at_and_below_zero(spark):
     assert [x.peak_equity for x in made] == [-5.0, -3.0, -3.0, -3.0, 0.0, 0.0, 0.0, 0.0]
     assert [x.days_in_drawdown for x in made] == [0, 0, 0, 1, 0, 1, 2, 3]
     assert not any(x.is_triggered for x in made)
+
+
+@pytest.mark.parametrize("together", [1, 21, 100])
+def test_short_blocks_are_handed_over_together(spark, monkeypatch, together):
+    r = random.Random(8)
+    rows, e = [], 100e3
+    for k in range(300):
+        e *= 1 + (r.uniform(-0.001, 0.0005) if k % 50 < 35 else r.uniform(-0.03, 0.03))
+        rows.append((r.choice(["a", None]), T0 + timedelta(hours=7 * k), k, e))
+    df = spark.createDataFrame(rows, "account string, ts timestamp, step long, equity double")
+    want = sorted(map(str, drawdown.drawdown_guard(df, order=["ts", "step"]).collect()))
+    monkeypatch.setattr(blocks, "DEFAULT_ROWS", together)
+    made = drawdown.drawdown_guard(df, order=["ts", "step"], block_rows=7, warm_up=3)
+    assert sorted(map(str, made.collect())) == want
+
+
+def test_pairs_of_short_blocks_make_few_groups():
+    n = 2000
+    table = pd.DataFrame({"account": "a", "_block": range(n), "first_at": range(0, 10 * n, 10), "last_at": range(9, 10 * n, 10)})
+    pairs = ranges._pairs(table.assign(high=1.0, low=1.0, fall=0.0), ["account"], 55, Series(("account",), 128).together)
+    assert pairs["_block"].nunique() == n and pairs["_group"].nunique() <= 2 * n / 512 + 1
+    assert pairs.groupby("_group").size().max() <= 512

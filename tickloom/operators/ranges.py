@@ -4,22 +4,26 @@ A window that ends in a block starts in an earlier one (or in the same). Its
 extremes are those of the tail of the first block, of the whole blocks between and
 of the head of the last. Heads and tails are running values; the blocks between
 are answered from a table with one row per block. One task holds a block and the
-block in which some of its windows start, never a series or a span of time, so it
-does not matter how unevenly rows lie in time.
+block in which some of its windows start, or as many such pairs of short blocks as
+make up `DEFAULT_ROWS`, never a series or a span of time, so it does not matter how
+unevenly rows lie in time.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.blocks import BLOCK, SLOT, Series, gather, join_on
+from tickloom.operators.blocks import BLOCK, SLOT, STRETCH, Series, cuts, gather, join_on
 from tickloom.session import materialize
 
 START = "_start"  # the block in which a window starts
+GROUP = "_group"  # pairs of blocks that are handled together
 NEAR = 0.99
 
 
@@ -126,7 +130,7 @@ def trailing_status(df: DataFrame, series: Series, length: int, at: str, value:
     of the last row whose value is within 1% of the highest (the last highest one
     where that is not above 0).
     """
-    keys, home = list(series.keys), series.home
+    keys, home, together = list(series.keys), series.home, series.together
     rows = df.select(*keys, series.block_of(F.col(SLOT)).alias(BLOCK), SLOT, F.col(at).alias("at"), F.col(value).alias("x"))
     named = {f.name: f.dataType for f in rows.schema.fields}
 
@@ -139,19 +143,21 @@ def trailing_status(df: DataFrame, series: Series, length: int, at: str, value:
 
     def summary(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(SLOT)
-        high, low, fall = heads(frame["x"].to_numpy(float))
-        head = frame.iloc[[0]][home].reset_index(drop=True)
-        return head.assign(first_at=frame["at"].iloc[0], last_at=frame["at"].iloc[-1], high=high[-1], low=low[-1], fall=fall[-1])
-
-    blocks = materialize(rows.groupBy(*home).applyInPandas(summary, schema(first_at=long, last_at=long, **extremes)))
-    pair_schema = schema(**{START: long, "above": long, "upto": long, **extremes})
-    pairs = materialize(blocks.groupBy(*keys).applyInPandas(lambda f: _pairs(f, keys, length), pair_schema))
-
-    own = join_on(rows, pairs.select(*home, START), home).withColumn("_own", F.lit(True))
-    others = pairs.where(F.col(START) != F.col(BLOCK)).select(*keys, F.col(BLOCK).alias("_into"), F.col(START).alias(BLOCK))
-    lent = join_on(rows, others, home).withColumn(START, F.col(BLOCK)).withColumn(BLOCK, F.col("_into")).drop("_into")
-    meeting = [*home, START]
-    held = gather(own.unionByName(lent.withColumn("_own", F.lit(False))), meeting)
+        x, time = frame["x"].to_numpy(float), frame["at"].to_numpy(np.int64)
+        _, begin, end = (np.array(v) for v in zip(*cuts(frame[BLOCK].to_numpy(np.int64)), strict=True))
+        whole = [[v[-1] for v in heads(x[a:b])] for a, b in zip(begin, end, strict=True)]
+        out = frame.iloc[begin][home].reset_index(drop=True).assign(first_at=time[begin], last_at=time[end - 1])
+        return out.assign(**dict(zip(extremes, np.array(whole).T, strict=True)))
+
+    stretches = rows.withColumn(STRETCH, series.stretch_of(F.col(BLOCK))).groupBy(*keys, STRETCH)
+    blocks = materialize(stretches.applyInPandas(summary, schema(first_at=long, last_at=long, **extremes)))
+    pair_schema = schema(**{START: long, "above": long, "upto": long, **extremes, GROUP: long})
+    pairs = materialize(blocks.groupBy(*keys).applyInPandas(lambda f: _pairs(f, keys, length, together), pair_schema))
+
+    # A block goes once to each group that has a pair of it.
+    meeting = [*keys, GROUP]
+    needed = pairs.select(*home, GROUP).union(pairs.select(*keys, START, GROUP)).distinct()
+    held = gather(join_on(rows, needed, home), meeting)
     made = schema(**{SLOT: long, "at": long, "x": double, "high": double, "fall": double, "near": double, "near_at": long})
     found = materialize(
         held.groupBy(*meeting)
@@ -170,7 +176,7 @@ def _again(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(c) for c in df.columns))
 
 
-def _pairs(blocks: pd.DataFrame, keys: list[str], length: int) -> pd.DataFrame:
+def _pairs(blocks: pd.DataFrame, keys: list[str], length: int, together: int) -> pd.DataFrame:
     """For every block the blocks in which its windows start, and the extremes of the blocks between.
 
     A window that ends at time t starts in the last block that begins before
@@ -195,29 +201,47 @@ def _pairs(blocks: pd.DataFrame, keys: list[str], length: int) -> pd.DataFrame:
     out[BLOCK], out[START] = number[into], number[start]
     out["above"], out["upto"] = np.where(start == 0, least, first[start]), ends[start + 1]
     out["high"], out["low"], out["fall"] = between
+    out[GROUP] = np.arange(len(into)) // together
     return out
 
 
-def _windows(frame: pd.DataFrame, pair: pd.DataFrame, home: list[str], length: int, names: list[str]) -> pd.DataFrame:
-    """Windows that end in a block and start in another (or the same)."""
-    if frame.empty or pair.empty:
+def _windows(frame: pd.DataFrame, pairs: pd.DataFrame, home: list[str], length: int, names: list[str]) -> pd.DataFrame:
+    """Windows that end in a block and start in another (or the same), for all pairs of a group."""
+    if frame.empty or pairs.empty:
         return pd.DataFrame(columns=names)
-    pair = pair.iloc[0]
     frame = frame.sort_values(SLOT, ignore_index=True)
-    own, lent = frame[frame["_own"]], frame[~frame["_own"]]
-    x, at = own["x"].to_numpy(float), own["at"].to_numpy(np.int64)
-    begin = at - length
-    rows = np.flatnonzero((begin > pair["above"]) & (begin <= pair["upto"]))
-    if not len(rows):
+    x, at = frame["x"].to_numpy(float), frame["at"].to_numpy(np.int64)
+    of = {block: slice(begin, end) for block, begin, end in cuts(frame[BLOCK].to_numpy(np.int64))}
+    places, made = [], []
+    for pair in pairs.itertuples(index=False):
+        pair = dict(zip(pairs.columns, pair, strict=True))
+        own, source = of[pair[BLOCK]], of[pair[START]]
+        begin = at[own] - length
+        rows = np.flatnonzero((begin > pair["above"]) & (begin <= pair["upto"]))
+        if len(rows):
+            places.append(rows + own.start)
+            made.append(_pair_windows(pair, rows, x[own], at[own], x[source], at[source], length))
+    if not places:
         return pd.DataFrame(columns=names)
+    rows = np.concatenate(places)
+    high, fall, near, near_at, known = (np.concatenate(v) for v in zip(*made, strict=True))
+    out = frame.iloc[rows][home].reset_index(drop=True)
+    out[SLOT], out["at"], out["x"] = frame[SLOT].to_numpy()[rows], at[rows], x[rows]
+    out["high"], out["fall"], out["near"] = high, fall, near
+    out["near_at"] = pd.arrays.IntegerArray(near_at.astype(np.int64), ~known)
+    return out[names]
+
+
+def _pair_windows(pair: dict, rows: np.ndarray, x, at, source, source_at, length: int):
+    """Highest value, deepest fall, bound of near values, time of the last near row and whether it is known, for `rows` of a block."""
+    begin = at[rows] - length
     same = pair[START] == pair[BLOCK]
     if same:
         # Before the first row of the series there is nothing, so 0 is right there too.
-        first = np.searchsorted(at, begin[rows], "left")
+        first = np.searchsorted(at, begin, "left")
         high, _, fall = Ranges(x, x, np.where(np.isnan(x), np.nan, 0.0)).query(first, rows)
     else:
-        source, source_at = lent["x"].to_numpy(float), lent["at"].to_numpy(np.int64)
-        first = np.searchsorted(source_at, begin[rows], "left")
+        first = np.searchsorted(source_at, begin, "left")
         tail = [np.append(v, np.nan)[first] for v in tails(source)]
         middle = [np.full(len(rows), float(pair[c])) for c in ("high", "low", "fall")]
         before = joined(tail, middle)
@@ -233,12 +257,7 @@ def _windows(frame: pd.DataFrame, pair: pd.DataFrame, home: list[str], length: i
         hit = tail_ & (place >= 0)
         near_at[hit] = source_at[place[hit]]
         known |= hit
-    out = own.iloc[rows][home].reset_index(drop=True)
-    out[SLOT], out["at"], out["x"] = own[SLOT].to_numpy()[rows], at[rows], x[rows]
-    out["high"], out["fall"], out["near"] = high, np.fmax(fall, 0.0), near
-    out["near_at"] = pd.array(near_at, "Int64")
-    out.loc[~known, "near_at"] = pd.NA
-    return out[names]
+    return high, np.fmax(fall, 0.0), near, near_at, known
 
 
 def _between(rows: DataFrame, blocks: DataFrame, open_: DataFrame, series: Series, schema) -> DataFrame:
@@ -248,7 +267,7 @@ def _between(rows: DataFrame, blocks: DataFrame, open_: DataFrame, series: Serie
     hold it; this falling list is carried along the table of blocks. A row takes the
     last of them that reaches its bound and meets that block's rows.
     """
-    keys, home = list(series.keys), series.home
+    keys, home, together = list(series.keys), series.home, series.together
     double = T.DoubleType()
     asked = open_.groupBy(*home).agg(F.min("near").alias("least"), F.max("near").alias("most"))
     table = join_on(blocks.select(*home, "high"), asked, home, "left")
@@ -259,13 +278,14 @@ def _between(rows: DataFrame, blocks: DataFrame, open_: DataFrame, series: Serie
         made = []
         for block, high, least, most in frame[[BLOCK, "high", "least", "most"]].itertuples(index=False):
             if least == least:
-                above = -np.inf
-                for source, top in reversed(falling):
-                    if top >= least:
-                        made.append((block, source, above, top))
+                # Those below `least` are passed over at once.
+                last = bisect_right(falling, -least, key=lambda item: -item[1])
+                above = falling[last][1] if last < len(falling) else -np.inf
+                while last and not above >= most:
+                    last -= 1
+                    source, top = falling[last]
+                    made.append((block, source, above, top))
                     above = top
-                    if top >= most:
-                        break
             while falling and not falling[-1][1] > high:
                 falling.pop()
             if high == high:
@@ -273,21 +293,28 @@ def _between(rows: DataFrame, blocks: DataFrame, open_: DataFrame, series: Serie
         out = pd.DataFrame(made, columns=[BLOCK, START, "over", "top"])
         for k in keys:
             out[k] = frame[k].iloc[0]
-        return out[[*home, START, "over", "top"]]
+        out[GROUP] = np.arange(len(out)) // together
+        return out[[*home, START, "over", "top", GROUP]]
 
-    pairs = materialize(table.groupBy(*keys).applyInPandas(walk, schema(**{START: T.LongType(), "over": double, "top": double})))
+    pair_schema = schema(**{START: T.LongType(), "over": double, "top": double, GROUP: T.LongType()})
+    pairs = materialize(table.groupBy(*keys).applyInPandas(walk, pair_schema))
     sent = join_on(open_, pairs, home).where("near > over and near <= top")
-    into = pairs.select(*keys, F.col(BLOCK).alias("_into"), F.col(START).alias(BLOCK))
-    lent = _again(join_on(rows, into, home)).withColumn(START, F.col(BLOCK)).withColumn(BLOCK, F.col("_into")).drop("_into")
-    meeting = [*home, START]
+    meeting = [*keys, GROUP]
+    lent = _again(join_on(rows, pairs.select(*keys, F.col(START).alias(BLOCK), GROUP).distinct(), home))
     columns = [*keys, SLOT, "at", "x", "high", "fall", "near_at"]
 
     def settle(asks: pd.DataFrame, source: pd.DataFrame) -> pd.DataFrame:
         if asks.empty or source.empty:
             return pd.DataFrame(columns=columns)
         source = source.sort_values(SLOT, ignore_index=True)
-        places = last_at_least(source["x"].to_numpy(float), np.full(len(asks), len(source) - 1), asks["near"].to_numpy(float))
-        return asks.assign(near_at=source["at"].to_numpy(np.int64)[places])[columns]
+        x, at = source["x"].to_numpy(float), source["at"].to_numpy(np.int64)
+        of = {block: slice(begin, end) for block, begin, end in cuts(source[BLOCK].to_numpy(np.int64))}
+        asks = asks.sort_values(START, ignore_index=True)
+        near, found = asks["near"].to_numpy(float), []
+        for block, begin, end in cuts(asks[START].to_numpy(np.int64)):
+            own = of[block]
+            found.append(at[own][last_at_least(x[own], np.full(end - begin, own.stop - own.start - 1), near[begin:end])])
+        return asks.assign(near_at=np.concatenate(found))[columns]
 
     fields = [f for f in open_.schema.fields if f.name in columns]
     out = T.StructType(sorted(fields, key=lambda f: columns.index(f.name)))

@@ -16,13 +16,14 @@ import logging
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators import transfer
-from tickloom.operators.blocks import BLOCK, OWN, SLOT, Series, gather, join_on, place, with_halo
+from tickloom.operators.blocks import BLOCK, OWN, SLOT, STRETCH, Series, cuts, gather, join_on, place, with_halo
 from tickloom.session import materialize
 
 WARM_UP = 2048
@@ -47,11 +48,11 @@ class Machine:
     follow: Callable[[list[float], list[float]], list[float] | None] | None = None
 
 
-def _step_all(machines: Sequence[Machine], states, frame: pd.DataFrame):
-    """Run every machine over one frame of consecutive rows."""
+def _step_all(machines: Sequence[Machine], states, lists: dict[str, list], rows: slice):
+    """Run every machine over consecutive rows."""
     made, left = {}, []
     for machine, state in zip(machines, states, strict=True):
-        columns = [frame[c].tolist() for c in machine.inputs]
+        columns = [lists[c][rows] for c in machine.inputs]
         results, end = machine.run(state, columns)
         made.update(zip(machine.outputs, results, strict=True))
         left.append([float(v) for v in end])
@@ -71,7 +72,6 @@ def ordered_pass(df: DataFrame, series: Series, machines: Sequence[Machine], war
     """Add the outputs of the machines to `df`, which carries `_slot`."""
     # The rows are read several times, so what leads to them is run once.
     df = materialize(df)
-    home = series.home
     machines = list(machines)
     inputs = list(dict.fromkeys(c for m in machines for c in m.inputs))
     outputs = [c for m in machines for c in m.outputs]
@@ -80,23 +80,36 @@ def ordered_pass(df: DataFrame, series: Series, machines: Sequence[Machine], war
     )
     order = [f.name for f in result_schema.fields]
     enter = _entering_states(df.select(*series.keys, SLOT, *inputs), series, machines, warm_up)
-    rows = place(df, series)
+    stretch = [*series.keys, STRETCH]
 
     def resumed(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
             return pd.DataFrame(columns=order)
         frame = frame.sort_values(SLOT, ignore_index=True)
-        made, _ = _step_all(machines, _unpack(state["enter"].iloc[0], machines), frame)
+        lists = {c: frame[c].tolist() for c in inputs}
+        states = dict(zip(state[BLOCK].tolist(), state["enter"], strict=True))
+        made: dict[str, list] = {c: [] for c in outputs}
+        for block, begin, end in cuts(frame[BLOCK].to_numpy(np.int64)):
+            results, _ = _step_all(machines, _unpack(states[block], machines), lists, slice(begin, end))
+            for c, values in results.items():
+                made[c] += values
         return frame.assign(**made)[order]
 
     return (
-        rows.groupBy(*home)
-        .cogroup(enter.groupBy(*home))
+        gather(_stretched(df, series), stretch)
+        .groupBy(*stretch)
+        .cogroup(enter.withColumn(STRETCH, series.stretch_of(F.col(BLOCK))).groupBy(*stretch))
         .applyInPandas(resumed, result_schema)
         .drop(BLOCK)
     )
 
 
+def _stretched(df: DataFrame, series: Series) -> DataFrame:
+    """Blocks, and the stretches of short blocks that are handed to Python together."""
+    placed = df.withColumn(BLOCK, series.block_of(F.col(SLOT)))
+    return placed.withColumn(STRETCH, series.stretch_of(F.col(BLOCK)))
+
+
 def _exact(state) -> tuple:
     return tuple(repr(float(v)) for v in state)
 
@@ -138,37 +151,51 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
     tail = [T.StructField(c, STATE) for c in ("enter", "leave", "functions")] + [T.StructField("round", T.LongType())]
     schema = T.StructType([*fields, *tail])
 
-    def made(own: pd.DataFrame, enter: list, leave: list, functions: list, number: int) -> pd.DataFrame:
-        head = own.iloc[[0]][home].reset_index(drop=True)
-        columns = {"enter": enter, "leave": leave, "functions": functions}
-        return head.assign(**{c: pd.Series([v]) for c, v in columns.items()}, round=number)
+    names = [f.name for f in schema.fields]
+    inputs = list(dict.fromkeys(c for m in machines for c in m.inputs))
+    stretch = [*series.keys, STRETCH]
+
+    def made(frame: pd.DataFrame, tried: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(tried, columns=[BLOCK, "enter", "leave", "functions", "round"])
+        return out.assign(**{k: pd.Series([frame[k].iloc[0]] * len(out), dtype=frame[k].dtype) for k in series.keys})[names]
 
-    nothing = pd.DataFrame(columns=[f.name for f in schema.fields])
+    nothing = pd.DataFrame(columns=names)
 
     def guess(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(SLOT, ignore_index=True)
-        halo, own = frame[~frame[OWN]], frame[frame[OWN]]
-        if own.empty:
-            return nothing
-        states = [None] * len(machines)
-        functions = [[] for _ in machines]
-        if not halo.empty:
-            _, states = _step_all(machines, states, halo)
-            functions = [
-                m.transfer([own[c].tolist() for c in m.inputs], [float(halo[c].iloc[-1]) for c in m.inputs]) if m.transfer else []
-                for m in machines
-            ]
-        _, leave = _step_all(machines, states, own)
-        return made(own, states if not halo.empty else [], leave, functions, 0)
+        lists = {c: frame[c].tolist() for c in inputs}
+        slot, own = frame[SLOT].to_numpy(np.int64), frame[OWN].to_numpy(bool)
+        tried = []
+        # Halo rows come before all others.
+        for block, begin, end in cuts(np.where(own, slot // series.rows, np.iinfo(np.int64).min)):
+            if not own[begin]:
+                continue
+            halo = int(np.searchsorted(slot, block * series.rows - warm_up))
+            states = [None] * len(machines)
+            functions = [[] for _ in machines]
+            if halo < begin:
+                _, states = _step_all(machines, states, lists, slice(halo, begin))
+                functions = [
+                    m.transfer([lists[c][begin:end] for c in m.inputs], [float(lists[c][begin - 1]) for c in m.inputs]) if m.transfer else []
+                    for m in machines
+                ]
+            _, leave = _step_all(machines, states, lists, slice(begin, end))
+            tried.append((block, states if halo < begin else [], leave, functions, 0))
+        return made(frame, tried) if tried else nothing
 
     def again(number: int):
         def run(frame: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
             if frame.empty or state.empty:
                 return nothing
             frame = frame.sort_values(SLOT, ignore_index=True)
-            enter = _unpack(state["enter"].iloc[0], machines)
-            _, leave = _step_all(machines, enter, frame)
-            return made(frame, [s or [] for s in enter], leave, [[] for _ in machines], number)
+            lists = {c: frame[c].tolist() for c in inputs}
+            states = dict(zip(state[BLOCK].tolist(), state["enter"], strict=True))
+            tried = []
+            for block, begin, end in cuts(frame[BLOCK].to_numpy(np.int64)):
+                enter = _unpack(states[block], machines)
+                _, leave = _step_all(machines, enter, lists, slice(begin, end))
+                tried.append((block, [s or [] for s in enter], leave, [[] for _ in machines], number))
+            return made(frame, tried)
 
         return run
 
@@ -180,7 +207,10 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
         block, enter, done = zip(*steps, strict=True)
         return out.assign(**{BLOCK: block, "enter": list(enter), "done": done})[[f.name for f in walked.fields]]
 
-    tried = materialize(with_halo(df, series, warm_up).groupBy(*home).applyInPandas(guess, schema))
+    # Only the first block of a stretch needs rows of another.
+    longer = Series(series.keys, series.rows * series.together)
+    spread = with_halo(df, longer, warm_up)
+    tried = materialize(spread.groupBy(*longer.home).applyInPandas(guess, schema))
     number = 0
     while True:
         number += 1
@@ -190,9 +220,9 @@ def _entering_states(df: DataFrame, series: Series, machines, warm_up: int) -> D
         if open_steps.isEmpty():
             return steps.select(*home, "enter")
         log.info("ordered pass: round %d", number)
-        rows = df.withColumn(BLOCK, series.block_of(F.col(SLOT)))
-        rows = join_on(rows, open_steps.select(*home), home, "left_semi")
-        more = gather(rows, home).groupBy(*home).cogroup(open_steps.groupBy(*home)).applyInPandas(again(number), schema)
+        rows = join_on(_stretched(df, series), open_steps.select(*home), home, "left_semi")
+        asked = open_steps.withColumn(STRETCH, series.stretch_of(F.col(BLOCK)))
+        more = gather(rows, stretch).groupBy(*stretch).cogroup(asked.groupBy(*stretch)).applyInPandas(again(number), schema)
         tried = tried.unionByName(materialize(more))
 
 
