@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars, book, quality
+from tickloom.operators.blocks import SLOT, Series
+from tickloom.operators.graph import Graph
+from tickloom.plans import market
 from tickloom.sources import raw, sinks
 from tickloom.sources.daily import process_days
 from tickloom.streaming import market as live
@@ -307,3 +310,53 @@ def test_a_line_is_parsed_once(spark):
         made = rows(raw.parse_lines(lines, schema))
         assert made._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
         assert made.count() == (1 if schema is raw.BOOK_SCHEMA else 0)
+
+
+def nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """400 events of one type, four a second, one of them without a value."""
+    rows = [(i, T0 + timedelta(milliseconds=250 * i), 1, "A", None if i == 350 else 100.0 + i % 7, "") for i in range(400)]
+    folder = tmp_path_factory.mktemp("events")
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_complete_rows_shuffle_what_they_read(spark, events):
+    made = market.complete_rows(spark, events)
+    plan = made._jdf.queryExecution().optimizedPlan()
+    # Rows are counted for their numbers before the trade flow, which then runs once.
+    assert sum("_late" in node.simpleString(100) for node in nodes(plan) if node.nodeName() == "Generate") == 1
+    assert max(node.output().size() for node in nodes(plan) if node.nodeName() == "Window") < 70
+    assert {r["update_id"] for r in made.collect()} == set(range(299, 400)) - {350}
+
+
+def test_folded_columns_drop_the_same_rows(spark):
+    rows = [(1, 1.0, "a", 2.0), (2, None, "a", 2.0), (3, 1.0, None, 2.0), (4, float("nan"), "a", 2.0), (5, 1.0, "a", None), (None, 1.0, "a", 2.0)]
+    df = spark.createDataFrame(rows, "i long, x double, s string, y double")
+    folded = quality.fold_incomplete(df, ["x", "s"], "_whole")
+    assert folded.columns == ["i", "y", "_whole"]
+    assert [r["i"] for r in quality.drop_incomplete(folded).collect()] == [r["i"] for r in quality.drop_incomplete(df).collect()] == [1]
+
+
+def test_long_variances_are_merged(spark):
+    rng = np.random.default_rng(5)
+    x = np.r_[1e4 + rng.normal(0, 1, 900).cumsum(), np.full(400, 0.1)]
+    df = spark.createDataFrame([("A", i, float(v)) for i, v in enumerate(x)], f"symbol string, {SLOT} long, x double")
+    g = Graph(Series(rows=512), ["x"], complete=True)
+    made = g.evaluate(df, {f"v{n}": g.var(g.source("x"), n) for n in (30, 60, 300)}, ["symbol", SLOT])
+    assert "RowFrame, -299, currentrow" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.toPandas().sort_values(SLOT, ignore_index=True)
+    for n in (30, 60, 300):
+        wanted = [np.nan if i < n - 1 else x[i - n + 1 : i + 1].var(ddof=1) for i in range(len(x))]
+        np.testing.assert_allclose(got[f"v{n}"].astype(float), wanted, rtol=1e-9, atol=1e-12)
+        assert (got[f"v{n}"][900 + n :] == 0).all()
+
+
+def test_methods_stay_below_what_the_jvm_compiles(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
