@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from made_up import prose, rows_of, word
 
+from tickloom.llm import components as links_of
 from tickloom.llm import jaccard_join
 from tickloom.llm.components import components
 
@@ -90,3 +91,39 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert {got[k] for k in range(100, 161)} == {100} and {got[k] for k in range(200, 260)} == {7}
     assert got[302] == 300 and len(got) == 61 + 61 + 3
+
+
+def test_few_links_settle_without_a_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(links_of, "materialize", lambda df, write=links_of.materialize: written.append(1) or write(df))
+    links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long").repartition(3)).collect()}
+    assert set(got.values()) == {7, 100} and len(written) == 1
+
+
+@pytest.mark.parametrize("at_once", [1, 50])
+def test_components_of_links_cut_into_small_parts(spark, monkeypatch, at_once):
+    monkeypatch.setattr(links_of, "LINKS_AT_ONCE", at_once)
+    monkeypatch.setattr(links_of, "_settled", lambda edges, ask=links_of._settled: rounds.append(1) or ask(edges))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    rounds = []
+    r = random.Random(3)
+    nodes = r.sample(range(10**12), 500)
+    links = [(nodes[k], nodes[k + 1]) for k in range(499) if k % 100 != 99] + [(None, 5), (5, 5), (nodes[0], nodes[1])]
+    r.shuffle(links)
+    try:
+        got = sorted(tuple(x) for x in components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert got == sorted((nodes[k], min(nodes[k // 100 * 100 : k // 100 * 100 + 100])) for k in range(500))
+    assert len(rounds) > 1
+
+
+def test_tied_against_walking():
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 300, (2, 200))
+    root = np.arange(300)
+    for _ in range(300):
+        for x, y in zip(a, b):
+            root[[x, y]] = root[[x, y]].min()
+    assert np.array_equal(links_of.tied(300, a, b), root)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import words
-from tickloom.llm.components import components
+from tickloom.llm.components import components, tied
 from tickloom.session import materialize
 
 ORDER_BITS = 20
@@ -155,20 +155,6 @@ def _describe(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
     return docs.select("_text", *kept).mapInArrow(run, f"{fields}, n long, f1 long, f2 long, prefix array<long>, signature binary, fine binary")
 
 
-def _tied(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of ``size`` items the least item that the pairs (a, b) tie it to."""
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def _alike(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Whether the signatures allow that at most ``most`` shingles are in one set only."""
     good = np.bitwise_count(rows["signature"][a] ^ rows["signature"][b]).sum(-1, dtype=np.int64) <= most
@@ -225,7 +211,7 @@ def _list_ties(percent: int):
             a, b = a[good], b[good]
             if len(a):
                 node, at_node = np.unique(rows["node"][np.concatenate([a, b])], return_inverse=True)
-                least = _tied(len(node), at_node[: len(a)], at_node[len(a) :])
+                least = tied(len(node), at_node[: len(a)], at_node[len(a) :])
                 own = np.flatnonzero(least != np.arange(len(node)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[least[own]])], ["u", "v"])
 
@@ -484,6 +470,7 @@ def jaccard_classes(
         _bucket_counts(rows.select("_text"), shingles, ORDER_BITS).astype(np.uint32)
     )
     described = materialize(_describe(rows, order, size, percent).withColumn("_row", F.monotonically_increasing_id()))
+    order.destroy()  # the table is written; driver and executors need not keep its copies
     classes = materialize(
         described.where("n > 0")
         .groupBy("f1", "f2", "n")
