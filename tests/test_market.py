@@ -175,6 +175,33 @@ def test_a_book_that_only_grows_is_not_copied_along(spark, monkeypatch):
     assert listed.count() == 2 * (1 + 2 * 511) and sum(sizes) < 16
 
 
+def test_changes_no_listing_shows_are_not_kept(spark, monkeypatch):
+    rows = []
+    for i in range(16000):
+        # A large odd number deals prices; a fifth of the changes remove a level.
+        deep, side = i * 7919 % 2003 + 1, ("bid", "ask")[i % 2]
+        rows.append(("A", T0 + timedelta(seconds=i // 40), i, side, 5000.0 - deep if side == "bid" else 5000.0 + deep, float(i * 31 % 5)))
+    made = spark.createDataFrame(rows, DELTAS)
+    want = sorted(book.reconstruct(made, 1, levels=2).collect())
+    sizes = []
+    kept = book.materialize
+    monkeypatch.setattr(book, "materialize", lambda df: [done := kept(df), sizes.append(done.count())][0])
+    assert sorted(book.reconstruct(made, 1, levels=2, block_rows=2000, run_rows=2000).collect()) == want
+    assert len(want) == 400 * 4 and sum(sizes) < 8000
+
+
+def test_a_book_that_loses_its_best_levels_is_walked_deeper(spark):
+    best, deep = [*range(1, 301)], [*range(1001, 1101)]
+    changes = [(d, 1.0) for d in deep] + [(d, 2.0) for d in best] + [(d, 0.0) for d in best] + [(deep[0], 3.0)]
+    rows = [
+        ("A", T0 + timedelta(seconds=i), i, side, 5000.0 + sign * d, q) for i, (d, q) in enumerate(changes) for side, sign in (("bid", -1), ("ask", 1))
+    ]
+    made = spark.createDataFrame(rows, DELTAS)
+    want = sorted(book.reconstruct(made, 1, levels=3).collect())
+    assert sorted(book.reconstruct(made, 1, levels=3, block_rows=200, run_rows=200).collect()) == want
+    assert [(r.price, r.qty) for r in want if r.ts == T0 + timedelta(seconds=700) and r.side == "bid"] == [(3999.0, 3.0), (3998.0, 1.0), (3997.0, 1.0)]
+
+
 def test_merged_changes_equal_single_ones():
     one, many = book.Ladder([1.0, 2.0, 4.0], [1.0, 1.0, 1.0]), book.Ladder([1.0, 2.0, 4.0], [1.0, 1.0, 1.0])
     changes = [(3.0, 2.0), (1.0, 0.0), (4.0, 5.0), (0.5, 0.0), (6.0, 1.0)]
