@@ -1,3 +1,4 @@
+import collections
 from datetime import datetime, timedelta
 
 import pytest
@@ -145,6 +146,28 @@ def test_account_state_follows_guard_and_positions(spark):
     assert [got[n].drawdown_triggered for n in (2, 4, 5, 99)] == [False, False, True, False] and got[4].drawdown == 0.02
 
 
+def test_moves_and_signals_of_a_moment_are_one_row(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    opens = spark.createDataFrame(
+        [("a" if i % 2 else None, i, 4.0, 10.0 + i % 3, "long", at(i % 2)) for i in range(60)],
+        "account string, position_id long, size double, entry_price double, position_type string, entry_time timestamp",
+    )
+    closes = spark.createDataFrame(
+        [(i, k, 11.0, 1.0 if k == 1 else None, at(5 * k)) for i in range(60) for k in (1, 2)],
+        "position_id long, close_seq int, exit_price double, exit_size double, exit_time timestamp",
+    )
+    closed = positions.close_positions(opens, closes, carry=["account"])
+    moves = {(r.account, r.ts, r._kind): r for r in positions.account_moves(opens, closed).collect()}
+    assert len(moves) == 2 * 3 and moves["a", at(1), 2]._count == 30 and moves["a", at(10), 0]._count == -30
+    signals = spark.createDataFrame([(account, at(h), n) for n in range(3) for account in ("a", None) for h in (0, 1, 2, 7, 11)] + [("b", None, 9)], "account string, ts timestamp, n int")
+    got = collections.Counter((r.account, r.ts, r.open_positions, r.open_exposure) for r in positions.account_state(signals, opens, closed).collect())
+    whole = [sum(4 * (10 + i % 3) for i in range(60) if i % 2 == k) for k in (0, 1)]
+    left = [sum(3 * (10 + i % 3) for i in range(60) if i % 2 == k) for k in (0, 1)]
+    want = {("a", at(0), 0, 0.0): 3, ("a", at(1), 0, 0.0): 3, ("a", at(2), 30, whole[1]): 3, ("a", at(7), 30, left[1]): 3, ("a", at(11), 0, 0.0): 3, ("b", None, 0, 0.0): 1}
+    want |= {(None, at(0), 0, 0.0): 3, (None, at(1), 30, whole[0]): 3, (None, at(2), 30, whole[0]): 3, (None, at(7), 30, left[0]): 3, (None, at(11), 0, 0.0): 3}
+    assert got == want
+
+
 def test_a_held_drawdown_over_many_blocks_needs_few_rounds(spark, caplog):
     rows = [("x", T0 + timedelta(hours=k), k, 100.0 if k < 40 else 80.0) for k in range(700)]
     df = spark.createDataFrame(rows, "account string, ts timestamp, step long, equity double")

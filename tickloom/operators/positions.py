@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import BLOCK, SLOT, Series, place, row_slots, running, running_rows
+from tickloom.operators.blocks import BLOCK, SLOT, Series, join_on, place, row_slots, running, running_rows
 from tickloom.operators.drawdown import position_scale
 from tickloom.operators.sizing import annual_cost, entry_cost, kelly_size, round_trip_cost
 
@@ -27,10 +27,13 @@ def _part(id: str) -> Column:
     return F.pmod(F.xxhash64(id), F.lit(PARTS)).cast("int")
 
 
-def close_positions(opens: DataFrame, closes: DataFrame, *, id: str = "position_id", crowd: int = CROWD) -> DataFrame:
+def close_positions(
+    opens: DataFrame, closes: DataFrame, *, id: str = "position_id", crowd: int = CROWD, carry: Sequence[str] = ()
+) -> DataFrame:
     """Profit and loss of each close.
 
-    opens: (id, size, entry_price, position_type, entry_time)
+    opens: (id, size, entry_price, position_type, entry_time); `carry` names further
+        columns that a close takes over from its open.
     closes: (id, close_seq, exit_price, exit_size, exit_time); an exit_size of
         NULL or 0 closes what is left.
     A close of an unknown position, or of one that an earlier close used up,
@@ -53,7 +56,7 @@ def close_positions(opens: DataFrame, closes: DataFrame, *, id: str = "position_
         summed = summed.unionByName(running(place(numbered, series), series, totals).drop(SLOT, BLOCK))
     earlier = F.col("_sold") - F.coalesce(given, F.lit(0.0))
     full_before = F.col("_whole") - given.isNull().cast("long")
-    known = opens.select(id, "size", "entry_price", "position_type", "entry_time", F.lit(True).alias("_known"))
+    known = opens.select(id, "size", "entry_price", "position_type", "entry_time", *carry, F.lit(True).alias("_known"))
     joined = summed.withColumns({"_earlier": earlier, "_full_before": full_before}).join(known, id, "left")
     alive = F.col("_known").isNotNull() & (F.col("_full_before") == 0) & (F.col("_earlier") < F.col("size"))
     left = F.col("size") - F.col("_earlier")
@@ -76,6 +79,8 @@ def close_positions(opens: DataFrame, closes: DataFrame, *, id: str = "position_
         *(realized(F.col(c)).alias(c) for c in ("gross_pnl", "costs", "net_pnl")),
         realized(F.try_divide(F.col("net_pnl"), F.col("_notional")) * 100).alias("return_pct"),
         F.when(F.col("_alive"), F.greatest(left - F.col("_amount"), F.lit(0.0))).alias("remaining_size"),
+        F.when(F.col("_alive"), F.least(left, F.col("_amount")) * F.col("entry_price")).alias("closed_value"),
+        *carry,
         F.coalesce("_alive", F.lit(False)).alias("known"),
     )
 
@@ -99,6 +104,28 @@ def max_loss(notional: Column) -> Column:
     return notional * 0.02 + round_trip_cost(notional, 24.0)["total_cost"]
 
 
+def account_moves(opens: DataFrame, closed: DataFrame, *, account: str = "account", id: str = "position_id", time: str = "ts") -> DataFrame:
+    """What changes an account at each moment: one row for all closes and one for all opens of it.
+
+    opens: (id, account, size, entry_price, entry_time); closed: the result of
+    `close_positions`, with the account carried along or not. `_kind` is 0 for closes
+    and 2 for opens; `_pnl`, `_count` and `_cash` add to profit, open positions and
+    their entry value. Copies of a moment merge before they are shuffled.
+    """
+    done = closed.where("known")
+    if account not in closed.columns:
+        done = done.join(opens.select(id, account), id)
+    # What a close takes off is its part of the entry value; the last one of a position ends it.
+    ended = F.when(F.col("remaining_size") == 0, -1).otherwise(0).cast("long")
+    taken = done.groupBy(account, F.col("exit_time").alias(time)).agg(
+        F.sum("net_pnl").alias("_pnl"), F.sum(ended).alias("_count"), F.sum(-F.col("closed_value")).alias("_cash")
+    )
+    opened = opens.groupBy(account, F.col("entry_time").alias(time)).agg(
+        F.lit(0.0).alias("_pnl"), F.count(F.lit(1)).alias("_count"), F.sum(F.col("size") * F.col("entry_price")).alias("_cash")
+    )
+    return taken.withColumn("_kind", F.lit(0)).unionByName(opened.withColumn("_kind", F.lit(2)))
+
+
 def account_state(
     signals: DataFrame,
     opens: DataFrame,
@@ -108,57 +135,37 @@ def account_state(
     account: str = "account",
     id: str = "position_id",
     time: str = "ts",
-    tie: Sequence[str] = (),
     start_value: float = 100000.0,
 ) -> DataFrame:
     """The signals with the state of their account at their time.
 
-    opens: (id, account, size, entry_price, entry_time); closed: the result of
-    `close_positions`; guard: that of `drawdown_guard`, keyed by account and `time`.
-    Adds open_positions, open_exposure, daily_pnl, portfolio_value and, with a
-    guard, drawdown and drawdown_triggered, so `screen_trades` can follow.
+    opens and closed: as in `account_moves`; guard: the result of `drawdown_guard`,
+    keyed by account and `time`. Adds open_positions, open_exposure, daily_pnl,
+    portfolio_value and, with a guard, drawdown and drawdown_triggered, so
+    `screen_trades` can follow.
+    """
+    moves = account_moves(opens, closed, account=account, id=id, time=time)
+    return state_at(signals, moves, guard, account=account, time=time, start_value=start_value)
+
+
+def state_at(
+    signals: DataFrame, moves: DataFrame, guard: DataFrame | None = None, *, account: str = "account", time: str = "ts", start_value: float = 100000.0
+) -> DataFrame:
+    """`account_state` from the moves of the accounts.
 
     Events of all kinds are put on one line per account; a signal comes after
     closes and guard rows of its time and before opens of its time. The state is
-    a set of running totals over blocks of that line.
+    a set of running totals over blocks of that line. Signals of one account and time
+    see the same state, so only their moments are put there.
     """
-    known = opens.select(id, account, "entry_price", (F.col("size") * F.col("entry_price")).alias("_whole"))
-    done = closed.where("known").join(known, id)
-    # What a close takes off is its part of the entry value; the last one of a position ends it.
-    gone = F.nullif(F.col("exit_size"), F.lit(0.0)) * F.col("entry_price")
-    ended = F.col("remaining_size") == 0
-    line = [
-        done.select(
-            account, F.col("exit_time").alias(time), F.lit(0).alias("_kind"), F.col("net_pnl").alias("_pnl"),
-            F.when(ended, -1).otherwise(0).cast("long").alias("_count"),
-            F.coalesce(-gone, F.lit(0.0)).alias("_cash"), F.lit(None).cast("double").alias("_rest"),
-        ),
-        opens.select(
-            account, F.col("entry_time").alias(time), F.lit(2).alias("_kind"), F.lit(0.0).alias("_pnl"),
-            F.lit(1).cast("long").alias("_count"), (F.col("size") * F.col("entry_price")).alias("_cash"),
-        ),
-        signals.select(account, time, F.lit(1).alias("_kind"), F.struct(*signals.columns).alias("_signal"), *tie),
-    ]
-    # A close of all that is left takes off the rest of the position.
-    sold = F.sum(F.coalesce(gone, F.lit(0.0)))
-    rests = done.groupBy(id).agg(
-        F.max_by("exit_time", F.struct(ended, "exit_time", "close_seq")).alias("_at"), sold.alias("_sold"), F.max(ended).alias("_ended"),
-        F.first(account).alias(account), F.first("_whole").alias("_whole"),
-    ).where("_ended")
-    line.append(
-        rests.select(
-            account, F.col("_at").alias(time), F.lit(0).alias("_kind"), F.lit(0.0).alias("_pnl"), F.lit(0).cast("long").alias("_count"),
-            (F.col("_sold") - F.col("_whole")).alias("_cash"),
-        )
-    )
+    rest = [c for c in signals.columns if c not in (account, time)]
+    asked = signals.select(account, time)
+    events = moves.unionByName((asked.distinct() if rest else asked).withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     if guard is not None:
         status = F.struct(*(c for c in guard.columns if c not in (account, time)))
-        line.append(guard.select(account, time, F.lit(0).alias("_kind"), status.alias("_guard")))
-    events = line[0].drop("_rest")
-    for more in line[1:]:
-        events = events.unionByName(more, allowMissingColumns=True)
+        events = events.unionByName(guard.select(account, time, F.lit(0).alias("_kind"), status.alias("_guard")), allowMissingColumns=True)
     # Rows of equal time and kind differ in nothing that a signal can see.
-    places = [F.col(time), F.col("_kind"), *map(F.col, tie)]
+    places = [F.col(time), F.col("_kind")]
     totals = {
         "_open": ("sum", F.col("_count")),
         "_exposure": ("sum", F.col("_cash")),
@@ -167,7 +174,7 @@ def account_state(
     }
     if guard is not None:
         totals["_status"] = ("last", F.col("_guard"))
-    state = running_rows(events, [account], places, F.date_trunc("hour", F.col(time)), totals).where("_kind = 1")
+    state = running_rows(events, [account], places, F.date_trunc("day", F.col(time)), totals).where("_kind = 1")
     gain = F.coalesce(F.col("_gain"), F.lit(0.0))
     added = {
         "open_positions": F.coalesce(F.col("_open"), F.lit(0)),
@@ -179,16 +186,14 @@ def account_state(
         added["drawdown"] = F.coalesce(F.col("_status.current_drawdown"), F.lit(0.0))
         added["drawdown_triggered"] = F.coalesce(F.col("_status.is_triggered"), F.lit(False))
         added["drawdown_status"] = F.col("_status")
-    kept = [F.col(f"_signal.{c}").alias(c) for c in signals.columns if c not in added]
-    return state.select(*kept, *(value.alias(c) for c, value in added.items()))
+    state = state.select(account, time, *(value.alias(c) for c, value in added.items()))
+    kept = [c for c in signals.columns if c not in added]
+    return join_on(signals.select(*kept), state, [account, time]).select(*kept, *added) if rest else state
 
 
-def portfolio_updates(
-    opens: DataFrame, closed: DataFrame, *, account: str = "account", id: str = "position_id", time: str = "ts", start_value: float = 100000.0
-) -> DataFrame:
+def portfolio_updates(moves: DataFrame, *, account: str = "account", time: str = "ts", start_value: float = 100000.0) -> DataFrame:
     """(account, time, equity): the portfolio value after the closes of each moment, as `drawdown_guard` reads it."""
-    done = closed.where("known").join(opens.select(id, account), id)
-    moments = done.groupBy(account, F.col("exit_time").alias(time)).agg(F.sum("net_pnl").alias("_pnl"))
+    moments = moves.where("_kind = 0").select(account, time, "_pnl")
     summed = running_rows(moments, [account], [F.col(time)], F.to_date(time), {"_gain": ("sum", F.col("_pnl"))})
     return summed.select(account, time, (F.col("_gain") + start_value).alias("equity"))
 

@@ -142,22 +142,23 @@ def running_daily_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# What the state of an account depends on.
-CLOSED = ["position_id", "close_seq", "exit_size", "exit_time", "net_pnl", "remaining_size", "known"]
+def _moves(opens: DataFrame) -> DataFrame:
+    """What opens and their closes change in the accounts."""
+    return materialize(positions.account_moves(opens, positions.close_positions(opens, views.closes(opens), carry=["account"])))
 
 
 def _desk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Opens, closes and drawdown status of the accounts of the desks."""
-    opens = materialize(views.desk_positions(spark, sf_dir))
-    closed = materialize(positions.close_positions(opens, views.closes(opens)).select(*CLOSED))
-    updates = positions.portfolio_updates(opens, closed, start_value=DESK_VALUE)
-    return opens, closed, materialize(drawdown.drawdown_guard(updates))
+    """Opens, moves and drawdown status of the accounts of the desks."""
+    opens = materialize(views.desk_positions(spark, sf_dir).drop("l_extendedprice"))
+    moves = _moves(opens)
+    updates = positions.portfolio_updates(moves, start_value=DESK_VALUE)
+    return opens, moves, materialize(drawdown.drawdown_guard(updates))
 
 
 def trade_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every position screened in the state its account was in before it was opened."""
-    opens, closed, guard = _desk(spark, sf_dir)
-    state = positions.account_state(views.desk_signals(spark, sf_dir), opens, closed, guard, start_value=DESK_VALUE)
+    opens, moves, guard = _desk(spark, sf_dir)
+    state = positions.state_at(views.desk_signals(opens), moves, guard, start_value=DESK_VALUE)
     made = positions.screen_trades(
         state,
         win_rate=F.col("win_rate"),
@@ -178,9 +179,9 @@ def trade_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of the account just before each position was opened."""
-    opens = views.positions(spark, sf_dir)
+    opens = materialize(views.positions(spark, sf_dir).drop("l_extendedprice"))
     signals = opens.select("account", "position_id", F.col("entry_time").alias("ts"))
-    made = positions.account_state(signals, opens, _closed(spark, sf_dir))
+    made = positions.state_at(signals, _moves(opens))
     return made.select("account", "position_id", "open_positions", *_grids(["open_exposure", "daily_pnl", "portfolio_value"], 2))
 
 
@@ -189,8 +190,8 @@ STATUS = ["equity", "peak_equity", "current_drawdown", "max_drawdown", "position
 
 def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each account after every update of its value."""
-    opens, closed, guard = _desk(spark, sf_dir)
-    state = positions.account_state(guard.select("account", "ts"), opens, closed, guard, start_value=DESK_VALUE)
+    _, moves, guard = _desk(spark, sf_dir)
+    state = positions.state_at(guard.select("account", "ts"), moves, guard, start_value=DESK_VALUE)
     made = positions.portfolio_metrics(state)
     return made.select(
         "account",
@@ -208,9 +209,9 @@ def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each account at the end of every month in which its value changed."""
-    opens, closed, guard = _desk(spark, sf_dir)
+    _, moves, guard = _desk(spark, sf_dir)
     month_end = F.add_months(F.trunc("ts", "month"), 1).cast("timestamp").alias("ts")
-    state = positions.account_state(guard.select("account", month_end).distinct(), opens, closed, guard, start_value=DESK_VALUE)
+    state = positions.state_at(guard.select("account", month_end).distinct(), moves, guard, start_value=DESK_VALUE)
     made = positions.risk_report(state)
     return made.select(
         "account",
