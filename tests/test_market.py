@@ -175,6 +175,24 @@ def test_a_book_that_only_grows_is_not_copied_along(spark, monkeypatch):
     assert listed.count() == 2 * (1 + 2 * 511) and sum(sizes) < 16
 
 
+def test_forward_return_shuffles_rows_once(spark):
+    # Hours with many rows and hours with none, prices that are missing, a row without a time.
+    rows = [(f"s{i % 2}", T0 + timedelta(minutes=17 * i + 300 * (i // 50)), i, None if i % 7 == 3 else 100.0 + i * 13 % 29) for i in range(200)]
+    rows.append(("s0", None, 999, 50.0))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, update_id long, mid_price double")
+    made = quality.forward_return(df, order=("ts", "update_id"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
+    got = {r.update_id: r.target for r in made.collect()}
+    want = {}
+    for s in ("s0", "s1"):
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1], r[2]))
+        for k, r in enumerate(own):
+            later = next((x[3] for x in own[k + 1 :] if x[3] is not None), None)
+            want[r[2]] = 0.0 if later is None or r[3] is None else later / r[3] - 1
+    assert got == pytest.approx(want)
+
+
 def test_changes_no_listing_shows_are_not_kept(spark, monkeypatch):
     rows = []
     for i in range(16000):
